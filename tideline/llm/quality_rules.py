@@ -91,11 +91,11 @@ def fences(rows: DataFrame) -> DataFrame:
     """lang, source and a lower and upper fence a signal, over rows (lang, source and the signals) that passed the base rules."""
     quartiles = [F.percentile_approx(s, [0.25, 0.75], ACCURACY).alias(s) for s in SLACK]
     sketched = lambda *keys: rows.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles)
-    fine, lang, whole = sketched("lang", "source").alias("fine"), sketched("lang").alias("lang"), sketched().alias("whole")
-    both = fine.join(lang, F.col("fine.lang").eqNullSafe(F.col("lang.lang")), "left").join(F.broadcast(whole), how="left")  # whole is one row
+    fine, lang, whole = sketched("lang", "source").alias("fine"), sketched("lang").alias("lang"), sketched().first()  # one row
+    both = fine.join(lang, F.col("fine.lang").eqNullSafe(F.col("lang.lang")), "left")
     out = []
     for name, (below, above) in SLACK.items():
-        q = F.when(F.col("fine.n") >= FEW, F.col(f"fine.{name}")).when(F.col("lang.n") >= FEW, F.col(f"lang.{name}")).otherwise(F.col(f"whole.{name}"))
+        q = F.when(F.col("fine.n") >= FEW, F.col(f"fine.{name}")).when(F.col("lang.n") >= FEW, F.col(f"lang.{name}")).otherwise(F.lit(whole[name]).cast("array<double>"))
         low, high = q[0], q[1]
         out += [(low - SPREAD * (high - low) - below).alias(f"{name}_min")] if below is not None else []
         out += [(high + SPREAD * (high - low) + above).alias(f"{name}_max")] if above is not None else []
