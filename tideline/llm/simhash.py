@@ -60,15 +60,15 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width, seed) for t in batch.column(1)]
+        prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width, seed) for t in batch.column(2)]
         signed = np.array(prints, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed)], names=["doc_id", "mark", "print"])
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit number, a row for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(partial(_fingerprints, width=width, seed=seed), "doc_id long, print long")
+    """doc_id, mark (a hash of the text) and the fingerprint as a signed 64-bit number, a row for each row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(partial(_fingerprints, width=width, seed=seed), "doc_id long, mark long, print long")
 
 
 def bands(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -247,7 +247,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text)."""
+    """doc_id, mark (a hash of the text), fingerprint (16 hex digits), component_id of every row of docs (doc_id, text)."""
     marked = stored(fingerprints(docs, width, seed), "fingerprints")
     distinct = stored(marked.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct")
     linked = components(links(distinct.select("print"), radius))
@@ -255,23 +255,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     named = distinct.join(member, "print").groupBy("root").agg(F.min("first").alias("least"))
     member = stored(member.join(named, "root").select("print", "least"), "members")
     named = distinct.join(small_or_shuffled(member), "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "print").select("doc_id", "mark", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Docs with one document of each group: that with the smallest doc_id. Repeated rows of one doc_id count as one;
     rows without an id stay, one for each text, if no document with an id is in their group."""
-    found = near_duplicates(docs)
-    gone = stored(found.where("doc_id <> component_id or doc_id is null and component_id is not null").select("doc_id").distinct(), "gone")
+    found = near_duplicates(docs).where("doc_id <> component_id or doc_id is null and component_id is not null")
+    gone = stored(found.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "gone")
     again = stored(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    left = docs.join(small_or_shuffled(gone.where("doc_id is not null")), "doc_id", "left_anti")
-    if gone.where("doc_id is null").limit(1).count():
-        left = left.where("doc_id is not null")
+    known = small_or_shuffled(gone)
+    left = docs.join(known, docs.doc_id.eqNullSafe(known.gone_id) & (F.xxhash64(docs.text) == known.gone_mark), "left_anti")
     if not again.limit(1).count():
-        return left.select(docs.columns)
+        return left
     twice = small_or_shuffled(again)
     same = left.doc_id.eqNullSafe(twice.doc_id)
-    once = left.join(twice, same, "left_anti").select(docs.columns)
-    more = left.join(twice, same, "left_semi").select(docs.columns)
+    once, more = left.join(twice, same, "left_anti"), left.join(twice, same, "left_semi")
     named = more.where("doc_id is not null").dropDuplicates(["doc_id"])
     return once.union(named).union(more.where("doc_id is null").dropDuplicates(["text"]))

@@ -9,7 +9,7 @@ from tideline.llm.simhash import near_duplicates
 
 
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {"op10_simhash": op10_simhash}
