@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
-from tideline.llm import chat_format_queries, mixing_queries, quality_rules_queries, simhash_queries
+from tideline.llm import (
+    chat_format_queries,
+    decontaminate_queries,
+    html_extract_queries,
+    mixing_queries,
+    quality_rules_queries,
+    secret_scan_queries,
+    simhash_queries,
+    suffix_dedup_queries,
+    url_filter_queries,
+    weak_quality_queries,
+)
 
-MODULES = (chat_format_queries, mixing_queries, quality_rules_queries, simhash_queries)
+MODULES = (
+    html_extract_queries,
+    chat_format_queries,
+    url_filter_queries,
+    decontaminate_queries,
+    mixing_queries,
+    quality_rules_queries,
+    suffix_dedup_queries,
+    secret_scan_queries,
+    weak_quality_queries,
+    simhash_queries,
+)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
