@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import stored
+from tideline.llm.common import discard, stored
 
 LENGTH = 400
 #: Gram lengths of the levels, as shares of LENGTH.
@@ -78,35 +78,49 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:k], ahead[width - 1 : width - 1 + k])
 
 
-def anchored(text: bytes, gram: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The strings of a text: first and last window (its start), hash of the anchor, hash of the string."""
-    out = []
-    for at in range(0, max(1, len(text) - length + 1), PIECE):
-        data = np.frombuffer(text, np.uint8)[at : at + PIECE + length - 1]
-        if len(data) < length:
-            break
-        hashes = Hashes(data)
-        i = np.arange(len(data) - gram + 1)
-        h = hashes.of(i, i + gram)
-        least = sliding_least((h >> PLACE_BITS << PLACE_BITS) | i.astype(np.uint64), length - gram + 1)
-        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        last = np.append(first[1:], len(least)) - 1
-        anchor = (least[first] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
-        out.append((first + at, last + at, h[anchor].view(np.int64), hashes.of(first, last + length).view(np.int64)))
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def anchored(texts: list[bytes], gram: int, length: int) -> tuple[np.ndarray, ...]:
+    """The strings of texts: number of the text, first and last window (its start), hash of the anchor, hash of the string.
+    Many short texts, or a part of a long one, are looked at together."""
+    out, held, size = [], [], 0
+    for number, text in enumerate(texts):
+        for at in range(0, max(0, len(text) - length + 1), PIECE):
+            part = text[at : at + PIECE + length - 1]
+            if held and size + len(part) > PIECE + length:
+                out.append(_strings(held, gram, length))
+                held, size = [], 0
+            held.append((number, at, part))
+            size += len(part)
+    if held:
+        out.append(_strings(held, gram, length))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+
+def _strings(parts: list[tuple[int, int, bytes]], gram: int, length: int) -> tuple[np.ndarray, ...]:
+    sizes = np.array([len(p) for _, _, p in parts])
+    ends = np.cumsum(sizes)
+    hashes = Hashes(np.frombuffer(b"".join(p for _, _, p in parts), np.uint8))
+    i = np.arange(ends[-1] - gram + 1)
+    h = hashes.of(i, i + gram)
+    least = sliding_least((h >> PLACE_BITS << PLACE_BITS) | i.astype(np.uint64), length - gram + 1)
+    within = np.repeat(ends, sizes)[: len(least)] >= np.arange(length, length + len(least))  # windows of one text
+    goes_on = within & np.concatenate(([False], within[:-1] & (least[1:] == least[:-1])))
+    first = np.flatnonzero(within & ~goes_on)
+    last = np.flatnonzero(within & ~np.append(goes_on[1:], False))
+    anchor = (least[first] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    of = np.searchsorted(ends, first, "right")
+    shift = np.array([at for _, at, _ in parts])[of] - (ends - sizes)[of]
+    number = np.array([n for n, _, _ in parts])[of]
+    return number, first + shift, last + shift, h[anchor].view(np.int64), hashes.of(first, last + length).view(np.int64)
 
 
 ANCHORS = "key long, base int, spots array<struct<first:int,last:int,anchor:long,whole:long>>"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], gram: int, length: int) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
     for batch in batches:
-        parts = [anchored(t.as_buffer().to_pybytes(), gram, length) for t in batch.column(2)]
-        offsets = np.cumsum([0, *(len(p[0]) for p in parts)])
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        number, *columns = anchored([t.as_buffer().to_pybytes() for t in batch.column(2)], gram, length)
+        offsets = np.searchsorted(number, np.arange(batch.num_rows + 1))
         spots = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["first", "last", "anchor", "whole"])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spots)], names=["key", "base", "spots"])
 
@@ -290,20 +304,24 @@ def level(items: DataFrame, gram: int, length: int) -> tuple[DataFrame, DataFram
     items of the next level."""
     spotted = stored(items.mapInArrow(partial(_anchors, gram=gram, length=length), ANCHORS), "anchors")
     spots = spotted.select("key", "base", F.inline("spots"))
-    kinds = spots.groupBy("anchor", "whole").agg(F.count("*").alias("n")).groupBy("anchor").agg(F.sum("n").alias("n"), (F.count("*") > 1).alias("more"))
+    kinds = spots.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") < F.max("whole")).alias("more"))
     kinds = stored(kinds.where("n > 1"), "common")
     total = kinds.agg(F.sum("n")).first()[0] or 0
+    spots = spots.drop("whole")
     picked = spots.join(kinds.drop("n"), "anchor").groupBy("key", "base").agg(F.collect_set(F.struct("first", "last", "more")).alias("spots"))
     # Names that don't clash: the same text may be on both sides.
     picked = picked.withColumnsRenamed({"key": "of", "base": "from"})
     sources = items.join(picked, (F.col("key") == F.col("of")) & (F.col("base") == F.col("from"))).select("key", "base", "text", "spots")
     buckets = max(1, total // BUCKET_STRINGS)
     runs = stored(sources.mapInArrow(partial(_runs, buckets=buckets, length=length), RUNS), "runs")
+    discard(spotted)
     exchanged = runs.select("run", "bucket", "prefix", "rest_size", "rest", "copies", "next", "key", "base").repartition("bucket").sortWithinPartitions("bucket")
     verdicts = stored(exchanged.mapInArrow(_merge, VERDICTS), "verdicts")
     home = runs.select("run", "bucket", "ref_of", "ref_key", "ref_first", "ref_last").join(verdicts.select("run", "bucket", "repeated"), ["run", "bucket"])
     places = home.select("ref_of", "ref_key", "ref_first", "ref_last", "repeated").mapInArrow(_places, "key long, first int, last int")
-    return stored(places, "places"), verdicts.select(F.inline("items"))
+    places = stored(places, "places")
+    discard(runs)
+    return places, stored(verdicts.select(F.inline("items")), "items")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
