@@ -106,6 +106,8 @@ def test_url_rules(spark):
     assert (got["http://org"].rule, got["http://org"].path) == (None, "") and (got["ftp://q.net/a#b?c"].host, got["ftp://q.net/a#b?c"].path) == ("q.net", "/a")
     assert all(got[u].verdict == "allow" and got[u].host == "" for u in (None, "no", ""))
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    clash = spark.createDataFrame([(1, "http://a.org/", 1, 2, 3)], "page_id long, url string, host int, score int, verdict int")
+    assert url_filter.judge(clash).select("host", "verdict").first() == ("a.org", "allow")
 
 
 def test_url_model_against_plain_counting(spark):
@@ -187,7 +189,7 @@ def test_many_blocks_agree(spark):
 def test_mix(spark, odd, none):
     r = random.Random(1)
     rows = [(i, "w " * r.randint(0, 60), "en", r.choice(["a", "b", "c", "d", None]), 0) for i in range(600)] + [(7, "w " * 10, "en", "a", 0)] * 2
-    table = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as size", "2 as taken")
+    table = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as size", "2 as taken", "3 as u", "'x' as u_key", "4 as own")
     got = mixing.mix(table).collect()
     again = mixing.mix(table.repartition(7)).collect()
     assert sorted((x.doc_id, x.taken) for x in got) == sorted((x.doc_id, x.taken) for x in again)
@@ -290,6 +292,17 @@ def test_loser_tree_merges_and_knows_prefixes():
     assert [r for r in out if lists[r[1]][r[2]] != r[0]] == []
 
 
+def test_clashing_names(spark):
+    """Extra columns named like an operator's own."""
+    table = docs(spark, [words(60, i) for i in range(6)] + [words(60, 1)]).selectExpr("*", "1 as key", "2 as base", "3 as mark", "4 as print", "5 as component_id", "6 as windows", "7 as n_hit", "8 as spans", "9 as low", "10 as own", "11 as parts")
+    bench = spark.createDataFrame([(1, words(60, 2))], "item_id long, text string")
+    assert suffix_dedup.deduplicate(table).count() == 7 and simhash.near_duplicates(table).count() == 7 and decontaminate.contamination(table, bench).where("n_hit > 0").count() == 1
+    assert simhash.keep_one(table).columns == table.columns and simhash.keep_one(table).count() == 6
+    assert decontaminate.clean(table, bench).columns == table.columns and decontaminate.clean(table, bench).count() == 6
+    assert secret_scan.scan(table).count() == 7 and secret_scan.redact(table).columns == table.columns
+    assert quality_rules.judged(table, table.columns).count() == 7 and weak_quality.classify(table).count() == 7
+
+
 # --- secrets
 
 

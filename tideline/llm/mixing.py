@@ -121,11 +121,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATI
     """docs (doc_id, text, source, ...) with size, source_size, target (both the source's) and taken: the document's
     words times the copies that the mix takes of it."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(*own, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(salt).alias("u"), draw(salt).alias("u_key"))
-    sizes = stored(sized.select("source", "size", "u", "u_key"), "sizes")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select(F.struct(*own).alias("own"), F.col("source").alias("key"), size.alias("size"), uniform(salt).alias("u"), draw(salt).alias("u_key"))
+    sizes = stored(sized.select(F.col("key").alias("source"), "size", "u", "u_key"), "sizes")
     cut = stored(cuts(sizes, weights, ratio, ceiling), "cuts").withColumnRenamed("source", "of")
-    both = sized.select(F.struct(*own).alias("own"), F.col("own.source").alias("key"), "size", "u", "u_key")
-    rows = _ranked(both.join(small_or_shuffled(cut), F.col("key").eqNullSafe(F.col("of")), "left"))
+    rows = _ranked(sized.join(small_or_shuffled(cut), F.col("key").eqNullSafe(F.col("of")), "left"))
     slice_ = F.floor(F.col("q") / (F.col("q") + 1) * BUCKETS).cast("int")
     ahead = (F.col("q") < F.col("cut_q")) | ((F.col("q") == F.col("cut_q")) & (F.col("u_key") <= F.col("cut_key")))
     sampled = F.col("q").isNotNull() & F.col("edge").isNotNull() & ((slice_ < F.col("edge")) | F.coalesce((slice_ == F.col("edge")) & ahead, F.lit(False)))

@@ -4,7 +4,7 @@ Two variable-order Markov models, of accepted and of rejected URLs (those that t
 give each URL the mean log-likelihood difference per character. A model holds counts of (context, character) for contexts
 of 0 to ORDER characters, hashed into SLOTS places: its size is fixed whatever the corpus. A longer context's estimate is
 smoothed towards that of the next shorter one by STRENGTH; a context never seen leaves it as it is. Tasks count their own
-URLs, Spark adds the counts up by slot, and the models (SLOTS numbers a class and kind, 32 MB in all) go to every task.
+URLs, Spark adds the counts up by slot, and the models (SLOTS numbers a class and kind, 8 MB in all) go to every task.
 The threshold is calibrated on a tenth of the labelled URLs that the models leave out (by hash): the cut between their
 scores with the fewest balanced errors, from a histogram.
 
@@ -15,7 +15,6 @@ Repeated URLs count each. Where one class has no URLs all undecided ones are all
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,7 @@ def path_of(url: Column) -> Column:
 
 def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule and rule_verdict: of the fitting rules the longest."""
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "rule_verdict")]
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "rule_verdict", "score", "verdict", "url_bytes")]
     out = pages.select(*own, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule = verdict = F.lit(None).cast("string")
     for say, host, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):
