@@ -12,6 +12,8 @@ a spanning forest of the links leaves a task; components come from alternating l
 Edge cases: a null or blank text has fingerprint 0 and links like any other. Rows with equal doc_id are
 separate rows of the result. Rows with a null doc_id take part, but never name a component: component_id
 is null if no row of the component has an id. An empty table gives an empty result.
+
+keep_one, the pipeline's stage, goes by exact Jaccard similarity of word shingles instead, without fingerprints.
 """
 
 from __future__ import annotations
@@ -26,11 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import small_or_shuffled, stored
+from tideline.llm.common import BROADCAST_ROWS, small_or_shuffled, stored
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
+#: Near-copies (keep_one): words of a shingle, and the least Jaccard similarity as a fraction.
+COPY_WIDTH = 5
+COPY_LEAST = (4, 5)
+#: One document in so many says which shingles are common; this changes the work, not the result.
+ORDER_SAMPLE = 64
 #: Rows of a bucket that are compared in one place; larger buckets are cut.
 CHUNK = 2048
 #: (word of 64 candidates, fingerprint) pairs compared in one go: bounds a task's memory.
@@ -258,18 +265,105 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return marked.join(named, "print").select("doc_id", "mark", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _shingled(batches: Iterator[pa.RecordBatch], late: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each text the id and size of its set of shingles, and the set's first fifth: rare ones (not in `late`) first."""
+    for batch in batches:
+        ids, sizes, firsts = [], [], []
+        for t in batch.column(2):
+            held = copy_shingles(t.as_buffer().to_pybytes() if t.is_valid else b"")
+            ids.append(xxhash.xxh64_intdigest(held.tobytes(), SEED))
+            sizes.append(len(held))
+            at = np.minimum(np.searchsorted(late, held), max(len(late) - 1, 0))
+            order = np.lexsort((held, np.where(late[at] == held, rank[at], 0))) if len(late) else np.arange(len(held))
+            firsts.append(held[order[: len(held) - -(-len(held) * COPY_LEAST[0] // COPY_LEAST[1]) + 1]])
+        flat = pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)]))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), flat)
+        arrays = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "id", "size", "first"])
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [copy_shingles(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tolist() for h in held], pa.list_(pa.int64()))], names=["id", "grams"])
+
+
+def copy_shingles(text: bytes) -> np.ndarray:
+    """The set of a text's COPY_WIDTH-word shingles as sorted signed hashes."""
+    return np.unique(np.array(shingle_hashes(text, COPY_WIDTH), np.uint64).view(np.int64))
+
+
+def _similar(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Of the pairs u, v of sets those with Jaccard similarity of COPY_LEAST or more, by their whole sets."""
+    a, b = grams.toDF("u", "gu"), grams.toDF("v", "gv")
+    n = F.size(F.array_intersect("gu", "gv")).cast("long")
+    up, down = COPY_LEAST
+    return pairs.join(a, "u").join(b, "v").where(n * (up + down) >= up * (F.size("gu") + F.size("gv"))).select("u", "v")
+
+
+def copy_links(marked: DataFrame, docs: DataFrame) -> DataFrame:
+    """u, v: enough pairs of similar sets to connect all that are connected, from marked (doc_id, mark, id, size, first).
+
+    Two similar sets share a shingle of their first fifths, in whatever order common to all. First every set meets only
+    the smallest one of each shared shingle; where all sets of a shingle are connected by then, no other pair of it counts.
+    """
+    up, down = COPY_LEAST
+    sets = marked.groupBy("id").agg(F.min("size").alias("size"), F.min(F.struct("doc_id", "mark")).alias("row"), F.first("first").alias("first"))
+    sets = stored(sets.where("size > 0"), "sets")
+    dealt = sets.select("id", "size", F.explode("first").alias("gram"))
+    shared = dealt.groupBy("gram").agg(F.count("*").alias("sets"), F.min(F.struct("size", "id")).alias("least")).where("sets > 1")
+    held = stored(dealt.join(shared.hint("merge"), "gram"), "held")
+    stars = held.where((F.col("id") != F.col("least.id")) & (F.col("least.size") * down >= F.col("size") * up))
+    stars = stored(stars.select(F.least("id", "least.id").alias("u"), F.greatest("id", "least.id").alias("v")).distinct(), "star-pairs")
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        some = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+        rows = stored(sets.join(some, "id", "left_semi").select("id", F.col("row.doc_id").alias("doc_id_"), F.col("row.mark").alias("mark_")), "rows")
+        known = small_or_shuffled(rows)
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("mark"))
+        texts = texts.join(known, texts.doc_id.eqNullSafe(known.doc_id_) & (texts.mark == known.mark_)).select("id", "text")
+        return stored(texts.dropDuplicates(["id"]).mapInArrow(_grams, "id long, grams array<long>"), "grams")
+
+    near = stored(_similar(stars, whole(stars)), "near")
+    label = components(near)
+    label = stored(label.union(label.select("root", "root").distinct()), "labels")
+    open_ = held.where("sets > 2").join(small_or_shuffled(label), F.col("id") == F.col("node"), "left").select("gram", "id", "size", F.coalesce("root", "id").alias("label"))
+    open_ = stored(open_, "open")
+    mixed = open_.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram")
+    open_ = stored(open_.join(mixed, "gram", "left_semi"), "mixed")
+    a, b = open_.alias("a"), open_.alias("b")
+    apart = F.expr(f"a.gram = b.gram and a.id < b.id and a.label <> b.label and least(a.size, b.size) * {down} >= greatest(a.size, b.size) * {up}")
+    rest = a.join(b, apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    rest = stored(rest.join(stars, ["u", "v"], "left_anti"), "rest-pairs")
+    return near.union(_similar(rest, whole(rest)))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Docs with one document of each group: that with the smallest doc_id. Repeated rows of one doc_id count as one;
-    rows without an id stay, one for each text, if no document with an id is in their group."""
-    found = near_duplicates(docs).where("doc_id <> component_id or doc_id is null and component_id is not null")
-    gone = stored(found.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "gone")
-    again = stored(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    """Docs with one document of each group of near-copies (connected by Jaccard similarities of COPY_LEAST or more of their
+    sets of COPY_WIDTH-word shingles): that with the smallest doc_id, without ids that with the smallest hash of its text.
+    Rows of equal doc_id and text count as one. The similarity is exact; a sample of the documents only says which
+    shingles are common, and those come last in the order that finds candidates, which any order does."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(ORDER_SAMPLE)) == 0).select("mark", "text").mapInArrow(_grams, "id long, grams array<long>")
+    common = some.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(BROADCAST_ROWS).toArrow()
+    late, rank = common.column("gram").to_numpy(), common.column("count").to_numpy()
+    order = np.argsort(late)
+    found = rows.mapInArrow(partial(_shingled, late=late[order], rank=rank[order]), "doc_id long, mark long, id long, size int, first array<long>")
+    marked = stored(found, "marked")
+    linked = stored(components(copy_links(marked, docs)), "linked")
+    member = linked.union(linked.select("root", "root").distinct())
+    named = marked.groupBy("id").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "mark")).alias("best"), F.count("*").alias("n"))
+    named = named.join(small_or_shuffled(stored(member, "members")), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"), "best", "n")
+    named = stored(named, "named")
+    best = named.groupBy("group").agg(F.min("best").alias("kept"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    best = stored(named.join(best.hint("merge"), "group").select("id", F.col("kept.doc_id").alias("kept_id"), F.col("kept.mark").alias("kept_mark")), "best")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    gone = stored(marked.join(small_or_shuffled(best), "id").where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "gone")
+    again = stored(marked.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("mark").alias("again_mark")), "again")
     known = small_or_shuffled(gone)
     left = docs.join(known, docs.doc_id.eqNullSafe(known.gone_id) & (F.xxhash64(docs.text) == known.gone_mark), "left_anti")
     if not again.limit(1).count():
         return left
     twice = small_or_shuffled(again)
-    same = left.doc_id.eqNullSafe(twice.doc_id)
-    once, more = left.join(twice, same, "left_anti"), left.join(twice, same, "left_semi")
-    named = more.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.union(named).union(more.where("doc_id is null").dropDuplicates(["text"]))
+    same = left.doc_id.eqNullSafe(twice.again_id) & (F.xxhash64(left.text) == twice.again_mark)
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
