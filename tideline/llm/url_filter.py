@@ -2,9 +2,9 @@
 
 Two variable-order Markov models, of accepted and of rejected URLs (those that the rules allow and block, all of them),
 give each URL the mean log-likelihood difference per character. A model holds counts of (context, character) for contexts
-of 0 to ORDER characters, hashed into SLOTS places: its size is fixed whatever the corpus. A longer context's estimate is
-smoothed towards that of the next shorter one by STRENGTH; a context never seen leaves it as it is. Tasks count their own
-URLs, Spark adds the counts up by slot, and the models (SLOTS numbers a class and kind, 8 MB in all) go to every task.
+of 0 to ORDER characters, keyed by the context itself: a table that grows with the labelled URLs. A longer context's
+estimate is smoothed towards that of the next shorter one by STRENGTH; a context never seen leaves it as it is. A character
+after its longest context decides all shorter ones, so each distinct such gram is costed once, and URLs sum their grams.
 The threshold is calibrated on a tenth of the labelled URLs that the models leave out (by hash): the cut between their
 scores with the fewest balanced errors, from a histogram.
 
@@ -21,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ascii_lower, stored
+from tideline.llm.common import ascii_lower, small_or_shuffled, stored
 
 ORDER = 5
-SLOTS = 1 << 18
 STRENGTH = 2.0
 #: One labelled URL in so many calibrates the threshold.
 HELD_OUT = 10
@@ -54,79 +53,76 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
-
-
-def grams(urls: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every character of every URL: the slot of its context by order, the slot of context and character, and its URL."""
+def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For every character of every URL: the gram of its ORDER characters before and itself, 9 bits each, and its URL."""
     size = np.array([len(u) for u in urls], np.int64)
     of = np.repeat(np.arange(len(urls)), size)
-    chars = np.frombuffer(b"".join(urls), np.uint8).astype(np.uint64) + np.uint64(1)
+    chars = np.frombuffer(b"".join(urls), np.uint8).astype(np.int64) + 1
     within = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
-    context = np.zeros((order + 1, len(chars)), np.uint64)
-    for k in range(1, order + 1):
-        before = np.concatenate((np.zeros(k, np.uint64), chars[:-k])) if len(chars) >= k else np.zeros(len(chars), np.uint64)
-        context[k] = context[k - 1] * np.uint64(0x100000001B3) + np.where(within >= k, before, np.uint64(257))
-    tag = np.arange(1, order + 2, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    of_context = _mix(context + tag)
-    of_both = _mix(of_context * np.uint64(3) + chars)
-    return (of_context % np.uint64(SLOTS)).astype(np.int64), (of_both % np.uint64(SLOTS)).astype(np.int64), of
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slots and their counts: a class's contexts and contexts with characters, numbered through."""
-    total = np.zeros(4 * SLOTS, np.int64)
-    for batch in batches:
-        urls, blocked = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-        if not any(urls):
-            continue
-        context, both, of = grams([u or b"" for u in urls])
-        base = 2 * SLOTS * blocked[of].astype(np.int64)
-        for slots, shift in ((context, 0), (both, SLOTS)):
-            total += np.bincount((slots + (base + shift)).ravel(), minlength=4 * SLOTS)
-    slot = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
-
-
-def fit(labelled: DataFrame) -> np.ndarray:
-    """Counts of shape (class: allow, block; contexts, contexts with characters; SLOTS) over labelled (url, blocked)."""
-    rows = labelled.select(F.col("url").cast("binary"), "blocked").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    model = np.zeros(4 * SLOTS, np.int64)
-    for batch in stored(rows, "slots").toArrow().to_batches():  # at most 4 * SLOTS rows
-        model[batch.column("slot").to_numpy()] = batch.column("n").to_numpy()
-    return model.reshape(2, 2, SLOTS)
-
-
-def log_ratio(urls: list[bytes], model: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
-    """Mean log-likelihood of a URL's characters as accepted less that as rejected; 0 for an empty one."""
-    if not any(urls):
-        return np.zeros(len(urls))
-    context, both, of = grams(urls)
-    logs = []
-    for counts in model:
-        p = np.full(len(of), 1.0 / ALPHABET)
-        for k in range(len(context)):
-            n, hits = counts[0][context[k]], counts[1][both[k]]
-            p = np.where(n > 0, (np.minimum(hits, n) + strength * p) / (n + strength), p)
-        logs.append(np.log(p))
-    size = np.array([len(u) for u in urls])
-    return np.bincount(of, logs[0] - logs[1], len(urls)) / np.maximum(size, 1)
-
-
-def _score(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        score = log_ratio([u or b"" for u in batch.column("url_bytes").to_pylist()], model)
-        names = [n for n in batch.schema.names if n != "url_bytes"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
+    gram = chars.copy()
+    for k in range(1, ORDER + 1):
+        before = np.concatenate((np.zeros(k, np.int64), chars))[: len(chars)]
+        gram |= np.where(within >= k, before, 257) << (9 * k)  # 257: before the start
+    return gram, of
 
 
-def scored(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """rows (with url) and their score."""
-    held = rows.sparkSession.sparkContext.broadcast(model)  # 4 * SLOTS numbers
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("url_bytes", F.col("url").cast("binary")).mapInArrow(lambda it: _score(it, held.value), f"{fields}, score double")
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of each row and how often, with the row's other columns."""
+    for batch in batches:
+        gram, of = grams([u or b"" for u in batch.column(0).to_pylist()])
+        order = np.lexsort((gram, of))
+        gram, of = gram[order], of[order]
+        first = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])))[: len(gram)])
+        times = np.diff(np.append(first, len(gram)))
+        own = [batch.column(i).take(pa.array(of[first])) for i in range(1, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(gram[first]), pa.array(times.astype(np.int64))], names=[*batch.schema.names[1:], "gram", "times"])
+
+
+def _contexts() -> Column:
+    """k, context of every order, of a column gram."""
+    some = [f"named_struct('k', {k}, 'context', shiftleft(shiftright(gram, 9) & {(1 << 9 * k) - 1}L, 3) | {k}L)" for k in range(ORDER + 1)]
+    return F.expr(f"inline(array({', '.join(some)}))")
+
+
+def fit(labelled: DataFrame) -> DataFrame:
+    """context, allow, block (how often in accepted and rejected URLs) and hits (the same by character), of labelled (url, blocked)."""
+    rows = labelled.select(F.col("url").cast("binary"), "blocked").mapInArrow(_counted, "blocked boolean, gram long, times long")
+    sums = [F.sum(F.when(F.col("blocked") == say, F.col("times")).otherwise(0)).alias(n) for n, say in (("allow", False), ("block", True))]
+    whole = stored(rows.groupBy("gram").agg(*sums), "url-grams")
+    each = whole.select(F.expr("gram & 511L").alias("char"), "allow", "block", _contexts())
+    each = each.groupBy("context", "char").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    hits = F.map_from_entries(F.collect_list(F.struct("char", F.struct("allow", "block")))).alias("hits")  # at most 256 characters
+    return stored(each.groupBy("context").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), hits), "url-contexts")
+
+
+def _ratios(some: DataFrame, model: DataFrame, strength: float) -> DataFrame:
+    """gram, ratio: the log-likelihood as accepted less that as rejected of distinct grams."""
+    each = some.select("gram", _contexts()).join(small_or_shuffled(model), "context", "left").withColumn("hit", F.expr("hits[gram & 511L]"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    seen = F.struct("k", zero(F.col("allow")).alias("na"), zero(F.col("hit.allow")).alias("ha"), zero(F.col("block")).alias("nb"), zero(F.col("hit.block")).alias("hb"))
+    step = lambda n, h, p: F.when(n > 0, (h + strength * p) / (n + strength)).otherwise(p)
+    start = F.struct(F.lit(1 / ALPHABET).alias("a"), F.lit(1 / ALPHABET).alias("b"))
+    end = F.aggregate(F.sort_array(F.collect_list(seen)), start, lambda p, x: F.struct(step(x.na, x.ha, p.a).alias("a"), step(x.nb, x.hb, p.b).alias("b")), lambda p: F.log(p.a) - F.log(p.b))
+    return each.groupBy("gram").agg(end.alias("ratio"))
+
+
+def scored(rows: DataFrame, model: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """rows (with url) and their score: the mean over a URL's characters; 0 for an empty one."""
+    key = F.struct(F.xxhash64("url"), F.hash("url")).alias("url_key")
+    urls = rows.where("length(url) > 0").select(F.col("url").cast("binary").alias("url"), F.xxhash64("url").alias("url_a"), F.hash("url").alias("url_b"))
+    held = stored(urls.dropDuplicates(["url_a", "url_b"]).mapInArrow(_counted, "url_a long, url_b int, gram long, times long"), "grams-of-urls")
+    ratio = stored(_ratios(held.select("gram").distinct(), model, strength), "ratios")
+    total = F.sum((F.col("ratio") * F.col("times")).cast("decimal(30,15)")).cast("double")  # the same in any order
+    score = held.join(small_or_shuffled(ratio), "gram").groupBy("url_a", "url_b").agg((total / F.sum("times")).alias("score"))
+    score = score.select(F.struct("url_a", "url_b").alias("score_key"), "score")
+    out = rows.withColumn("url_key", key).join(score, F.col("url_key.col1").eqNullSafe(F.col("score_key.url_a")) & F.col("url_key.col2").eqNullSafe(F.col("score_key.url_b")), "left")
+    return out.select(*rows.columns, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def log_ratio(urls: list[bytes], model: DataFrame, strength: float = STRENGTH) -> np.ndarray:
+    """Scores of a few URLs."""
+    rows = model.sparkSession.createDataFrame([(i, u.decode()) for i, u in enumerate(urls)], "at int, url string")
+    return np.array([r["score"] for r in sorted(scored(rows, model, strength).collect(), key=lambda r: r["at"])])
 
 
 def threshold(held_out: DataFrame) -> float:
@@ -147,10 +143,12 @@ def threshold(held_out: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule, score and verdict: the longest rule's, else allow where the score reaches the threshold."""
     marked = ruled(pages, rules)
-    labelled = marked.where("rule_verdict is not null").select("url", (F.col("rule_verdict") == "block").alias("blocked"))
     aside = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
-    model = fit(labelled.where(~aside))
-    both = bool(model[0, 0].any() and model[1, 0].any())
-    cut = threshold(scored(labelled.where(aside), model)) if both else -float("inf")
+    blocked = (F.col("rule_verdict") == "block").alias("blocked")
+    labelled = marked.where("rule_verdict is not null")
+    model = fit(labelled.where(~aside).select("url", blocked))
+    every = stored(scored(marked, model), "scored")
+    both = model.where("context = 0 and allow > 0 and block > 0").count() > 0  # the context of no characters
+    cut = threshold(every.where("rule_verdict is not null").where(aside).select("score", blocked)) if both else -float("inf")
     method = F.when((F.col("score") >= cut) | (F.length("host") + F.length("path") == 0), "allow").otherwise("block")
-    return scored(marked, model).withColumn("verdict", F.coalesce("rule_verdict", method)).drop("rule_verdict")
+    return every.withColumn("verdict", F.coalesce("rule_verdict", method)).drop("rule_verdict")
