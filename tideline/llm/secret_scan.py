@@ -7,11 +7,13 @@ repeats, keyboard walks and brute-force spans, by dynamic programming over its e
 times the orders of the parts is what an attacker needs. From MIN_LOG_GUESSES on the value is a span of kind `guess`;
 below it is a word such as `required` or `changeme`. Values that overlap a base span stay with that.
 
-Texts are scanned row by row where Spark reads them, without a shuffle. Offsets are code points, ends exclusive.
+Texts are scanned row by row where Spark reads them; only words and values are shuffled. Offsets are code points, ends exclusive.
 
-Edge cases: a null text is empty and holds nothing. A null doc_id and repeated rows are rows like others. A value is
-costed up to MAX_VALUE characters, and one beyond that counts as brute force: it is above the threshold in any case
-but that of plain repeats.
+Words are ranked: COMMON_WORDS, then by how often they stand in all documents outside of such values (a secret does not make
+itself a word). Only words that some value holds are looked up and sent to the tasks.
+
+Edge cases: a null text is empty and holds nothing. A null doc_id and repeated rows are rows like others. A value of any
+length is costed whole: states at the threshold are dropped, so work grows with its length.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.llm.common import stored
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -35,7 +40,10 @@ CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|auth)\b["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*["']?([^\s"'`<>,;]{6,})""", re.I | re.A)
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "key", "auth")
 MIN_LOG_GUESSES = 10.0
-MAX_VALUE = 128
+#: log10 of the orders of so many parts; from the last on they alone reach the threshold.
+LOG_ORDERS = [math.log10(math.factorial(k)) for k in range(15)]
+#: Longer runs of letters are no words.
+LONGEST_WORD = 64
 
 # Words that attackers try first, in order of rank.
 COMMON_WORDS = (
@@ -47,7 +55,6 @@ COMMON_WORDS = (
     "horse", "battery", "staple", "love", "money", "system", "server", "public", "private", "access", "company", "house", "computer",
 )
 RANK = {word: rank for rank, word in enumerate(COMMON_WORDS, 1)}
-LONGEST_WORD = max(map(len, COMMON_WORDS))
 LEET = str.maketrans("@4310$57!", "aaeiosstl")
 #: Neighbours on a keyboard, row by row, and the alphabet.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
@@ -57,12 +64,12 @@ NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:], ro
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])([-/.]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d")
 
 
-def _word_cost(part: str) -> float | None:
+def _word_cost(part: str, ranks: dict[str, int] = RANK) -> float | None:
     plain = part.lower()
-    rank = RANK.get(plain)
+    rank = ranks.get(plain)
     changed = 1.0
     if rank is None:
-        rank, changed = RANK.get(plain.translate(LEET)), 4.0
+        rank, changed = ranks.get(plain.translate(LEET)), 4.0
         if rank is None:
             return None
     if part != plain:
@@ -70,53 +77,87 @@ def _word_cost(part: str) -> float | None:
     return math.log10(rank * changed + 1)
 
 
-def _parts(value: str) -> Iterator[tuple[int, int, float]]:
-    """Spans of a value that are cheaper than brute force: start, end, log10 of the guesses."""
-    n, low = len(value), value.lower()
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if (cost := _word_cost(value[i:j])) is not None:
-                yield i, j, cost
-        for j in range(i + 4, min(n, i + 10) + 1):
-            if DATE.fullmatch(value, i, j):
-                yield i, j, math.log10(120 if j - i == 4 else 120 * 365)
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEXT:
-            j += 1
+def _runs(n: int, same) -> tuple[list[int], list[int]]:
+    """For every place the start of the run that it lies in, and the run's end; same(j): whether j goes on from before."""
+    first, last = list(range(n)), [n] * n
+    for j in range(1, n):
+        if same(j):
+            first[j] = first[j - 1]
+    for j in range(n - 2, -1, -1):
+        last[j] = last[j + 1] if same(j + 1) else j + 1
+    return first, last
+
+
+def _parts(value: str, i: int, ranks: dict[str, int], walks, repeats) -> Iterator[tuple[int, float]]:
+    """Spans from i on that are cheaper than brute force: end, log10 of the guesses.
+
+    A walk or repeat that starts deep in a longer one goes LONGEST_WORD characters at most: for more, the longer one is cheaper.
+    """
+    n = len(value)
+    for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        if (cost := _word_cost(value[i:j], ranks)) is not None:
+            yield j, cost
+    for j in range(i + 4, min(n, i + 10) + 1):
+        if DATE.fullmatch(value, i, j):
+            yield j, math.log10(120 if j - i == 4 else 120 * 365)
+    first, last = walks[0][i], walks[1][i]
+    for j in range(i + 3, min(last, n if i - first <= LONGEST_WORD else i + LONGEST_WORD) + 1):
+        yield j, math.log10(47 * 2 * (j - i))
+    for width, (start, end) in enumerate(repeats, 1):  # wider ones cost MIN_LOG_GUESSES
+        if i + width >= n or end[i] < i + width:
+            continue
+        most = end[i] if i - start[i] <= LONGEST_WORD + width else min(end[i], i + LONGEST_WORD)
+        for j in range(i + 2 * width, most + 1, width):
             if j - i >= 3:
-                yield i, j, math.log10(47 * 2 * (j - i))
-        for width in range(1, (n - i) // 2 + 1):
-            times = 1
-            while value.startswith(value[i : i + width], i + times * width):
-                times += 1
-                if times * width >= 3:
-                    yield i, i + times * width, width + math.log10(times)
-
-
-def log_guesses(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of a value."""
-    if len(value) > MAX_VALUE:
-        return float(len(value)) if len(set(value)) > 2 else math.log10(len(value)) + 2
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(len(value) + 1)]
-    for i, j, cost in _parts(value):
-        ends[j].append((i, cost))
+                yield j, width + math.log10((j - i) // width)
+
+
+def _periods(value: str, width: int) -> tuple[list[int], list[int]]:
+    """For every place the first and the last (exclusive) of the stretch of this period that holds it."""
+    n = len(value)
+    same = [False] * width + [value[j] == value[j - width] for j in range(width, n)]
+    first, last = list(range(n)), [0] * n
+    at = n
+    for j in range(n - 1, -1, -1):  # the first place after j + width - 1 that does not go on
+        if j + width < n and not same[j + width]:
+            at = j + width
+        last[j] = at if j + width < n else n
+    for j in range(1, n):
+        if j + width - 1 < n and same[j + width - 1]:
+            first[j] = first[j - 1]
+    return first, last
+
+
+def log_guesses(value: str, ranks: dict[str, int] = RANK) -> float:
+    """log10 of the guesses for the cheapest segmentation of a value; infinite if that is MIN_LOG_GUESSES or more."""
+    n, low = len(value), value.lower()
+    walks = _runs(n, lambda j: (low[j - 1], low[j]) in NEXT)
+    repeats = [_periods(value, w) for w in range(1, min(int(MIN_LOG_GUESSES) - 1, n // 2) + 1)]
     # best[j]: number of parts -> cheapest cost of value[:j] in so many parts; brute: the same with a brute-force part last.
-    best: list[dict[int, float]] = [{0: 0.0}]
-    brute: list[dict[int, float]] = [{}]
-    for j in range(1, len(value) + 1):
-        tail = {k: c + 1.0 for k, c in brute[j - 1].items()}  # ten guesses a character
-        for k, c in best[j - 1].items():
-            tail[k + 1] = min(tail.get(k + 1, math.inf), c + 1.0)
-        now = dict(tail)
-        for i, cost in ends[j]:
+    best: list[dict[int, float]] = [{0: 0.0}, *({} for _ in range(n))]
+    brute: list[dict[int, float]] = [{} for _ in range(n + 1)]
+
+    def put(states: dict[int, float], k: int, c: float) -> None:
+        if c + LOG_ORDERS[min(k, len(LOG_ORDERS) - 1)] < MIN_LOG_GUESSES and c < states.get(k, math.inf):
+            states[k] = c
+
+    for i in range(n):
+        for k, c in brute[i].items():
+            put(best[i], k, c)
+            put(brute[i + 1], k, c + 1.0)  # ten guesses a character
+        if not best[i]:
+            continue
+        for k, c in best[i].items():
+            put(brute[i + 1], k + 1, c + 1.0)
+        for j, cost in _parts(value, i, ranks, walks, repeats):
             for k, c in best[i].items():
-                now[k + 1] = min(now.get(k + 1, math.inf), c + cost)
-        brute.append(tail)
-        best.append(now)
-    return min((c + math.log10(math.factorial(k)) for k, c in best[-1].items()), default=0.0)
+                put(best[j], k + 1, c + cost)
+    for k, c in brute[n].items():
+        put(best[n], k, c)
+    return min((c + LOG_ORDERS[k] for k, c in best[n].items()), default=math.inf)
 
 
-def spans(text: str) -> list[tuple[int, int, int, int]]:
+def spans(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, int, int, int]]:
     """start, number of the kind, end, start of the value, in the order of the result."""
     found = []
     low = text.lower()
@@ -125,17 +166,64 @@ def spans(text: str) -> list[tuple[int, int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
-    if any(w in low for w in CONTEXT_WORDS):
-        base = sorted((a, b) for a, _, b, _ in found)
-        for m in CONTEXT.finditer(text):
-            a = m.start(1)
-            value = m.group(1).rstrip(".:!?)]}")
-            b = a + len(value)
-            if len(value) >= 6 and not any(x < b and a < y for x, y in base) and log_guesses(value) >= MIN_LOG_GUESSES:
-                found.append((a, 3, b, a))
+    base = sorted((a, b) for a, _, b, _ in found)
+    for a, b in values(text, low):
+        if b - a >= 6 and not any(x < b and a < y for x, y in base) and log_guesses(text[a:b], ranks) >= MIN_LOG_GUESSES:
+            found.append((a, 3, b, a))
     return sorted(found)
 
 
+def values(text: str, low: str) -> list[tuple[int, int]]:
+    """Places of the values after credential words."""
+    if not any(w in low for w in CONTEXT_WORDS):
+        return []
+    return [(m.start(1), m.start(1) + len(m.group(1).rstrip(".:!?)]}"))) for m in CONTEXT.finditer(text)]
+
+
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words outside of values, and how often."""
+    for batch in batches:
+        count: Counter[str] = Counter()
+        for t in batch.column(0).to_pylist():
+            low = (t or "").lower()
+            at = 0
+            for a, b in values(t or "", low) if len(low) == len(t or "") else [m.span(1) for m in CONTEXT.finditer(low)]:
+                count.update(LETTERS.findall(low[at:a]))
+                at = b
+            count.update(LETTERS.findall(low[at:]))
+        some = {w: n for w, n in count.items() if len(w) <= LONGEST_WORD}
+        yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], names=["word", "n"])
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whatever could be a word inside the values."""
+    for batch in batches:
+        some = set()
+        for t in batch.column(0).to_pylist():
+            for a, b in values(t or "", (t or "").lower()):
+                low = t[a:b].lower()
+                for v in {low, low.translate(LEET)}:
+                    for m in LETTERS.finditer(v):
+                        run = m.group()
+                        some.update(run[i:j] for i in range(len(run) - 2) for j in range(i + 3, min(len(run), i + LONGEST_WORD) + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(some), pa.string())], names=["word"])
+
+
+def ranked(docs: DataFrame) -> dict[str, int]:
+    """The rank of every word that a value of docs holds: COMMON_WORDS, then by count over all documents, ties alike."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    known = stored(texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    by_count = known.groupBy("n").agg(F.count("*").alias("words"))
+    above = by_count.select("n", (F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")).alias("above"))  # distinct counts
+    wanted = texts.mapInArrow(_wanted, "word string").distinct()
+    found = known.join(wanted, "word").join(F.broadcast(above), "n").select("word", "above").toArrow()
+    ranks = {w: len(COMMON_WORDS) + 1 + r for w, r in zip(found.column("word").to_pylist(), found.column("above").to_pylist(), strict=True)}
+    return ranks | RANK
+
+
 def _joined(found: list[tuple[int, int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b, _ in found)
 
@@ -143,9 +231,9 @@ def _joined(found: list[tuple[int, int, int, int]]) -> str:
 SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], ranks: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [spans(t.as_py() or "") for t in batch.column(1)]
+        rows = [spans(t.as_py() or "", ranks) for t in batch.column(1)]
         counts = [pa.array([sum(s[1] == kind for s in r) for r in rows], pa.int64()) for kind in range(4)]
         base = [hashlib.sha256(_joined([s for s in r if s[1] < 3]).encode()).hexdigest() for r in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array([_joined(r) for r in rows], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
@@ -153,27 +241,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """The secrets of docs (doc_id, text): counts by kind, a digest of the base spans, and all spans as kind:start:end."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, SCANNED)
+    held = docs.sparkSession.sparkContext.broadcast(ranked(docs))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lambda it: _scan(it, held.value), SCANNED)
 
 
 MASK = "[REDACTED]"
 
 
-def masked(text: str) -> str:
+def masked(text: str, ranks: dict[str, int] = RANK) -> str:
     """The text with the values of its secrets replaced, overlapping ones as one."""
     out, at = [], 0
-    for a, b in sorted((value, b) for _, _, b, value in spans(text)):
+    for a, b in sorted((value, b) for _, _, b, value in spans(text, ranks)):
         if a >= at:
             out += [text[at:a], MASK]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
-def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mask(batches: Iterator[pa.RecordBatch], ranks: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         texts = [t.as_py() for t in batch.column("text")]
-        clean = [t and masked(t) for t in texts]
+        clean = [t and masked(t, ranks) for t in texts]
         columns = dict(zip(names, batch.columns, strict=True))
         columns["text"] = pa.array(clean, batch.schema.field("text").type)
         if "n_chars" in columns:
@@ -184,4 +274,5 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the secrets in text masked; n_chars, if there is one, follows where a text changed."""
-    return docs.mapInArrow(_mask, docs.schema)
+    held = docs.sparkSession.sparkContext.broadcast(ranked(docs))
+    return docs.mapInArrow(lambda it: _mask(it, held.value), docs.schema)
