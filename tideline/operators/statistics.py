@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,22 +131,52 @@ def effects(rows: DataFrame, group: str, value: str, order: list[str]) -> DataFr
     return stats.join(after, "at").select(F.col(group).alias("a"), "b", F.when(pooled > 0, (F.col("mean") - F.col("m2")) / pooled).otherwise(0.0).alias("d"))
 
 
+#: Values of a group that one task resamples.
+BLOCK = 4096
+
+
+def block_shares(sizes: list[int], at: int, resamples: int, seed: int) -> np.ndarray:
+    """How many of a resample's draws fall into block `at`, by resample: the blocks' shares are multinomial. Blocks are halved
+    down to one; a half's draws depend on seed and place in the tree only, so all tasks agree without talking."""
+    lo, hi, node = 0, len(sizes), 1
+    left = np.full(resamples, sum(sizes))
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        draw = np.random.RandomState([seed, node]).binomial(left, sum(sizes[lo:mid]) / sum(sizes[lo:hi]))
+        left, lo, hi, node = (draw, lo, mid, 2 * node) if at < mid else (left - draw, mid, hi, 2 * node + 1)
+    return left
+
+
 def bootstrap(rows: DataFrame, keys: list[str], value: str, order: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """keys, n, mean, lower, upper: the mean and its 95 % percentile interval over resamples; nulls are dropped, an empty group gives
-    zeros. Values are put in the order of a column first, so the seed gives the same interval in every run."""
+    zeros. Blocks of a group's values are resampled in tasks of their own, in the order of a column, so the seed gives the
+    same interval in every run."""
 
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf.sort_values("order_")["value_"].dropna().to_numpy(float)
-        means = np.zeros(1)
-        if len(known):
-            draw = np.random.RandomState(seed)
-            means = np.array([draw.choice(known, len(known)).mean() for _ in range(resamples)])
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([[*pdf[keys].iloc[0], len(known), known.mean() if len(known) else 0.0, low, high]], columns=[*keys, "n", "mean", "lower", "upper"])
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf.sort_values(["order_", "value_"])["value_"].to_numpy(float)
+        sizes, at = [int(x) for x in pdf["sizes_"].iloc[0]], int(pdf["at_"].iloc[0])
+        draw = np.random.RandomState(seed if len(sizes) == 1 else [seed, 0, at])
+        total = [draw.choice(known, k).sum() for k in block_shares(sizes, at, resamples, seed)]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * (resamples + 1) for k in keys}, "at_": at, "resample_": range(-1, resamples), "sum_": [known.sum(), *total]})  # -1: all values
 
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+
+    def with_group(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        right = right.withColumnsRenamed({k: f"{k}_of" for k in keys})
+        same = functools.reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys))
+        return left.join(right, same, how).drop(*(f"{k}_of" for k in keys))
+
     part = rows.select(*keys, F.col(value).cast("double").alias("value_"), F.col(order).alias("order_"))
-    return part.groupBy(*keys).applyInPandas(interval, f"{kinds}, n long, mean double, lower double, upper double")
+    groups = part.groupBy(*keys).agg(F.count("value_").alias("n"))
+    part = part.where("value_ is not null")
+    dealt = with_group(part, groups).select(*keys, "value_", "order_", F.pmod(F.xxhash64("order_", "value_"), F.ceil(F.col("n") / BLOCK)).alias("block_"))
+    blocks = dealt.groupBy(*keys, "block_").count().groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block_", "count"))).alias("blocks_"))
+    dealt = with_group(dealt, blocks).select(*keys, "value_", "order_", (F.array_position("blocks_.block_", F.col("block_")) - 1).alias("at_"), F.col("blocks_.count").alias("sizes_"))
+    drawn = dealt.groupBy(*keys, "at_").applyInPandas(sums, f"{kinds}, at_ long, resample_ long, sum_ double")
+    drawn = drawn.groupBy(*keys, "resample_").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("at_", "sum_"))), F.lit(0.0), lambda t, x: t + x["sum_"]).alias("sum_"))
+    ends = drawn.groupBy(*keys).agg(F.percentile(F.when(F.col("resample_") >= 0, F.col("sum_")), F.array(F.lit(0.025), F.lit(0.975))).alias("ends_"), F.max(F.when(F.col("resample_") < 0, F.col("sum_"))).alias("all_"))
+    per = lambda c: F.coalesce(F.try_divide(c, F.col("n")), F.lit(0.0))
+    return with_group(groups, ends, "left").select(*keys, "n", per(F.col("all_")).alias("mean"), per(F.col("ends_")[0]).alias("lower"), per(F.col("ends_")[1]).alias("upper"))
 
 
 def with_p(row, kind: str) -> dict:

@@ -71,7 +71,7 @@ def cohens_d(spark, folder):
 
 def bootstrap_ci(spark, folder):
     rows = curves.curve_summary(scores(spark, folder), KEY)
-    return rounded(S.bootstrap(rows, ["model", "lang"], "mean_ddm", "conv_id", resamples=1000))
+    return rounded(S.bootstrap(rows, ["model", "lang"], "mean_ddm", "conv_id", resamples=10_000))
 
 
 def p_values(spark, folder):
