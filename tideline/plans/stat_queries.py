@@ -126,9 +126,9 @@ def stream_turn_scores(spark, folder):
 def stream_curve_state(spark, folder):
     name = f"c{uuid.uuid4().hex}"
     at = _place(spark, f"{name}-in")
-    scores(spark, folder).select("conv_id", "turn", "ddm").coalesce(1).write.parquet(at)
+    scores(spark, folder).select("conv_id", "turn", "ddm").repartition("conv_id").write.parquet(at)
     stream = spark.readStream.schema("conv_id long, turn long, ddm double").parquet(at)
-    return rounded(live.run_available(live.stream_curves(stream), name, _place(spark, name), "update"))
+    return rounded(live.run_available(live.stream_curves(stream), name, _place(spark, name), "update", ("conv_id",)))
 
 
 # --- sources: written by our writers, read by our readers

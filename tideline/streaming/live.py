@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tideline.operators.scoring import LEVELS, Scoring, level_scores, weighted
 
@@ -68,8 +69,21 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour", time: str = "ts"
     return out.select("user_id", F.unix_timestamp("w.start").alias("start_s"), F.unix_timestamp("w.end").alias("end_s"), "n")
 
 
-def run_available(stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
-    """What a stream says of all that is there now, as a table in memory: for small results and tests."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, name: str, folder: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """What a stream says of all that is there now, as a table beside the checkpoint in folder: every row (append), the
+    last batch's (complete), or the last of every key (update). Executors write it; nothing is gathered in the driver."""
+    spark, at = stream.sparkSession, f"{folder}-out"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/batch=-1")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/batch={batch}")  # a batch that runs again replaces itself
+
+    query = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(at)
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    if mode == "update":
+        last = out.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("last"))
+        return last.select("last.*")
+    return out.drop("batch")
