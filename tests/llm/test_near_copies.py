@@ -55,3 +55,18 @@ def test_repeated_ids_with_different_texts_stay(spark):
     a, b = words(80, 1), words(80, 2)
     table = spark.createDataFrame([(1, a), (1, a), (1, b), (None, words(80, 3)), (None, words(80, 4))], "doc_id long, text string")
     assert sorted(x.text for x in simhash.keep_one(table).collect()) == sorted([a, b, words(80, 3), words(80, 4)])
+
+
+def test_hot_passage_and_hot_copies(spark, monkeypatch):
+    """A passage that many different texts share, and a large group of near-copies, over units of few rows."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "GATHER", 50)
+    shared = words(40, 77, 400)
+    base = words(150, 5, 400).split()
+    texts = [" ".join([shared, words(60, 200 + i, 400)]) for i in range(60)]
+    for i in range(70):
+        own = list(base)
+        own[i] = f"new{i}"
+        texts.append(" ".join(own))
+    texts += [words(60, 500 + i // 2, 400) + (" end" if i % 2 else "") for i in range(40)]
+    assert {x.doc_id for x in simhash.keep_one(docs(spark, texts)).collect()} == brute_kept(list(enumerate(texts)))

@@ -3,7 +3,8 @@
 import hashlib
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_contamination, brute_print, brute_quality
+from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_operators import brute_contamination, brute_quality
 from tideline.llm import secret_scan
 
 
@@ -29,12 +30,7 @@ def test_stages(spark, sf):
     good = out["quality"]
     assert good and not any(fails(r.text) for r in good.values())
     assert all(r.text.count("&&&") + r.text.count("%%%") < 5 for r in good.values())
-    ids = sorted(good)
-    roots = brute_components([brute_print(good[i].text) for i in ids])
-    least = {}
-    for i, r in zip(ids, roots, strict=True):
-        least.setdefault(r, i)
-    assert set(out["near_duplicates"]) == set(least.values())
+    assert set(out["near_duplicates"]) == brute_kept([(i, good[i].text) for i in sorted(good)])
     clean = {i for i, r in out["near_duplicates"].items() if not brute_contamination(r.text, items)[1]}
     assert set(out["decontamination"]) == clean and all(out["decontamination"][i].text == kept[i].text for i in clean)
     for i, r in out["secrets"].items():

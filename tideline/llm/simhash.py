@@ -13,7 +13,11 @@ Edge cases: a null or blank text has fingerprint 0 and links like any other. Row
 separate rows of the result. Rows with a null doc_id take part, but never name a component: component_id
 is null if no row of the component has an id. An empty table gives an empty result.
 
-keep_one, the pipeline's stage, goes by exact Jaccard similarity of word shingles instead, without fingerprints.
+keep_one, the pipeline's stage, links by Jaccard similarity of five-word shingles: fingerprints of shingle sets are compared
+bit-sliced where two sets share a rare shingle, and what is within a wide radius is confirmed by the sets themselves.
+
+Very long texts are hashed piece by piece, and texts of any length have one fingerprint. Extra columns pass keep_one untouched,
+whatever their names; near_duplicates reads doc_id (a whole number) and text alone.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import BROADCAST_ROWS, small_or_shuffled, stored
+from tideline.llm.common import BROADCAST_ROWS, discard, small_or_shuffled, stored
 
 RADIUS = 4
 SHINGLE = 4
@@ -36,12 +40,16 @@ SEED = 42
 #: Near-copies (keep_one): words of a shingle, and the least Jaccard similarity as a fraction.
 COPY_WIDTH = 5
 COPY_LEAST = (4, 5)
+#: Sets of COPY_LEAST differ in some 10 of 64 bits, with a deviation of 3: beyond this radius lies one link in a hundred million.
+COPY_RADIUS = 26
 #: One document in so many says which shingles are common; this changes the work, not the result.
 ORDER_SAMPLE = 64
 #: Rows of a bucket that are compared in one place; larger buckets are cut.
 CHUNK = 2048
 #: (word of 64 candidates, fingerprint) pairs compared in one go: bounds a task's memory.
 STEP = 40_000
+#: Rows that a task compares together, besides the last unit's: bounds its memory too.
+GATHER = 50_000
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -56,8 +64,9 @@ def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> list[
     return [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
-    hashes = np.array(shingle_hashes(text, width, seed), dtype=">u8")
+def majority(hashes: np.ndarray) -> int:
+    """Bit b set if more than half of the 64-bit hashes have it."""
+    hashes = hashes.astype(">u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -65,6 +74,10 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(np.array(shingle_hashes(text, width, seed), np.uint64))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width, seed) for t in batch.column(2)]
@@ -116,11 +129,12 @@ def _add(total: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, n
 def near_lanes(planes: np.ndarray, block: np.ndarray, prints: np.ndarray, dead: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs of a block and a fingerprint have candidates within the radius, and the 64-bit mask of those.
 
-    dead: lanes that hold no candidate. The counters hold 0 to 7 in three words, and a sticky word for 8 and more,
-    so the radius is at most 7.
+    dead: lanes that hold no candidate. The counters are three words for 0 to 7, one more for each power of two up to the
+    radius, and a sticky word for what is beyond.
     """
     live = np.arange(len(block))
-    ones = twos = fours = eights = np.zeros(len(block), np.uint64)
+    ones = twos = fours = sticky = np.zeros(len(block), np.uint64)
+    high = [ones] * max(0, radius.bit_length() - 3)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     for group in range(0, 64, 8):
         x = []
@@ -133,22 +147,24 @@ def near_lanes(planes: np.ndarray, block: np.ndarray, prints: np.ndarray, dead:
         ones, a = _add(ones, x[4], x[5])
         ones, b = _add(ones, x[6], x[7])
         twos, d = _add(twos, a, b)
-        fours, e = _add(fours, c, d)
-        eights = eights | e
-        over = eights | dead | _above((ones, twos, fours), radius)
+        fours, carry = _add(fours, c, d)
+        for k, word in enumerate(high):
+            high[k], carry = word ^ carry, word & carry
+        sticky = sticky | carry
+        over = sticky | dead | _above((ones, twos, fours, *high), radius)
         keep = over != full
         if not keep.all():
             live, block, prints, dead, over = live[keep], block[keep], prints[keep], dead[keep], over[keep]
-            ones, twos, fours, eights = ones[keep], twos[keep], fours[keep], eights[keep]
+            ones, twos, fours, sticky, *high = (w[keep] for w in (ones, twos, fours, sticky, *high))
         if not len(live):
             return live, np.zeros(0, np.uint64)
     return live, ~over
 
 
-def _above(counter: tuple[np.ndarray, np.ndarray, np.ndarray], most: int) -> np.ndarray:
-    """Lanes whose three-bit counter is above `most` (0 to 7)."""
+def _above(counter: tuple[np.ndarray, ...], most: int) -> np.ndarray:
+    """Lanes whose counter, a word for each bit, is above `most`."""
     over, equal = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
-    for bit in (2, 1, 0):
+    for bit in reversed(range(len(counter))):
         if most >> bit & 1:
             equal = equal & counter[bit]
         else:
@@ -175,12 +191,9 @@ class Forest:
                 self.root = up
 
 
-def links_in(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest, as fingerprints. Rows with equal unit meet: side 0 among itself if alone, else side 0 with 1."""
-    order = np.lexsort((prints, side, unit))
-    unit, side, prints = unit[order], side[order], prints[order]
-    nodes, node = np.unique(prints, return_inverse=True)
-    forest = Forest(len(nodes))
+def meetings(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within the radius, some at a time. Rows, in order of unit and side, with equal unit meet: side 0 among
+    itself if alone, else side 0 with 1."""
     cut = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
     end = np.append(cut[1:], len(unit))
     zeros = np.add.reduceat((side == 0).astype(np.int64), cut)
@@ -205,35 +218,70 @@ def links_in(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int
         live, mask = near_lanes(planes, block, prints[row], lanes[block], radius)
         bits = np.unpackbits(mask.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         pair, lane = np.nonzero(bits)
-        u, v = row[live][pair], block_at[block[live][pair]] + lane
+        yield row[live][pair], block_at[block[live][pair]] + lane
+
+
+def links_in(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the meetings, as fingerprints."""
+    order = np.lexsort((prints, side, unit))
+    unit, side, prints = unit[order], side[order], prints[order]
+    nodes, node = np.unique(prints, return_inverse=True)
+    forest = Forest(len(nodes))
+    for u, v in meetings(unit, side, prints, radius):
         forest.join(node[u], node[v])
     linked = np.flatnonzero(forest.root != np.arange(len(nodes)))
     return nodes[linked], nodes[forest.root[linked]]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Numbers of the units, and the rows, of GATHER rows or more in whole units at a time. Rows are sorted by unit: their
+    first three columns."""
+    held, n = [], 0
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        columns = [table.column(i).to_numpy() for i in range(3)]
+        return np.cumsum(np.any([np.diff(c, prepend=c[:1]) != 0 for c in columns], axis=0))
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= GATHER:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            unit = numbered(rows)
+            whole = int(np.searchsorted(unit, unit[-1]))
+            if whole:
+                yield unit[:whole], rows.slice(0, whole)
+            held, n = rows.slice(whole).to_batches(), rows.num_rows - whole
+    if n:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield numbered(rows), rows
+
+
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    parts = list(batches)  # a partition of Spark's shuffle, five numbers a row
-    if not sum(p.num_rows for p in parts):
-        return
-    held = pa.Table.from_batches(parts).combine_chunks()
-    key, a, b, side, prints = (held.column(i).to_numpy() for i in range(5))
-    _, unit = np.unique(np.stack([key, a, b]), axis=1, return_inverse=True)
-    u, v = links_in(unit.ravel(), side, prints.view(np.uint64), radius)
-    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+    for unit, rows in gathered(batches):
+        side, prints = rows.column("side").to_numpy(), rows.column("print").to_numpy().view(np.uint64)
+        u, v = links_in(unit, side, prints, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+
+def units(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """rows dealt out by units (key, a, b), sorted: a key's rows are cut into chunks of about CHUNK, and every two chunks, and
+    each with itself, meet in a place of their own; side tells a's rows (0) from b's (1)."""
+    large = rows.groupBy(key).count().where(F.col("count") > CHUNK).select(F.col(key).alias("key_"), F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(small_or_shuffled(stored(large, "buckets")), F.col(key) == F.col("key_"), "left").drop("key_").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = F.pmod(F.xxhash64(member, key), F.col("chunks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    a, b = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == a, 0).otherwise(1)
+    rest = [c for c in rows.columns if c not in (key, "own", "other", "chunks")]
+    return rows.select(F.col(key).alias("key"), a.alias("a"), b.alias("b"), side.alias("side"), *rest).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side")
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """u, v: enough links between the distinct fingerprints of a stored table `print` to connect all that are connected."""
     keys = bands(prints.count(), radius)
-    dealt = prints.select("print", F.explode(F.array(*[_key(i, k) for i, k in enumerate(keys)])).alias("key"))
-    large = stored(dealt.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "buckets")
-    dealt = dealt.join(small_or_shuffled(large), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("print", "key"), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    a, b = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == a, 0).otherwise(1)
-    units = dealt.select("key", a.alias("a"), b.alias("b"), side.alias("side"), "print").repartition("key", "a", "b")
-    return units.mapInArrow(partial(_links, radius=radius), "u long, v long")
+    dealt = prints.select("print", F.explode(F.array(*[_key(i, k) for i, k in enumerate(keys)])).alias("band"))
+    return units(dealt, "band", "print").mapInArrow(partial(_links, radius=radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,92 +313,137 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return marked.join(named, "print").select("doc_id", "mark", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingled(batches: Iterator[pa.RecordBatch], late: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of each text the id and size of its set of shingles, and the set's first fifth: rare ones (not in `late`) first."""
+def copy_shingles(text: bytes) -> np.ndarray:
+    """The set of a text's COPY_WIDTH-word shingles as sorted signed hashes."""
+    return np.unique(np.array(shingle_hashes(text, COPY_WIDTH), np.uint64).view(np.int64))
+
+
+def _set_id(held: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(held.tobytes(), SEED)
+
+
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the id, size and fingerprint of its set of shingles."""
     for batch in batches:
-        ids, sizes, firsts = [], [], []
-        for t in batch.column(2):
-            held = copy_shingles(t.as_buffer().to_pybytes() if t.is_valid else b"")
-            ids.append(xxhash.xxh64_intdigest(held.tobytes(), SEED))
-            sizes.append(len(held))
-            at = np.minimum(np.searchsorted(late, held), max(len(late) - 1, 0))
-            order = np.lexsort((held, np.where(late[at] == held, rank[at], 0))) if len(late) else np.arange(len(held))
-            firsts.append(held[order[: len(held) - -(-len(held) * COPY_LEAST[0] // COPY_LEAST[1]) + 1]])
-        flat = pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)]))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), flat)
-        arrays = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "id", "size", "first"])
+        found = [(_set_id(held), len(held), majority(held.view(np.uint64))) for held in map(copy_shingles, _bytes(batch.column(2)))]
+        ids, sizes, prints = zip(*found, strict=True) if found else ((), (), ())
+        signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, prints)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed[0], pa.array(sizes, pa.int32()), signed[1]], names=["doc_id", "mark", "id", "size", "print"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held = [copy_shingles(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tolist() for h in held], pa.list_(pa.int64()))], names=["id", "grams"])
+        held = [copy_shingles(t) for t in _bytes(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], names=["gram"])
 
 
-def copy_shingles(text: bytes) -> np.ndarray:
-    """The set of a text's COPY_WIDTH-word shingles as sorted signed hashes."""
-    return np.unique(np.array(shingle_hashes(text, COPY_WIDTH), np.uint64).view(np.int64))
+def _firsts(batches: Iterator[pa.RecordBatch], late: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The first fifth of each set of shingles: rare ones (not in `late`) first."""
+    for batch in batches:
+        ids, firsts = [], []
+        for held in map(copy_shingles, _bytes(batch.column(0))):
+            at = np.minimum(np.searchsorted(late, held), max(len(late) - 1, 0))
+            order = np.lexsort((held, np.where(late[at] == held, rank[at], 0))) if len(late) else np.arange(len(held))
+            firsts.append(held[order[: len(held) - -(-len(held) * COPY_LEAST[0] // COPY_LEAST[1]) + (len(held) > 0)]])
+            ids.append(_set_id(held))
+        own = np.repeat(np.array(ids, np.uint64).view(np.int64), [len(f) for f in firsts])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])), pa.array(own)], names=["gram", "id"])
 
 
-def _similar(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Of the pairs u, v of sets those with Jaccard similarity of COPY_LEAST or more, by their whole sets."""
-    a, b = grams.toDF("u", "gu"), grams.toDF("v", "gv")
-    n = F.size(F.array_intersect("gu", "gv")).cast("long")
+def _apart(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a unit with different labels, sizes that allow COPY_LEAST, and fingerprints within the radius."""
     up, down = COPY_LEAST
-    return pairs.join(a, "u").join(b, "v").where(n * (up + down) >= up * (F.size("gu") + F.size("gv"))).select("u", "v")
+    for unit, rows in gathered(batches):
+        side, prints, ids, sizes, labels = (rows.column(c).to_numpy() for c in ("side", "print", "id", "size", "label"))
+        sizes = sizes.astype(np.int64)
+        for u, v in meetings(unit, side, prints.view(np.uint64), radius):
+            good = (labels[u] != labels[v]) & (np.minimum(sizes[u], sizes[v]) * down >= np.maximum(sizes[u], sizes[v]) * up)
+            u, v = ids[u[good]], ids[v[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
-def copy_links(marked: DataFrame, docs: DataFrame) -> DataFrame:
-    """u, v: enough pairs of similar sets to connect all that are connected, from marked (doc_id, mark, id, size, first).
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a home and a guest whose sets have COPY_LEAST. Rows are sorted by home and part, the home's own text first."""
+    up, down = COPY_LEAST
+    at, own = None, np.zeros(0, np.int64)
+    for batch in batches:
+        u, v = [], []
+        for home, part, guest, text in zip(*(batch.column(i).to_pylist() for i in range(3)), _bytes(batch.column(3)), strict=True):
+            held = copy_shingles(text)
+            if guest is None:
+                at, own = (home, part), held
+            elif at == (home, part) and len(np.intersect1d(own, held, True)) * (up + down) >= up * (len(own) + len(held)):
+                u.append(home)
+                v.append(guest)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the stored pairs u, v of sets those with Jaccard similarity of COPY_LEAST or more, by their whole sets. A set's text goes
+    where the pairs are that it is the home (u) of, in parts of CHUNK guests."""
+    homes = pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    guests = pairs.join(homes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("guest"), F.col("v").alias("id"))
+    own = homes.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("guest"), F.col("u").alias("id"))
+    wanted = guests.union(own).join(sets.select("id", F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")), "id")
+    wanted = small_or_shuffled(stored(wanted.select("u", "part", "guest", "of_id", "of_mark"), "wanted"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))
+    rows = texts.join(wanted, same).select("u", "part", "guest", "text").repartition("u", "part").sortWithinPartitions("u", "part", F.col("guest").asc_nulls_first())
+    return rows.mapInArrow(_confirmed, "u long, v long").distinct()
+
+
+def copy_links(sets: DataFrame, texts: DataFrame, late: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """u, v: enough pairs of similar sets to connect all that are connected. sets (stored): id, size, print, doc_id, mark (of
+    one text); texts: doc_id, mark, text.
 
     Two similar sets share a shingle of their first fifths, in whatever order common to all. First every set meets only
-    the smallest one of each shared shingle; where all sets of a shingle are connected by then, no other pair of it counts.
+    one set of each shared shingle; where all sets of a shingle are connected by then, no other pair of it counts. The
+    others meet bit-sliced, in units of two chunks.
     """
     up, down = COPY_LEAST
-    sets = marked.groupBy("id").agg(F.min("size").alias("size"), F.min(F.struct("doc_id", "mark")).alias("row"), F.first("first").alias("first"))
-    sets = stored(sets.where("size > 0"), "sets")
-    dealt = sets.select("id", "size", F.explode("first").alias("gram"))
-    shared = dealt.groupBy("gram").agg(F.count("*").alias("sets"), F.min(F.struct("size", "id")).alias("least")).where("sets > 1")
-    held = stored(dealt.join(shared.hint("merge"), "gram"), "held")
-    stars = held.where((F.col("id") != F.col("least.id")) & (F.col("least.size") * down >= F.col("size") * up))
-    stars = stored(stars.select(F.least("id", "least.id").alias("u"), F.greatest("id", "least.id").alias("v")).distinct(), "star-pairs")
-
-    def whole(pairs: DataFrame) -> DataFrame:
-        some = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        rows = stored(sets.join(some, "id", "left_semi").select("id", F.col("row.doc_id").alias("doc_id_"), F.col("row.mark").alias("mark_")), "rows")
-        known = small_or_shuffled(rows)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("mark"))
-        texts = texts.join(known, texts.doc_id.eqNullSafe(known.doc_id_) & (texts.mark == known.mark_)).select("id", "text")
-        return stored(texts.dropDuplicates(["id"]).mapInArrow(_grams, "id long, grams array<long>"), "grams")
-
-    near = stored(_similar(stars, whole(stars)), "near")
-    label = components(near)
-    label = stored(label.union(label.select("root", "root").distinct()), "labels")
-    open_ = held.where("sets > 2").join(small_or_shuffled(label), F.col("id") == F.col("node"), "left").select("gram", "id", "size", F.coalesce("root", "id").alias("label"))
+    dealt = texts.select("text").mapInArrow(partial(_firsts, late=late, rank=rank), "gram long, id long")
+    shared = dealt.groupBy("gram").agg(F.min("id").alias("home"), F.max("id").alias("last")).where("home < last").drop("last")
+    shared = stored(shared, "shared")
+    held = stored(dealt.join(small_or_shuffled(shared), "gram").distinct(), "held")
+    discard(shared)
+    known = small_or_shuffled(sets)
+    a, b = (known.select(F.col("id").alias(f"id_{x}"), F.col("size").alias(f"size_{x}"), F.col("print").alias(f"print_{x}")) for x in "ab")
+    near = (F.least("size_a", "size_b") * down >= F.greatest("size_a", "size_b") * up) & (F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= COPY_RADIUS)
+    stars = held.where("id <> home").select(F.col("home").alias("u"), F.col("id").alias("v")).distinct()
+    stars = stored(stars.join(a, F.col("u") == F.col("id_a")).join(b, F.col("v") == F.col("id_b")).where(near).select("u", "v"), "star-pairs")
+    linked = stored(confirmed(stars, sets, texts), "star-links")
+    label = components(linked)
+    label = small_or_shuffled(stored(label.union(label.select("root", "root").distinct()), "labels"))
+    open_ = held.join(label, F.col("id") == F.col("node"), "left").select("gram", "id", F.coalesce("root", "id").alias("label"))
     open_ = stored(open_, "open")
-    mixed = open_.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram")
-    open_ = stored(open_.join(mixed, "gram", "left_semi"), "mixed")
-    a, b = open_.alias("a"), open_.alias("b")
-    apart = F.expr(f"a.gram = b.gram and a.id < b.id and a.label <> b.label and least(a.size, b.size) * {down} >= greatest(a.size, b.size) * {up}")
-    rest = a.join(b, apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    rest = stored(rest.join(stars, ["u", "v"], "left_anti"), "rest-pairs")
-    return near.union(_similar(rest, whole(rest)))
+    mixed = open_.groupBy("gram").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("n > 2 and a <> b").select("gram")
+    open_ = open_.join(stored(mixed, "mixed").hint("merge"), "gram", "left_semi")
+    open_ = stored(open_.join(known.select(F.col("id").alias("id_"), "size", "print"), F.col("id") == F.col("id_")).drop("id_"), "mixed-sets")
+    discard(held)
+    rest = units(open_, "gram", "id").mapInArrow(partial(_apart, radius=COPY_RADIUS), "u long, v long").distinct()
+    met = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    rest = stored(rest.join(met, ["u", "v"], "left_anti"), "rest-pairs")
+    return linked.union(confirmed(rest, sets, texts))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Docs with one document of each group of near-copies (connected by Jaccard similarities of COPY_LEAST or more of their
     sets of COPY_WIDTH-word shingles): that with the smallest doc_id, without ids that with the smallest hash of its text.
-    Rows of equal doc_id and text count as one. The similarity is exact; a sample of the documents only says which
-    shingles are common, and those come last in the order that finds candidates, which any order does."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
-    some = rows.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(ORDER_SAMPLE)) == 0).select("mark", "text").mapInArrow(_grams, "id long, grams array<long>")
-    common = some.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(BROADCAST_ROWS).toArrow()
+    Rows of equal doc_id and text count as one. Links are confirmed exactly; a sample of the documents only says which
+    shingles are common, and those come last in the order that finds candidates, which any order does. Texts without words
+    are one group."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    some = texts.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(ORDER_SAMPLE)) == 0).select("text").mapInArrow(_grams, "gram long")
+    common = some.groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(BROADCAST_ROWS).toArrow()
     late, rank = common.column("gram").to_numpy(), common.column("count").to_numpy()
     order = np.argsort(late)
-    found = rows.mapInArrow(partial(_shingled, late=late[order], rank=rank[order]), "doc_id long, mark long, id long, size int, first array<long>")
-    marked = stored(found, "marked")
-    linked = stored(components(copy_links(marked, docs)), "linked")
+    marked = stored(texts.mapInArrow(_sets, "doc_id long, mark long, id long, size int, print long"), "marked")
+    sets = marked.where("size > 0").groupBy("id").agg(F.first("size").alias("size"), F.first("print").alias("print"), F.min(F.struct("doc_id", "mark")).alias("row"))
+    sets = stored(sets.select("id", "size", "print", "row.doc_id", "row.mark"), "sets")
+    linked = stored(components(copy_links(sets, texts, late[order], rank[order])), "linked")
     member = linked.union(linked.select("root", "root").distinct())
     named = marked.groupBy("id").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "mark")).alias("best"), F.count("*").alias("n"))
     named = named.join(small_or_shuffled(stored(member, "members")), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"), "best", "n")
