@@ -11,7 +11,7 @@ from tideline.llm.suffix_dedup import deduplicate
 
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = deduplicate(table(spark, folder, "documents"), digest=True)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"), "n_passage_words")
 
 
 QUERIES = {"op7_suffix_dedup": op7_suffix_dedup}
