@@ -12,7 +12,8 @@ Texts are scanned row by row where Spark reads them; only words and values are s
 Words are ranked: COMMON_WORDS, then by how often they stand in all documents outside of such values (a secret does not make
 itself a word). Only words that some value holds are looked up and sent to the tasks.
 
-Edge cases: a null text is empty and holds nothing. A null doc_id and repeated rows are rows like others. A value of any
+Edge cases: an empty table gives an empty result. redact() returns the columns of docs, whatever their names; scan() reads doc_id (a
+whole number) and text alone. A null text is empty and holds nothing. A null doc_id and repeated rows are rows like others. A value of any
 length is costed whole: states at the threshold are dropped, so work grows with its length.
 """
 
@@ -183,19 +184,31 @@ def values(text: str, low: str) -> list[tuple[int, int]]:
 LETTERS = re.compile(r"[^\W\d_]{3,}")
 
 
+#: Distinct words that a task counts before it hands them on: bounds its memory.
+WORDS_HELD = 200_000
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words outside of values, and how often."""
+    count: Counter[str] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        some = {w: n for w, n in count.items() if len(w) <= LONGEST_WORD}
+        count.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], names=["word", "n"])
+
     for batch in batches:
-        count: Counter[str] = Counter()
-        for t in batch.column(0).to_pylist():
-            low = (t or "").lower()
+        for t in batch.column(0):
+            text = t.as_py() or ""
+            low = text.lower()
             at = 0
-            for a, b in values(t or "", low) if len(low) == len(t or "") else [m.span(1) for m in CONTEXT.finditer(low)]:
+            for a, b in values(text, low) if len(low) == len(text) else [m.span(1) for m in CONTEXT.finditer(low)]:
                 count.update(LETTERS.findall(low[at:a]))
                 at = b
             count.update(LETTERS.findall(low[at:]))
-        some = {w: n for w, n in count.items() if len(w) <= LONGEST_WORD}
-        yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], names=["word", "n"])
+            if len(count) > WORDS_HELD:
+                yield counted()
+    yield counted()
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
