@@ -1,9 +1,24 @@
-"""python -m tideline list | run QUERY FOLDER [OUT] | sample: the registered queries from the command line."""
+"""The library from the command line.
+
+python -m tideline list
+python -m tideline run FOLDER OUT [--queries NAME...] [--dry-run]
+python -m tideline drift | validate | fertility | expand CONVERSATIONS OUT [--langs LANG...] [--max-convs N] [--dry-run]
+python -m tideline sample
+
+run: registered queries over a folder of tables, all of them without --queries. The others read JSONL conversations (a pattern of
+paths, folders naming tier and language): drift writes turn scores and curve summaries, validate issues and a report,
+fertility token ratios to the English texts, expand the texts brought to the longest language's number of words.
+--max-convs keeps so many conversations of each tier and language, --dry-run two.
+"""
 
 from __future__ import annotations
 
+import argparse
 import sys
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 SAMPLE = [
     (0, "user", "How do I plan a week of meals?"),
     (1, "assistant", "[Turn: 1] Start small.\n1. List what you have.\n2. Pick three dishes. [Source: Dietary Guidelines]\n\n[SYS_ACK: ACTIVE]"),
@@ -12,35 +27,101 @@ SAMPLE = [
     (4, "user", "Thanks."),
     (5, "assistant", "You are welcome."),
 ]
+KEY = ("tier", "lang", "conv_id")
+DRY = 2
+FILLERS = ("In other words, the same holds here.", "Put differently, nothing else changes.")
 
 
-def session():
-    from pyspark.sql import SparkSession
-
+def session() -> SparkSession:
     spark = SparkSession.builder.appName("tideline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def conversations(spark: SparkSession, pattern: str, langs: list[str] | None = None, most: int | None = None) -> DataFrame:
+    from tideline.operators.cohorts import first_n
+    from tideline.sources import tables
+
+    rows = tables.languages(tables.read_conversations(spark, pattern), langs)
+    if most is None:
+        return rows
+    return rows.join(first_n(rows.select(*KEY).distinct(), ["tier", "lang"], "conv_id", most), list(KEY), "left_semi")
+
+
+def drift(rows: DataFrame, out: str) -> None:
+    from tideline.operators import curves, scoring
+
+    scoring.score_turns(rows, KEY).write.mode("overwrite").parquet(f"{out}/turns")
+    turns = rows.sparkSession.read.parquet(f"{out}/turns")
+    curves.drift_summary(turns, KEY).write.mode("overwrite").parquet(f"{out}/summary")
+
+
+def validate(rows: DataFrame, out: str) -> None:
+    from tideline.operators import validate as V
+
+    rows = rows.withColumn("conv_id", F.concat_ws("/", *KEY))  # a conversation is one in its tier and language
+    V.issues(rows).write.mode("overwrite").parquet(f"{out}/issues")
+    V.report(rows, rows.sparkSession.read.parquet(f"{out}/issues")).write.mode("overwrite").parquet(f"{out}/report")
+
+
+def fertility(rows: DataFrame, out: str) -> None:
+    from tideline.functions import tokens
+    from tideline.operators import cohorts
+
+    pairs = cohorts.parallel_pairs(rows, ("tier", "conv_id", "msg_idx"))
+    count = lambda c: tokens.count_tokens(F.col(c), "whitespace")
+    counted = pairs.select("lang", F.lit("whitespace").alias("model"), count("text").alias("tokens"), count("en_text").alias("en_tokens"))
+    cohorts.fertility(counted, ["model", "lang"]).write.mode("overwrite").parquet(f"{out}/fertility")
+
+
+def expand(rows: DataFrame, out: str) -> None:
+    from tideline.functions import tokens
+    from tideline.operators import repair
+
+    sized = rows.withColumn("n", tokens.count_tokens(F.col("text"), "whitespace"))
+    target = sized.groupBy("tier", "conv_id", "msg_idx").agg(F.max("n").alias("target"))
+    both = sized.join(target, ["tier", "conv_id", "msg_idx"])
+    both.select(*KEY, "msg_idx", "role", repair.expanded(F.col("text"), F.col("target"), list(FILLERS)).alias("text")).write.mode("overwrite").parquet(f"{out}/expanded")
+
+
+VERBS = {f.__name__: f for f in (drift, validate, fertility, expand)}
+
+
+def sample(spark: SparkSession) -> None:
+    from tideline.operators.curves import curve_summary
+    from tideline.operators.scoring import score_turns
+
+    scored = score_turns(spark.createDataFrame([(1, *m) for m in SAMPLE], "conv_id int, msg_idx int, role string, text string"))
+    scored.orderBy("turn").show()
+    curve_summary(scored, ("conv_id",)).show()
+
+
 def main(args: list[str]) -> int:
     from tideline.plans import registry
 
-    if args == ["list"]:
+    parser = argparse.ArgumentParser(prog="tideline", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    parser.add_argument("verb", choices=["list", "run", "sample", *VERBS])
+    parser.add_argument("source", nargs="?")
+    parser.add_argument("out", nargs="?")
+    parser.add_argument("--queries", nargs="+", choices=sorted(registry.QUERIES), metavar="NAME")
+    parser.add_argument("--langs", nargs="+")
+    parser.add_argument("--max-convs", type=int)
+    parser.add_argument("--dry-run", action="store_true")
+    given = parser.parse_args(args)
+    if given.verb == "list":
         print("\n".join(sorted(registry.QUERIES)))
-    elif args[:1] == ["run"] and len(args) in (3, 4) and args[1] in registry.QUERIES:
-        found = registry.QUERIES[args[1]](session(), args[2])
-        found.write.mode("overwrite").parquet(args[3]) if len(args) == 4 else found.show(50, truncate=60)
-    elif args == ["sample"]:
-        from tideline.operators.curves import curve_summary
-        from tideline.operators.scoring import score_turns
-
-        spark = session()
-        scored = score_turns(spark.createDataFrame([(1, *m) for m in SAMPLE], "conv_id int, msg_idx int, role string, text string"))
-        scored.orderBy("turn").show()
-        curve_summary(scored, ("conv_id",)).show()
-    else:
-        print(__doc__)
+    elif given.verb == "sample":
+        sample(session())
+    elif not given.source or not given.out:
+        parser.print_usage()
         return 2
+    elif given.verb == "run":
+        for name in given.queries or sorted(registry.QUERIES):
+            found = registry.QUERIES[name](session(), given.source)
+            found.show(truncate=60) if given.dry_run else found.write.mode("overwrite").parquet(f"{given.out}/{name}")
+    else:
+        most = given.max_convs if given.max_convs is not None else DRY if given.dry_run else None
+        VERBS[given.verb](conversations(session(), given.source, given.langs, most), given.out)
     return 0
 
 

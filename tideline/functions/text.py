@@ -54,9 +54,14 @@ RECALL = {
 META = (r"\bswitching topics\b", r"\bswitching gears\b", r"\bmoving on\b", r"\bdifferent question\b", r"\bplot twist\b", r"\bokay\s*,?\s*so\s*,?\s*about\b")
 # Words that are nobody's in particular.
 COMMON_TERMS = (
-    "because should would could before after through between another example important recommend suggest consider actually really something"
-    " problem question different morning tonight already general overall specific").split()
-TOPIC_TERMS = "cooking cleaning bedroom kitchen morning evening weekend grocery exercise routine anxiety sleeping budgeting organize schedule".split()
+    "because", "should", "would", "could", "before", "after", "through", "between", "another", "example", "important",
+    "recommend", "suggest", "consider", "actually", "really", "something", "problem", "question", "different",
+    "morning", "tonight", "already", "general", "overall", "specific",
+)
+TOPIC_TERMS = (
+    "cooking", "cleaning", "bedroom", "kitchen", "morning", "evening", "weekend", "grocery", "exercise", "routine",
+    "anxiety", "sleeping", "budgeting", "organize", "schedule",
+)
 # References of a user to what was said.
 PHANTOMS = (
     r"(?dU)(?:you\s+(?:mentioned|said|suggested|told\s+me|recommended|asked\s+me))\s+(.{10,80}?)(?:\.|,|\?|!|$)",
@@ -233,6 +238,12 @@ def ngrams(listed: Column, n: int) -> Column:
     return F.array_distinct(bind(listed, runs))
 
 
+def gram_hashes(listed: Column, n: int) -> Column:
+    """Distinct runs of n words as 64-bit hashes: eight bytes a run, where only equality counts."""
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+    return F.array_distinct(bind(listed, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<bigint>"))))
+
+
 # --- extraction
 
 
@@ -247,7 +258,7 @@ def first_sentence(text: Column) -> Column:
     return F.lower(strip(F.substring_index(bare, ".", 1)))
 
 
-def terms(text: Column, least: int = 7, drop: list[str] | None = None) -> Column:
+def terms(text: Column, least: int = 7, drop: tuple[str, ...] | None = None) -> Column:
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b[a-z]{{{least},}}\b"), F.lit(0)))
     return F.array_except(found, F.array(*map(F.lit, drop))) if drop else found
 

@@ -131,9 +131,15 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("at_", at).where("at_ = 1").drop("at_")
 
 
+def drawn(seed: int, *columns: str | Column) -> Column:
+    """A whole number below 2 ** 40, from a hash of the columns."""
+    name = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns))
+    return F.conv(F.substring(F.md5(name), 1, 10), 16, 10).cast("long")
+
+
 def uniform(seed: int, *columns: str) -> Column:
     """In [0, 1), from a hash of the columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / float(1 << 40)
+    return drawn(seed, *columns) / float(1 << 40)
 
 
 def friction(turn: Column, roll: Column) -> Column:
@@ -143,10 +149,19 @@ def friction(turn: Column, roll: Column) -> Column:
 
 
 def rotation(position: Column, seed: int, styles: int = 10) -> Column:
-    """The style of a position: every block of `styles` positions uses each style once, in a hashed order."""
+    """The style of a position: every block of `styles` (4 or more) positions uses each style once, in a hashed order that begins
+    with two even styles and ends with two odd ones, so that the last two styles never come again at once."""
     block = F.floor(position / styles)
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(styles - 1)), lambda i: F.struct(F.xxhash64(F.lit(seed), block, i).alias("h"), i.alias("i"))))
-    return F.get(order, (position % styles).cast("int"))["i"]
+
+    def shuffled(first: int) -> Column:
+        some = F.array(*map(F.lit, range(first, styles, 2)))
+        return F.transform(F.array_sort(F.transform(some, lambda i: F.struct(drawn(seed, block, i).alias("h"), i.alias("i")))), lambda x: x.i)
+
+    even, odd = shuffled(0), shuffled(1)
+    inner = F.concat(F.slice(even, F.lit(3), F.size(even)), F.slice(odd, F.lit(1), F.size(odd) - 2))
+    inner = F.transform(F.array_sort(F.transform(inner, lambda i: F.struct(drawn(seed + 1, block, i).alias("h"), i.alias("i")))), lambda x: x.i)
+    order = F.concat(F.slice(even, 1, 2), inner, F.slice(odd, F.size(odd) - 1, F.lit(2)))
+    return F.get(order, (position % styles).cast("int"))
 
 
 # --- attention, as supplied weights

@@ -133,7 +133,7 @@ def context_budget(scores: DataFrame, key: Key, windows: DataFrame, default: int
     """Share of the model's context window in use at onset, at half life, at most and at the end. windows: model, context_window;
     a curve without any context_tokens counts 100 a turn."""
     known = F.max("context_tokens").over(Window.partitionBy(*key)).isNotNull()
-    rows = scores.join(F.broadcast(windows), "model", "left").withColumn("used", F.when(known, F.col("context_tokens")).otherwise(100 * F.col("turn")) / F.coalesce("context_window", F.lit(default)))
+    rows = scores.join(windows, "model", "left").withColumn("used", F.when(known, F.col("context_tokens")).otherwise(100 * F.col("turn")) / F.coalesce("context_window", F.lit(default)))
     s, t = F.col(score), F.col("turn")
     return rows.groupBy(*key).agg(
         F.min_by("used", F.when(s < 1, t)).alias("util_at_dop"), F.min_by("used", F.when(s <= 0.5, t)).alias("util_at_half_life"), F.max("used").alias("max_util"), F.max_by("used", "turn").alias("final_util"))

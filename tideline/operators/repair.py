@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions import text as T
+from tideline.operators.cohorts import drawn
 from tideline.operators.scoring import role_ordinal
 
 # Openings that replace banned ones.
@@ -116,12 +120,35 @@ def safety_net(messages: DataFrame) -> DataFrame:
     return strip_fillers(messages).withColumn("fixed", force_fix(F.col("fixed"), F.col("turn")))
 
 
+def audited(messages: DataFrame, rewrite: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 1) -> DataFrame:
+    """messages (conv_id, msg_idx, role, text) with the replies that fail a level rewritten, at most `rounds` times, and what fails
+    still made to meet the levels. rewrite takes the failing replies (conv_id, msg_idx, turn, text) and returns conv_id,
+    msg_idx, text: a call of a language model, if there is one. Returns messages with fixed: how a reply was mended, or null."""
+    names = messages.columns
+
+    def failing(rows: DataFrame) -> DataFrame:
+        said = role_ordinal(rows.where("role = 'assistant'"), ("conv_id",))
+        scores = T.validator_scores(F.col("text"), F.col("turn"))
+        return said.where(functools.reduce(lambda a, b: a | b, (c < 1 for c in scores.values()))).select("conv_id", "msg_idx", "turn", "text")
+
+    def put(rows: DataFrame, new: DataFrame, how: str) -> DataFrame:
+        both = rows.join(new.select("conv_id", "msg_idx", F.col("text").alias("new_")), ["conv_id", "msg_idx"], "left")
+        changed = F.col("new_").isNotNull()
+        return both.withColumns({"text": F.coalesce("new_", "text"), "fixed": F.when(changed, how).otherwise(F.col("fixed"))}).drop("new_")
+
+    rows = messages.withColumn("fixed", F.lit(None).cast("string"))
+    for _ in range(rounds if rewrite else 0):
+        rows = put(rows, rewrite(failing(rows)), "rewritten")
+    rows = put(rows, failing(rows).withColumn("text", force_fix(F.col("text"), F.col("turn"))), "forced")
+    return rows.select(*names, "fixed")
+
+
 def expanded(text: Column, target: Column, fillers: list[str], seed: int = 42) -> Column:
     """A text brought to at least `target` words: fillers in turn, from a hashed start, before sentences after the first; a
     single sentence is said again."""
     words = lambda c: F.size(T.words(c))
     parts = T.sentences(text)
-    start = F.pmod(F.xxhash64(F.lit(seed), text), F.lit(len(fillers)))
+    start = F.pmod(drawn(seed, text), F.lit(len(fillers)))
     shortest = min(len(f.split()) for f in fillers)
     lack = F.greatest(target - words(text), F.lit(0))
     n = F.least(F.ceil(lack / shortest).cast("int"), F.lit(51))

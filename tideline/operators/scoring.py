@@ -130,17 +130,19 @@ def transcript(messages: DataFrame, key: tuple[str, ...] = ("conv_id",), window:
 
 
 def older_summary(messages: DataFrame, keep: int, key: tuple[str, ...] = ("conv_id",), order: str = "msg_idx") -> DataFrame:
-    """What the messages before the last `keep` hold: the user's name, capitalised names and sources (the first 15), and
-    numbered advice (the last 8 lines, cut at 100 characters)."""
+    """What the messages before the last `keep` hold: the user's name, capitalised names that users say and sources that the
+    assistant cites (the first 15), and the assistant's numbered advice (the last 8 lines, cut at 100 characters)."""
     back = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc()))
     old = messages.withColumn("back", back).where(F.col("back") > keep)
-    name = F.regexp_extract("text", r"(?dU)\b(?:[Mm]y name is|I'm|I am)\s+([A-Z][a-z]+)", 1)
-    names = F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z][a-z]{3,}\b"), F.lit(0))
+    mine, theirs = F.col("role") == "user", F.col("role") == "assistant"
+    name = F.regexp_extract("text", r"(?dU)(?:I'm|I am|my name is|this is)\s+([A-Z][a-z]+)", 1)
+    names = F.filter(F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), F.lit(0)), lambda x: F.length(x) > 3)
     cited = F.regexp_extract_all("text", F.lit(r"(?dU)\[Source:\s*([^\]]+)\]"), F.lit(1))
-    advice = F.transform(F.regexp_extract_all("text", F.lit(r"(?mdU)^\s*\d+[.)]\s*(.+)$"), F.lit(1)), lambda x: F.substring(x, 1, 100))
+    lines = F.transform(F.regexp_extract_all("text", F.lit(r"(?mdU)^\s*\d+[.)\s]\s*(.+)$"), F.lit(1)), lambda x: F.substring(T.strip(x), 1, 100))
+    advice = F.struct(F.col(order).alias("at"), F.filter(lines, lambda x: x != "").alias("lines"))
     out = old.groupBy(*key).agg(
-        F.min(F.when((F.col("role") == "user") & (name != ""), F.struct(F.col(order).alias("at"), name.alias("name")))).alias("first"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(names, cited))))).alias("items"),
-        F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct(F.col(order).alias("at"), advice.alias("lines"))))).alias("advice"))
-    lines = F.flatten(F.transform("advice", lambda x: x.lines))
-    return out.select(*key, F.col("first.name").alias("user_name"), F.slice("items", 1, 15).alias("items"), F.slice(lines, F.greatest(F.size(lines) - 7, F.lit(1)), F.lit(8)).alias("advice"))
+        F.min(F.when(mine & (name != ""), F.struct(F.col(order).alias("at"), name.alias("name")))).alias("first"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(mine, names).when(theirs, cited))))).alias("items"),
+        F.array_sort(F.collect_list(F.when(theirs, advice))).alias("advice"))
+    said = F.flatten(F.transform("advice", lambda x: x.lines))
+    return out.select(*key, F.col("first.name").alias("user_name"), F.slice("items", 1, 15).alias("items"), F.slice(said, F.greatest(F.size(said) - 7, F.lit(1)), F.lit(8)).alias("advice"))

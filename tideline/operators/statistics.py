@@ -33,12 +33,29 @@ def anova(rows: DataFrame, group: str, value: str) -> DataFrame:
     return whole.select(F.col("k").alias("groups"), F.col("n").cast("long").alias("n"), f.alias("f_stat"))
 
 
+#: Ranges of values that are numbered apart.
+RANGES = 64
+
+
 def ranks(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """rank_: ranks from 1, ties averaged. Values are counted first, and ranks come from running counts over distinct values."""
+    """rank_: ranks from 1, ties averaged. Values are counted first; distinct values are cut into ranges at quantiles, numbered inside
+    their range, and moved by the counts of the ranges below (RANGES numbers a group)."""
     by = by or []
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("n_"))
-    up = Window.partitionBy(*by).orderBy(value)
-    placed = counts.withColumn("rank_", F.sum("n_").over(up) - F.col("n_") + (F.col("n_") + 1) / 2.0)
+    ends = F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)])
+    part = lambda found: F.size(F.filter(found, lambda e: e < F.col(value))).alias("part_")
+    if by:
+        found = counts.groupBy(*by).agg(ends.alias("ends_")).withColumnsRenamed({k: f"{k}_of" for k in by})
+        same = functools.reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in by))
+        parts = counts.join(found, same).select(*counts.columns, part(F.col("ends_")))
+    else:
+        parts = counts.select("*", part(F.array(*map(F.lit, counts.agg(ends).first()[0] or [None]))))
+    below = Window.partitionBy(*by).orderBy("part_") if by else Window.partitionBy(F.lit(0)).orderBy("part_")
+    sums = parts.groupBy(*by, "part_").agg(F.sum("n_").alias("all_"))
+    sums = sums.select(*by, "part_", (F.sum("all_").over(below) - F.col("all_")).alias("below_"))
+    up = Window.partitionBy(*by, "part_").orderBy(value)
+    placed = parts.withColumn("upto_", F.sum("n_").over(up)).join(sums, [*by, "part_"])
+    placed = placed.select(*by, value, "n_", (F.col("below_") + F.col("upto_") - F.col("n_") + (F.col("n_") + 1) / 2.0).alias("rank_"))
     return rows.join(placed, [*by, value])
 
 
@@ -72,15 +89,31 @@ def pairs_of(table: DataFrame, judge: str, item: str, value: str) -> DataFrame:
 
 
 def kendall_tau(table: DataFrame, judge: str, item: str, value: str) -> DataFrame:
-    """a, b, items, tau (b, for ties), discordant, of pairs of judges with three items or more; 0 where it isn't defined."""
+    """a, b, items, tau (b, for ties), discordant, of pairs of judges with three items or more; 0 where it isn't defined.
+
+    Discordant pairs are inversions: in order of x (then y), an item counts those before it with a greater y. Both ranks are
+    bits; at each bit two items that agree above it and differ there are met once, by running counts over that prefix. So the
+    work grows with the items and the bits of their number, not with pairs of items."""
     both = pairs_of(table, judge, item, value)
-    again = both.select("a", "b", F.col(item).alias("item2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    two = both.join(again, ["a", "b"]).where(F.col(item) < F.col("item2"))
-    dx, dy = F.signum(F.col("x") - F.col("x2")), F.signum(F.col("y") - F.col("y2"))
-    agg = two.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(dx * dy).alias("s"), F.count_if(dx == 0).alias("tx"), F.count_if(dy == 0).alias("ty"), F.count_if(dx * dy < 0).alias("discordant"))
-    items = F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long")
-    tau = F.try_divide(F.col("s"), F.sqrt((F.col("n") - F.col("tx")).cast("double") * (F.col("n") - F.col("ty"))))
-    return agg.withColumn("items", items).where("items >= 3").select("a", "b", "items", F.coalesce(tau, F.lit(0.0)).alias("tau"), "discordant", ((F.col("tx") + F.col("ty")) > 0).alias("ties"))
+    ranked = ranks(ranks(both, "x", ["a", "b"]).withColumnRenamed("rank_", "rx").drop("n_"), "y", ["a", "b"]).withColumnRenamed("rank_", "ry").drop("n_")
+    # Twice an averaged rank is a whole number; of y's rank each prefix of bits is a group.
+    rows = ranked.select("a", "b", (F.col("rx") * 2).cast("long").alias("rx"), (F.col("ry") * 2).cast("long").alias("ry"))
+    rows = rows.groupBy("a", "b", "rx", "ry").agg(F.count("*").alias("c"))
+    # One pass for all counts: bits from 0 on, and as -1, -2 and -3 the items that tie in x, in y and in both.
+    parts = """inline(concat(
+      transform(sequence(0, 40), bit -> named_struct('bit', bit, 'prefix', shiftright(ry, bit + 1), 'at', rx, 'one', shiftright(ry, bit) & 1L)),
+      array(named_struct('bit', -1, 'prefix', rx, 'at', 0L, 'one', 1L), named_struct('bit', -2, 'prefix', ry, 'at', 0L, 'one', 1L), named_struct('bit', -3, 'prefix', ry, 'at', rx, 'one', 1L))))"""
+    each = rows.select("a", "b", "c", F.expr(parts))
+    each = each.groupBy("a", "b", "bit", "prefix", "at").agg(F.sum(F.col("c") * F.col("one")).alias("high"), F.sum(F.col("c") * (1 - F.col("one"))).alias("low"))
+    before = F.sum("high").over(Window.partitionBy("a", "b", "bit", "prefix").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    of = lambda bit, x: F.sum(F.when(F.col("bit") == bit, x)).alias
+    tied = F.expr("high * (high - 1) div 2")
+    agg = each.withColumn("before", before).groupBy("a", "b").agg(
+        F.sum(F.when(F.col("bit") >= 0, F.col("low") * F.coalesce("before", F.lit(0)))).alias("discordant"), of(-1, tied)("tx"), of(-2, tied)("ty"), of(-3, tied)("txy"), of(-1, F.col("high"))("items"))
+    agg = agg.withColumn("n", F.expr("items * (items - 1) div 2"))
+    s = F.col("n") - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("discordant")
+    tau = F.try_divide(s, F.sqrt((F.col("n") - F.col("tx")).cast("double") * (F.col("n") - F.col("ty"))))
+    return agg.where("items >= 3").select("a", "b", "items", F.coalesce(tau, F.lit(0.0)).alias("tau"), "discordant", ((F.col("tx") + F.col("ty")) > 0).alias("ties"))
 
 
 def spearman(table: DataFrame, judge: str, item: str, value: str) -> DataFrame:
@@ -107,14 +140,18 @@ def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: chi2 and df of the independence of two columns, with Yates' correction at one degree of freedom."""
     cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     by_a, by_b = cells.groupBy(a).agg(F.sum("o").alias("ra")), cells.groupBy(b).agg(F.sum("o").alias("rb"))
-    total = by_a.agg(F.sum("ra").alias("n"), F.count("*").alias("ka")).join(F.broadcast(by_b.agg(F.count("*").alias("kb"))))  # a row each
-    # Marginals of a contingency table: every cell is wanted, the empty ones too.
-    grid = by_a.join(F.broadcast(by_b)).join(cells, [a, b], "left").join(F.broadcast(total))
-    df = (F.col("ka") - 1) * (F.col("kb") - 1)
-    e = F.col("ra") * F.col("rb") / F.col("n")
-    d = F.abs(F.coalesce("o", F.lit(0)) - e)
-    d = F.when(df == 1, d - F.least(F.lit(0.5), d)).otherwise(d)
-    return grid.agg(F.sum(d * d / e).alias("chi2"), F.max(df).alias("df"))
+    (ka, total), (kb,) = by_a.agg(F.count("*"), F.sum("ra")).first(), by_b.agg(F.count("*")).first()
+    # An empty cell adds its own expectation, and all expectations sum to n: only cells with rows are met. Where the
+    # correction counts there are two rows and two columns, and |o - e| is the same in all four cells.
+    met = cells.join(by_a, a).join(by_b, b).withColumn("n", F.lit(total).cast("double"))
+    e = F.col("ra").cast("double") * F.col("rb") / F.col("n")
+    d = F.abs(F.col("o") - e)
+    whole = met.agg(F.sum(d * d / e).alias("met"), F.sum(e).alias("seen"), F.first("n").alias("n"), F.lit((ka - 1) * (kb - 1)).alias("df"), F.max(d).alias("d"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+    full = F.col("met") + F.greatest(F.col("n") - F.col("seen"), F.lit(0.0))
+    d = F.col("d") - F.least(F.lit(0.5), F.col("d"))
+    ra, rb, n = (F.col(c).cast("double") for c in ("ra", "rb", "n"))
+    yates = d * d * n * n * n / (ra * (n - ra) * rb * (n - rb))
+    return whole.select(F.when(F.col("df") == 1, yates).otherwise(full).alias("chi2"), "df")
 
 
 def cohens_d(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -89,3 +89,15 @@ def back_translation(rows: DataFrame, retry_below: float = 0.35, approve_from: f
     out = rows.withColumns({f"fidelity_{k}": c for k, c in T.fidelity(F.col("text"), F.col("back")).items()})
     score = F.col("fidelity_score")
     return out.withColumns({"needs_retry": (score < retry_below) & (F.length("text") > 50), "approved": score >= approve_from})
+
+
+def quick_check(source: Column, target: Column) -> Column:
+    """The rules of format that a translated message breaks: its tag is gone, it has fewer citations, all its numbered lines are gone."""
+    cites = lambda c: F.regexp_count(c, F.lit(r"(?dU)\[Source:\s*[^\]]+\]"))
+    points = lambda c: F.regexp_count(c, F.lit(r"(?mdU)^\s*\d+[.)]\s"))
+    rules = {
+        "FMT_SYS_ACK": source.contains(T.TAG) & ~target.contains(T.TAG),
+        "FMT_SOURCE": cites(source) > cites(target),
+        "FMT_BULLETS": (points(source) > 0) & (points(target) == 0),
+    }
+    return F.array_compact(F.array(*(F.when(broken, rule) for rule, broken in rules.items())))

@@ -105,7 +105,15 @@ def friction_rolls(spark, folder):
 
 def style_rotation(spark, folder):
     rows = table(spark, folder, "events").select("user_id", (F.col("event_id") % 100).alias("position"))
-    return rows.select("position", cohorts.rotation(F.col("position"), 7).alias("style")).distinct().groupBy("style").agg(F.count("*").alias("n"))
+    return rows.select("position", cohorts.rotation(F.col("position"), 7).cast("long").alias("style")).distinct()
+
+
+DRAWN_SQL = "CAST('0x' || substr(md5('{}:' || {}), 1, 10) AS BIGINT)"
+ROTATION_SQL = f"""WITH b AS (SELECT DISTINCT event_id % 100 // 10 AS block FROM events), s AS (SELECT block, unnest(range(0, 10)) AS style FROM b),
+h AS (SELECT *, {DRAWN_SQL.format(7, "block || ':' || style")} AS h, {DRAWN_SQL.format(8, "block || ':' || style")} AS g FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY block, style % 2 ORDER BY h, style) AS at_ FROM h),
+p AS (SELECT block, style, row_number() OVER (PARTITION BY block ORDER BY CASE WHEN style % 2 = 0 AND at_ <= 2 THEN 0 WHEN style % 2 = 1 AND at_ > 3 THEN 2 ELSE 1 END, CASE WHEN style % 2 = 0 AND at_ <= 2 OR style % 2 = 1 AND at_ > 3 THEN h ELSE g END, style) - 1 AS at_ FROM r)
+SELECT DISTINCT event_id % 100 AS position, style FROM events JOIN p ON block = event_id % 100 // 10 AND at_ = event_id % 10"""
 
 
 # --- fertility
@@ -160,10 +168,20 @@ def cri_expand(spark, folder):
     rows = _pairs(spark, folder)
     text = F.col("en_text")
     target = F.ceil(tokens.count_tokens(text, "whitespace") * 1.3)
-    out = rows.select("conv_id", "turn", target.alias("target"), repair.expanded(text, target, ["In other words, so it is.", "To say it again, this holds."]).alias("t"))
+    out = rows.select("conv_id", "turn", target.alias("target"), repair.expanded(text, target, list(EXPAND_FILLERS)).alias("t"))
     return rounded(out.select("conv_id", "turn", "target", tokens.count_tokens(F.col("t"), "whitespace").alias("tokens"), (tokens.count_tokens(F.col("t"), "whitespace") >= F.col("target")).alias("reached")))
 
 
+EXPAND_FILLERS = ("In other words, so it is.", "To say it again, this holds.")
+#: Sentences end at white space behind a mark; a mark is kept, so the white space becomes a character that no text has.
+EXPAND_SQL = rf"""WITH p AS (SELECT a.conv_id, a.turn, b.text AS en FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id + 1 AND a.turn = b.turn),
+t AS (SELECT *, len(regexp_extract_all(en, '\S+')) AS n, CAST(ceil(len(regexp_extract_all(en, '\S+')) * 1.3) AS BIGINT) AS target, string_split(regexp_replace(en, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts,
+  {DRAWN_SQL.format(42, "en")} % 2 AS start FROM p),
+k AS (SELECT *, least(CAST(ceil(greatest(target - n, 0) / {min(len(x.split()) for x in EXPAND_FILLERS)}.0) AS BIGINT), 51) AS k FROM t),
+w AS (SELECT conv_id, turn, target, CASE WHEN target <= n THEN n WHEN len(parts) < 2 THEN 2 * n ELSE n + {len(EXPAND_FILLERS[0].split())} * (CASE WHEN start = 0 THEN (k + 1) // 2 ELSE k // 2 END) + {len(EXPAND_FILLERS[1].split())} * (CASE WHEN start = 0 THEN k // 2 ELSE (k + 1) // 2 END) END AS tokens FROM k)
+SELECT conv_id, turn, target, tokens, tokens >= target AS reached FROM w"""
+
+
 # --- attention
 
 
@@ -222,6 +240,9 @@ ORACLES = {
     "shard_union_dedupe": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE 'first' END AS shard FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0",
     "latest_annotation": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "round_robin": "SELECT doc_id % 10 AS slot, count(*) AS n FROM documents GROUP BY slot",
+    "friction_rolls": f"WITH r AS (SELECT turn, {DRAWN_SQL.format(42, "conv_id || ':' || turn")} / 1099511627776::DOUBLE AS u FROM conversations WHERE role = 'user') SELECT CASE WHEN turn <= 2 THEN 'none' WHEN u < 0.15::DOUBLE THEN 'pushback' WHEN u < 0.25::DOUBLE THEN 'confusion' WHEN u < 0.35::DOUBLE THEN 'tangent' WHEN u < 0.42::DOUBLE THEN 'impatience' ELSE 'none' END AS mood, count(*) AS n FROM r GROUP BY mood",
+    "style_rotation": ROTATION_SQL,
+    "cri_expand": EXPAND_SQL,
     "fertility_ratio": FERTILITY_SQL,
     "fertility_overhead": f"SELECT model, lang, token_overhead, overhead_pct FROM ({FERTILITY_SQL})",
     "fertility_drift_join": f"{RUNS}, f AS ({FERTILITY_SQL}), g AS (SELECT CASE model WHEN 'whitespace' THEN 'alpha' ELSE 'beta' END AS base, lang, tfr FROM f) SELECT conv_id, model || '-' || tier AS model, base, summary.lang, tfr, round(auc, 6) AS auc FROM summary JOIN g ON g.base = summary.model AND g.lang = summary.lang",

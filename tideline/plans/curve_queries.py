@@ -8,18 +8,20 @@ from tideline.functions import text as T
 from tideline.operators import curves, scenarios, scoring
 from tideline.operators.scoring import LEVELS
 from tideline.plans.frames import KEY, SCORES_SQL, rounded, scores, unsigned_zero
+from tideline.plans.score_queries import TURNS_SQL
 
 K = "model, tier, lang, conv_id"
 BASE = f"WITH {SCORES_SQL}"
-RUNS = f"""{BASE},
-marked AS (SELECT *, min(turn) FILTER (ddm < 1) OVER (PARTITION BY {K}) AS dop, sum(CASE WHEN ddm < 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {K} ORDER BY turn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM scores),
+SUMMARY_CTE = lambda key: f"""
+marked AS (SELECT *, min(turn) FILTER (ddm < 1) OVER (PARTITION BY {key}) AS dop, sum(CASE WHEN ddm < 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY turn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM scores),
 summary AS (
-  SELECT {K}, count(*) AS total_turns, avg(ddm) AS mean_ddm, stddev_pop(ddm) AS std_ddm,
+  SELECT {key}, count(*) AS total_turns, avg(ddm) AS mean_ddm, stddev_pop(ddm) AS std_ddm,
     CASE WHEN count(*) = 1 THEN max(ddm) ELSE (sum(ddm) - (arg_min(ddm, turn) + arg_max(ddm, turn)) / 2) / nullif(count(*) - 1, 0) END AS auc,
     min(dop) AS drift_onset, min(turn) FILTER (run = 3) AS sustained_dop, min(turn) FILTER (ddm = 0) AS total_collapse, min(turn) FILTER (ddm <= 0.5) AS half_life,
     count(*) FILTER (turn > dop AND ddm >= 1) AS recovery_events,
     CASE WHEN min(dop) IS NULL THEN 1.0::DOUBLE ELSE coalesce((count(*) FILTER (turn > dop AND ddm >= 1))::DOUBLE / nullif(count(*) FILTER (turn > dop), 0), 0) END AS recovery_rate
-  FROM marked GROUP BY {K}),
+  FROM marked GROUP BY {key})"""
+RUNS = f"""{BASE}, {SUMMARY_CTE(K)},
 decay AS (
   SELECT {K}, {", ".join(f"avg({n}) AS {n}_mean, CASE WHEN count(*) = 1 THEN max({n}) ELSE (sum({n}) - (arg_min({n}, turn) + arg_max({n}, turn)) / 2) / nullif(count(*) - 1, 0) END AS {n}_auc, min(turn) FILTER ({n} < 1) AS {n}_onset" for n in LEVELS)}
   FROM scores GROUP BY {K})"""
@@ -151,14 +153,14 @@ def free_vs_gold_rounded(spark, folder):
 
 
 def scaffolding_sweep(spark, folder):
-    rows = curves.curve_summary(scores(spark, folder), KEY).select(*KEY, "total_turns", "mean_ddm").where("conv_id % 5 = 0")
+    rows = curves.curve_summary(scores(spark, folder), KEY).select(*KEY, "total_turns", "mean_ddm")
     gold = rows.select(*KEY, F.least(F.lit(1.0), F.col("mean_ddm") + 0.2).alias("mean_ddm"))
     own = rows.select(*KEY, F.explode(F.array(F.lit(5.0), F.lit(20.0), F.lit(0.5))).alias("sweep_value"), (F.col("mean_ddm") + 0.05).alias("mean_ddm"))
     until = scenarios.scaffolding(rows, gold, own, list(KEY), scenarios.GOLD_UNTIL, "gold_until")
     return rounded(until.union(scenarios.scaffolding(rows, gold, own, list(KEY), scenarios.GOLD_RATIO, "gold_ratio")))
 
 
-SWEEP_SQL = f"""{RUNS}, f AS (SELECT {K}, total_turns, mean_ddm AS free FROM summary WHERE conv_id % 5 = 0),
+SWEEP_SQL = f"""{RUNS}, f AS (SELECT {K}, total_turns, mean_ddm AS free FROM summary),
 v AS (SELECT 'gold_until' AS sweep_type, unnest([{", ".join(f"{float(x)}" for x in scenarios.GOLD_UNTIL)}])::DOUBLE AS sweep_value UNION ALL SELECT 'gold_ratio', unnest([{", ".join(f"{float(x)}" for x in scenarios.GOLD_RATIO)}])::DOUBLE)
 SELECT {K}, sweep_type, sweep_value, round(CASE WHEN sweep_value <= 0 THEN free WHEN sweep_value >= CASE WHEN sweep_type = 'gold_until' THEN total_turns ELSE 1 END THEN least(1.0::DOUBLE, free + 0.2::DOUBLE)
   WHEN sweep_value IN (5, 20, 0.5) THEN free + 0.05::DOUBLE END, 6) AS mean_ddm FROM f, v"""
@@ -210,6 +212,7 @@ ORACLES = {
     "per_level_decay": f"{RUNS} SELECT {K}, {LEVEL_COLUMNS} FROM decay",
     "resilience_index": f"{RUNS} SELECT {K}, {PDRI_SQL} FROM summary JOIN decay USING ({K})",
     "drift_summary": f"{RUNS} SELECT {SUMMARY_COLUMNS}, {LEVEL_COLUMNS}, {PDRI_SQL} FROM summary JOIN decay USING ({K})",
+    "conversation_drift_summary": f"WITH scores AS ({TURNS_SQL}), {SUMMARY_CTE('conv_id')} SELECT {SUMMARY_COLUMNS.replace(K, 'conv_id')} FROM summary",
     "onset_tokens": f"{BASE} SELECT {K}, arg_min(context_tokens, turn) FILTER (ddm < 1) AS dop_tokens FROM scores GROUP BY {K}",
     "velocity_summary": unsigned_zero(VELOCITY_SQL, "mean_velocity", "max_decline", "velocity_at_onset", "min_rolling"),
     "rolling_velocity_min": unsigned_zero(f"{STEPS} SELECT {K}, round(min(r), 6) AS min_rolling FROM rolling GROUP BY {K}", "min_rolling"),

@@ -43,10 +43,15 @@ UNION ALL SELECT conv_id, msg_idx, 'STRUCT_LENGTH_MAX', 'warning' FROM odd WHERE
 
 
 def near_duplicate_band(spark, folder):
-    return rounded(validate.near_repeats(long_talks(spark, folder), most=0.2))
+    """A source's documents in order of their texts, all as replies: near copies that share a beginning are neighbours."""
+    from pyspark.sql.window import Window
+
+    rows = table(spark, folder, "documents").select(F.expr("CAST(substr(source, 4) AS BIGINT)").alias("conv_id"), "doc_id", "text", F.lit("assistant").alias("role"))
+    rows = rows.withColumn("msg_idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("text", "doc_id")))
+    return rounded(validate.near_repeats(rows, most=0.2))
 
 
-NEAR_SQL = f"""WITH {LONG_SQL}, {ORDS}, g AS (SELECT conv_id, ord, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM (SELECT *, {WORDS} AS w FROM ords WHERE role = 'assistant')),
+NEAR_SQL = f"""WITH ords AS (SELECT CAST(substr(source, 4) AS BIGINT) AS conv_id, 'assistant' AS role, row_number() OVER (PARTITION BY source ORDER BY text, doc_id) - 1 AS ord, text FROM documents), g AS (SELECT conv_id, ord, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM (SELECT *, {WORDS} AS w FROM ords WHERE role = 'assistant')),
 p AS (SELECT a.conv_id, a.ord AS i, b.ord AS j, len(list_intersect(a.g, b.g))::DOUBLE AS n, len(a.g) AS x, len(b.g) AS y FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.ord BETWEEN a.ord + 1 AND a.ord + 4)
 SELECT conv_id, i, j, round(n / (x + y - n), 6) AS similarity FROM p WHERE x > 0 AND y > 0 AND n / (x + y - n) > 0.2"""
 
@@ -61,11 +66,11 @@ SELECT conv_id, i, j, shared, n_i, n_j FROM p WHERE shared > 0 AND shared / leas
 
 
 def topic_repeat_pairs(spark, folder):
-    rows = long_talks(spark, folder).withColumn("text", F.concat(F.lit("1. "), F.regexp_replace(F.substring("text", 1, 90), r"[^A-Za-z0-9 ]", " "), F.lit("\n2. "), F.regexp_replace(F.substring("text", 91, 60), r"[^A-Za-z0-9 ]", " ")))
+    rows = long_talks(spark, folder).withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("1. "), F.regexp_replace(x, r"[^A-Za-z0-9 ]", " "))), "\n"))
     return rounded(validate.topic_pairs(rows, most=0.2))
 
 
-TOPIC_SQL = f"""WITH {LONG_SQL}, {ORDS}, t AS (SELECT conv_id, ord, [regexp_replace(substr(text, 1, 90), '[^A-Za-z0-9 ]', ' ', 'g'), regexp_replace(substr(text, 91, 60), '[^A-Za-z0-9 ]', ' ', 'g')] AS lines, count(*) OVER (PARTITION BY conv_id) AS k FROM ords WHERE role = 'assistant'),
+TOPIC_SQL = f"""WITH {LONG_SQL}, {ORDS}, t AS (SELECT conv_id, ord, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[^A-Za-z0-9 ]', ' ', 'g')) AS lines, count(*) OVER (PARTITION BY conv_id) AS k FROM ords WHERE role = 'assistant'),
 g AS (SELECT conv_id, ord, list_distinct(flatten(list_transform(lines, lambda x: regexp_extract_all(lower(x), '[a-z]{{6,}}')[1:5]))) AS g FROM t WHERE k >= 20),
 p AS (SELECT a.conv_id, a.ord AS i, b.ord AS j, len(list_intersect(a.g, b.g)) AS shared, len(a.g) AS n_i, len(b.g) AS n_j FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.ord >= a.ord + 10 WHERE len(a.g) >= 3 AND len(b.g) >= 3)
 SELECT conv_id, i, j, shared, n_i, n_j FROM p WHERE shared > 0 AND shared / (n_i + n_j - shared)::DOUBLE > 0.2"""
@@ -140,6 +145,16 @@ def echo_audit(spark, folder):
     return rounded(validate.echo_audit(messages(spark, folder)))
 
 
+SAFE_SQL = " OR ".join(f"contains(x, '{p}')" for p in T.SAFE_ECHOES)
+ECHO_PATTERNS = [p.removeprefix("(?dU)").replace("'", "''").replace(".{", "[^\\n]{").replace(r"[\w\s]", r"[\p{L}\p{M}\p{N}_\s]") for p in T.ECHOES]
+START = r"list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')[1:4]"
+AUDIT_SQL = rf"""{BASE}, u AS (SELECT u.conv_id, lower(a.text) AS said, list_filter(list_transform(flatten([{", ".join(f"regexp_extract_all(lower(u.text), '{p}', 1)" for p in ECHO_PATTERNS)}]), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 4) AS refs
+  FROM messages u LEFT JOIN messages a ON a.conv_id = u.conv_id AND a.role = 'assistant' AND a.ord = u.ord - 1 WHERE u.role = 'user' AND u.ord > 1),
+b AS (SELECT conv_id, said IS NOT NULL AND len(list_filter(refs, lambda x: NOT ({SAFE_SQL}) AND (contains(said, x) OR len({START}) >= 3 AND contains(said, array_to_string({START}, ' '))))) > 0 AS bad FROM u),
+c AS (SELECT conv_id, count(*) AS total, count(*) FILTER (bad) AS violations FROM b GROUP BY conv_id)
+SELECT conv_id, total, violations, round(violations * 100.0::DOUBLE / total, 6) AS pct, CASE WHEN violations * 100.0::DOUBLE / total <= 5 THEN 'PASS' WHEN violations * 100.0::DOUBLE / total <= 20 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM c"""
+
+
 # --- translations: a conversation and a changed copy of it
 
 
@@ -236,6 +251,15 @@ def filler_strip_running_count(spark, folder):
     return rounded(rows.select("conv_id", "turn", F.length("fixed").alias("n_chars")))
 
 
+TRIM = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+STRIPPED = "text"
+for _p in repair.FILLERS:
+    _q = _p.replace("'", "''")
+    STRIPPED = f"CASE WHEN regexp_matches(text, '(?i){_q}') THEN {TRIM(f"regexp_replace({STRIPPED}, '(?i){_q}', '')")} ELSE {STRIPPED} END"
+STRIP_SQL = rf"""{REPLIES}, s AS (SELECT conv_id, ord, {STRIPPED} AS t FROM replies), p AS (SELECT *, regexp_extract(t, '(?s)^(\[Turn:\s*\d+\])', 1) AS tag, regexp_extract(t, '(?s)^\[Turn:\s*\d+\]\s*(.*)$', 1) AS core FROM s)
+SELECT conv_id, ord AS turn, CASE WHEN tag = '' THEN length(t) ELSE length(tag) + 1 + length(regexp_replace(regexp_replace(regexp_replace(core, '^[\s,\-—–:]+', ''), '(?i)^(?:and|is that|is|that|but|so|or)\s+', ''), '^[\s,\-—–:]+', '')) END AS n_chars FROM p"""
+
+
 def safety_net(spark, folder):
     from tideline.operators.scoring import level_scores
 
@@ -250,9 +274,12 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "v_levels": f"{REPLIES}, v AS (SELECT conv_id, ord - 1 AS turn, {', '.join(f'{x} AS {k}' for k, x in V_SQL.items())} FROM replies) " + " UNION ALL ".join(f"SELECT conv_id, turn, 'DDM_{k.upper()}' AS rule, 'error' AS severity FROM v WHERE {k} < 1" for k in V_SQL),
     "v_structure": STRUCTURE_SQL, "near_duplicate_band": NEAR_SQL, "far_overlap_pairs": FAR_SQL, "topic_repeat_pairs": TOPIC_SQL,
+    "v_opening_mode": rf"WITH {LONG_SQL}, {ORDS}, o AS (SELECT conv_id, lower(regexp_replace(substr(regexp_extract(regexp_replace(text, '^\s*\[Turn:\s*\d+\]\s*', ''), '^([^\n]*?)(?:\.|\d+[.)]|\n|$)', 1), 1, 80), '^\s+|\s+$', '', 'g')) AS o FROM ords WHERE role = 'assistant'), "
+    "c AS (SELECT conv_id, o, count(*) AS c FROM o GROUP BY ALL), s AS (SELECT conv_id, CAST(sum(c) AS BIGINT) AS n, coalesce(max(c) FILTER (o <> ''), 0) AS top FROM c GROUP BY conv_id) SELECT conv_id, n, top, round(1 - top / n::DOUBLE, 3) AS diversity FROM s WHERE n >= 5",
     "v_diversity": f"WITH {LONG_SQL}, w AS (SELECT conv_id, unnest({WORDS}) AS w FROM long WHERE role = 'assistant') SELECT conv_id, count(*) AS n_words, round(CASE WHEN count(*) >= 100 THEN count(DISTINCT w) / count(*)::DOUBLE END, 6) AS ttr FROM w GROUP BY conv_id",
     "v_length_cv": f"WITH {LONG_SQL} SELECT conv_id, count(*) AS n, round(stddev_pop(length(text)) / avg(length(text)), 6) AS cv FROM long WHERE role = 'user' GROUP BY conv_id HAVING count(*) >= 5",
     "v_meta_language": BASE + r" SELECT conv_id, count(*) FILTER (regexp_matches(lower(text), '" + "|".join(T.META) + "')) AS n FROM messages WHERE role = 'user' GROUP BY conv_id",
+    "echo_audit": AUDIT_SQL, "filler_strip_running_count": STRIP_SQL,
     "v_intro_repeat": INTRO_SQL, "v_echo": ECHO_SQL, "phantom_reference_anti": PHANTOM_SQL,
     "prev_assistant_pair": f"{BASE} SELECT u.conv_id, u.ord - 1 AS ord, length(u.text) AS user_chars, length(a.text) AS reply_chars FROM messages u JOIN messages a ON a.conv_id = u.conv_id AND a.role = 'assistant' AND u.role = 'user' AND u.ord = a.ord + 1",
     "v_report": REPORT_SQL, "tv_format": TV_SQL, "tv_length_ratio": LEN_SQL, "tv_untranslated": UNTRANSLATED_SQL, "tv_metrics": TVM_SQL, "citation_reinsert": REINSERT_SQL, "force_fix": FIX_SQL,

@@ -125,7 +125,7 @@ SELECT conv_id, turn, round(coalesce(n / nullif(na + nb - n, 0), 0), 3) AS jacca
 
 
 def ngram_jaccard(spark, folder):
-    grams = T.ngrams(T.words(F.lower("text")), 3)
+    grams = T.gram_hashes(T.words(F.lower("text")), 3)
     rows = table(spark, folder, "documents").select("doc_id", grams.alias("g"))
     after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
     return rounded(rows.join(after, "doc_id").select("doc_id", F.size("g").alias("n_grams"), T.jaccard(F.col("g"), F.col("h")).alias("jaccard")))
@@ -168,7 +168,22 @@ SELECT conv_id, md5(string_agg('[' || upper(role) || ']: ' || CASE WHEN role = '
 
 def older_turns(spark, folder):
     out = scoring.older_summary(messages(spark, folder), 2)
-    return out.select("conv_id", "user_name", F.size("items").cast("long").alias("n_items"), F.size("advice").cast("long").alias("n_advice"))
+    return out.select("conv_id", "user_name", F.size("items").cast("long").alias("n_items"), F.size("advice").cast("long").alias("n_advice"), F.md5(F.array_join("items", "|")).alias("items_md5"), F.md5(F.array_join("advice", "|")).alias("advice_md5"))
+
+
+#: Names between characters that are none of a word; doubled marks, as a match takes one on either side.
+NAMES_SQL = r"list_filter(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_\s])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?:[^\p{L}\p{N}_]|$)', 1), lambda x: length(x) > 3)"
+OLDER_SQL = rf"""WITH {MESSAGES_SQL}, back AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_idx DESC) AS b FROM messages), old AS (SELECT * FROM back WHERE b > 2),
+parts AS (SELECT conv_id, msg_idx, CASE WHEN role = 'user' THEN nullif(regexp_extract(text, '(?:I''m|I am|my name is|this is)\s+([A-Z][a-z]+)', 1), '') END AS name,
+  CASE role WHEN 'user' THEN {NAMES_SQL} WHEN 'assistant' THEN regexp_extract_all(text, '\[Source:\s*([^\]]+)\]', 1) ELSE [] END AS items,
+  CASE WHEN role = 'assistant' THEN list_filter(list_transform(regexp_extract_all(text, '(?m)^\s*\d+[.)\s]\s*([^\n]+)$', 1), lambda x: substr(trim(x), 1, 100)), lambda x: x <> '') ELSE [] END AS lines FROM old),
+whole AS (SELECT conv_id, arg_min(name, msg_idx) FILTER (name IS NOT NULL) AS user_name, list_sort(list_distinct(flatten(list(items))))[1:15] AS items, flatten(list(lines ORDER BY msg_idx)) AS lines FROM parts GROUP BY conv_id)
+SELECT conv_id, user_name, len(items) AS n_items, least(len(lines), 8) AS n_advice, md5(array_to_string(items, '|')) AS items_md5, md5(array_to_string(lines[greatest(len(lines) - 7, 1):], '|')) AS advice_md5 FROM whole"""
+THOUGHT_SQL = rf"""{REPLIES}, t AS (SELECT conv_id, ord, {THINK} AS t FROM replies),
+u AS (SELECT conv_id, ord, regexp_replace(regexp_extract(t, '(?is)<think>(.*?)</think>', 1), '^\s+|\s+$', '', 'g') AS thought,
+  regexp_replace(CASE WHEN contains(t, '<think>') THEN regexp_extract(t, '(?is)<think>.*?</think>(.*)', 1) ELSE t END, '^\s+|\s+$', '', 'g') AS text, 'en' AS lang FROM t)
+SELECT conv_id, ord AS turn, thought <> '' AS has_thought, round({" + ".join(f"0.2 * CAST({x} AS DOUBLE)" for x in LEVELS_SQL.values())}, 6) AS output_ddm,
+  {" OR ".join(f"contains(lower(CASE WHEN thought <> '' THEN thought ELSE text END), '{p}')" for p in T.AWARENESS["l1"])} AS aware_l1 FROM u"""
 
 
 QUERIES = {
@@ -216,4 +231,6 @@ SELECT conv_id, msg_idx, CAST(length(regexp_replace(regexp_extract(t, '(?is)<thi
     "gold_schedule": f"{REPLIES} SELECT ord AS turn, count(*) AS n, count(*) FILTER (ord <= 2) AS until_2, count(*) FILTER ((ord - 1) % 3 = 0) AS third, count(*) AS most, count(*) FILTER (false) AS none FROM replies GROUP BY ord",
     "gold_context": GOLD_SQL,
     "transcripts": TRANSCRIPT_SQL,
+    "older_turns": OLDER_SQL,
+    "thought_action": THOUGHT_SQL,
 }

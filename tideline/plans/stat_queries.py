@@ -24,7 +24,7 @@ def anova_f(spark, folder):
 
 
 def kruskal_h(spark, folder):
-    return rounded(S.kruskal(table(spark, folder, "lineitem").withColumn("v", F.floor("l_extendedprice")), "l_returnflag", "v"))
+    return rounded(S.kruskal(table(spark, folder, "lineitem"), "l_returnflag", "l_extendedprice"), 4)
 
 
 def _means(spark, folder):
@@ -171,7 +171,7 @@ PAIRS = f"{MEANS}, p AS (SELECT x.model AS a, y.model AS b, x.lang, x.m AS x, y.
 ORACLES = {
     "ols_slope_r2": unsigned_zero("WITH f AS (SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem) SELECT n, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 4) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 4) AS adj_r2, round(r2 * (n - 2) / (1 - r2), 4) AS f_stat FROM f", "adj_r2", "r2"),
     "anova_f": "WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders GROUP BY 1), t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS mm, sum(n * v) AS w FROM g) SELECT k AS groups, CAST(n AS BIGINT) AS n, round(((SELECT sum(g.n * power(g.m - t.mm, 2)) FROM g) / (k - 1)) / (w / (n - k)), 6) AS f_stat FROM t",
-    "kruskal_h": "WITH v AS (SELECT l_returnflag AS g, floor(l_extendedprice) AS v FROM lineitem), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r FROM v), q AS (SELECT sum(s * s / n) AS q, count(*) AS k, sum(n)::DOUBLE AS n FROM (SELECT g, sum(r) AS s, count(*) AS n FROM r GROUP BY g)), t AS (SELECT sum(power(c, 3) - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM v GROUP BY v)) SELECT k AS groups, CAST(n AS BIGINT) AS n, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (power(n, 3) - n)), 6) AS h_stat FROM q, t",
+    "kruskal_h": "WITH v AS (SELECT l_returnflag AS g, l_extendedprice AS v FROM lineitem), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r FROM v), q AS (SELECT sum(s * s / n) AS q, count(*) AS k, sum(n)::DOUBLE AS n FROM (SELECT g, sum(r) AS s, count(*) AS n FROM r GROUP BY g)), t AS (SELECT sum(power(c, 3) - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM v GROUP BY v)) SELECT k AS groups, CAST(n AS BIGINT) AS n, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (power(n, 3) - n)), 4) AS h_stat FROM q, t",
     "kendall_w": f"{MEANS}, r AS (SELECT lang, {RANKED.format('model', 'm')} AS r FROM m), s AS (SELECT lang, sum(r) AS r FROM r GROUP BY lang), t AS (SELECT count(*) AS n, var_pop(r) * count(*) AS s, (SELECT count(DISTINCT model) FROM m) AS m FROM s) SELECT m AS judges, n AS items, round(12 * s / (m * m * (power(n, 3) - n)), 6) AS w, round(m * (n - 1) * 12 * s / (m * m * (power(n, 3) - n)), 6) AS chi2 FROM t",
     "kendall_tau_b": f"{PAIRS}, q AS (SELECT u.a, u.b, sign(u.x - v.x) * sign(u.y - v.y) AS s, u.x = v.x AS tx, u.y = v.y AS ty FROM p u JOIN p v ON u.a = v.a AND u.b = v.b AND u.lang < v.lang) SELECT a, b, CAST((1 + sqrt(1 + 8 * count(*))) / 2 AS BIGINT) AS items, round(sum(s) / sqrt((count(*) - count(*) FILTER (tx))::DOUBLE * (count(*) - count(*) FILTER (ty))), 6) AS tau, count(*) FILTER (s < 0) AS discordant FROM q GROUP BY a, b",
     "spearman_rho": f"{PAIRS}, r AS (SELECT a, b, {RANKED.format('a, b', 'x')} AS rx, {RANKED.format('a, b', 'y')} AS ry FROM p) SELECT a, b, count(*) AS items, round(corr(rx, ry), 6) AS rho FROM r GROUP BY a, b",
