@@ -5,14 +5,17 @@ shared folder: its documents, its sorted terms (64-bit word hashes), and for eac
 occurrences. Positions count words through the segment, with a gap between documents. No word is left out, and as
 segments hold documents, not terms, a word that makes up a third of the corpus is spread over all of them.
 
-Search: the items' windows go to every segment in blocks of at most BLOCK_WINDOWS. A window starts from the postings of
-its rarest term there, moved back by the term's offset, and intersects the others' offset-adjusted lists in order of
-rarity; what is left are exact phrases. With a slop, each word may stand that many places from its own: proximity
+Search: Spark cuts the items into windows and stores each once with its items; they go to every segment in blocks of about
+BLOCK_WINDOWS, dealt by hash, so neither driver nor task holds more of a benchmark than a block. A window starts from the postings
+of its rarest term there, moved back by the term's offset, and intersects the others' offset-adjusted lists in order of
+rarity; what is left are exact phrases. Windows go in slices by their rarest terms' postings, so that those of common
+words alone need no more memory than others. With a slop, each word may stand that many places from its own: proximity
 matches. Documents never move; what leaves a segment are the runs of words that were hit, and the items.
 
 Edge cases: a null text has no words, and is not contaminated. Equal rows are judged each for itself. An item of fewer
 words than a window, but not none, is one window; items without words match nothing; a null item_id reads `null`.
-Empty documents give an empty result, an empty benchmark no hits. A document longer than a segment is a segment.
+Empty documents give an empty result, an empty benchmark no hits. A document longer than a segment is a segment. Only doc_id
+(a whole number) and text are read; other columns can have any names, and clean() returns them as they are.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ SLOP = 2
 SEGMENT_BYTES = 4 << 20
 #: Bytes hashed in one go: bounds a task's memory.
 PIECE_BYTES = 1 << 20
-#: Windows that a block of the benchmark holds: 40 MB.
+#: Windows that a block of the benchmark holds, about: 40 MB.
 BLOCK_WINDOWS = 400_000
+#: Postings of rarest terms that are looked at in one go, besides the last window's.
+SLICE_POSTINGS = 500_000
 
 
 def _lower_table() -> np.ndarray:
@@ -121,45 +126,49 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
 class Block:
     """Distinct windows: rows of places in `terms` (-1 after a short window's end), and the items that hold each."""
 
-    def __init__(self, windows: list[np.ndarray], items: list[str]) -> None:
-        width = max(map(len, windows))
-        rows = np.zeros((len(windows), width), np.uint64)
-        size = np.array([len(w) for w in windows])
-        for k, w in enumerate(windows):
-            rows[k, : len(w)] = w
-        both = np.column_stack([size.astype(np.uint64), rows])
+    def __init__(self, rows: pa.Table) -> None:
+        size = rows.column("size").to_numpy().astype(np.int64)
+        width = int(size.max())
+        words = np.zeros((len(size), width), np.uint64)
+        inside = np.arange(width) < size[:, None]
+        words[inside] = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint64)
+        both = np.column_stack([size.astype(np.uint64), words])
         distinct, of = np.unique(both, axis=0, return_inverse=True)
         self.size = distinct[:, 0].astype(np.int64)
         self.terms, place = np.unique(distinct[:, 1:], return_inverse=True)
         self.place = np.where(np.arange(width) < self.size[:, None], place.reshape(-1, width), -1)
-        self.names, name = np.unique(np.array(items, dtype=object).astype(str), return_inverse=True)
+        self.names, name = np.unique(np.array(rows.column("item").to_pylist(), dtype=object).astype(str), return_inverse=True)
         pairs = np.unique(np.column_stack([of.ravel(), name]), axis=0)
         self.item = pairs[:, 1]
         self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
 
 
-def windows_of(text: bytes, width: int = WINDOW) -> list[np.ndarray]:
-    _, h = tokens(np.frombuffer(text, np.uint8))
-    return [h[i : i + width] for i in range(max(1, len(h) - width + 1))] if len(h) else []
+WINDOWS = "size int, words binary, item string"
+
+
+def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            _, h = tokens(np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8))
+            n = min(width, len(h))
+            for at in range(0, len(h) - n + 1 if n else 0, 10_000):
+                words = [w.tobytes() for w in np.lib.stride_tricks.sliding_window_view(h, n)[at : at + 10_000]]
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(words), pa.int32()), pa.array(words, pa.binary()), pa.array([item] * len(words))], names=["size", "words", "item"])
 
 
 def blocks(benchmark: DataFrame, width: int = WINDOW, most: int = BLOCK_WINDOWS) -> Iterator[Block]:
-    """The windows of benchmark (item_id, text), block by block; a row at a time reaches the driver."""
-    windows, items = [], []
+    """The windows of benchmark (item_id, text), block by block: one at a time is in the driver."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("binary"))
-    for item, text in rows.toLocalIterator():
-        for w in windows_of(bytes(text or b""), width):
-            windows.append(w)
-            items.append(item)
-            if len(windows) >= most:
-                yield Block(windows, items)
-                windows, items = [], []
-    if windows:
-        yield Block(windows, items)
+    found = stored(rows.mapInArrow(partial(_windows, width=width), WINDOWS).distinct(), "windows")
+    count = -(-found.count() // most)
+    for k in range(count):
+        part = found.where(F.pmod(F.xxhash64("words"), F.lit(count)) == k).toArrow()
+        if part.num_rows:
+            yield Block(part)
 
 
 def matches(block: Block, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, doc_first: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Window and start (a position) of every occurrence in a segment."""
+    """Window and start (a position) of every occurrence in a segment. SLICE_POSTINGS or so at a time."""
     none = np.zeros(0, np.int64)
     if not len(terms):
         return none, none
@@ -173,8 +182,20 @@ def matches(block: Block, terms: np.ndarray, counts: np.ndarray, positions: np.n
         return none, none
     order = np.argsort(rarity[alive], axis=1, kind="stable")
     first = np.cumsum(counts) - counts
-    span = int(positions.max()) + 1 + 2 * slop
+    span = int(positions.max()) + 1 + block.place.shape[1] + 2 * slop  # a word wanted beyond the end is nobody's
     keys = np.repeat(np.arange(len(terms)), counts) * span + positions
+    n = counts[at[block.place[alive, order[:, 0]]]]
+    parts = np.cumsum(n) // SLICE_POSTINGS
+    found = []
+    for part in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(parts)) + 1):
+        found.append(_occurrences(block, alive[part], order[part], at, counts, first, positions, keys, span, slop))
+    window, start, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+    one = np.searchsorted(doc_first, low, "right") == np.searchsorted(doc_first, high, "right")
+    return window[one], start[one]
+
+
+def _occurrences(block: Block, alive: np.ndarray, order: np.ndarray, at: np.ndarray, counts: np.ndarray, first: np.ndarray, positions: np.ndarray, keys: np.ndarray, span: int, slop: int) -> tuple[np.ndarray, ...]:
+    """Window, start, and the least and greatest place of a word, of occurrences of some windows. order: offsets from the rarest term on."""
     anchor = at[block.place[alive, order[:, 0]]]
     n = counts[anchor]
     w = np.repeat(np.arange(len(alive)), n)
@@ -191,8 +212,7 @@ def matches(block: Block, terms: np.ndarray, counts: np.ndarray, positions: np.n
         good = (place < 0) | ((there >= want) & (there <= start + offset + slop))
         low, high = np.where(place < 0, low, np.minimum(low, there)), np.where(place < 0, high, np.maximum(high, there))
         w, start, low, high = w[good], start[good], low[good], high[good]
-    one = np.searchsorted(doc_first, low, "right") == np.searchsorted(doc_first, high, "right")
-    return alive[w[one]], start[one]
+    return alive[w], start, low, high
 
 
 FOUND = "segment string, at int, doc_id long, mark long, n_words int, runs array<struct<a:int,b:int>>, items array<string>, near array<string>"
