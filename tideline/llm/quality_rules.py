@@ -4,11 +4,12 @@ Signals of a text are counted inside its row (no shuffle, no Python). Fixed cuto
 quantiles: approximate-percentile sketches, built in every task and merged, give the quartiles of each signal by
 language and source over all documents that pass the base rules; a signal is out if it lies beyond
 quartile +- SPREAD * (interquartile range) +- the signal's slack (a source whose documents are all alike has no spread,
-and the slack keeps it from rejecting the first that differs). A language and source with fewer than FEW documents
-takes the fences of the language, and a small language those of all documents. The fences, a row a language and
+and the slack keeps it from rejecting the first that differs). Quartiles of a language and source count as many documents
+as it has, beside PRIOR documents with the language's quartiles, and those of a language likewise beside all documents': the
+fewer there are, the nearer to their parent's, without a size at which the rule changes. The fences, a row a language and
 source, are joined back and filter.
 
-Edge cases: a null text has no words, fails the base rules and is not kept. Null languages and sources are groups
+Texts are counted whole, whatever their length. Edge cases: a null text has no words, fails the base rules and is not kept. Null languages and sources are groups
 like others. Repeated rows count each. An empty table gives an empty result. Columns named like the results are replaced.
 """
 
@@ -25,7 +26,8 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SPREAD = 3.0
-FEW = 100
+#: Documents that a parent counts for.
+PRIOR = 100.0
 #: Sketches keep ranks to 1 / ACCURACY.
 ACCURACY = 20_000
 #: Signal: slack below and above; None: no fence on that side.
@@ -93,10 +95,11 @@ def fences(rows: DataFrame) -> DataFrame:
     sketched = lambda *keys: rows.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles)
     fine, lang, whole = sketched("lang", "source").alias("fine"), sketched("lang").alias("lang"), sketched().first()  # one row
     both = fine.join(lang, F.col("fine.lang").eqNullSafe(F.col("lang.lang")), "left")
+    beside = lambda n, own, parent: (n * own + PRIOR * parent) / (n + PRIOR)
     out = []
     for name, (below, above) in SLACK.items():
-        q = F.when(F.col("fine.n") >= FEW, F.col(f"fine.{name}")).when(F.col("lang.n") >= FEW, F.col(f"lang.{name}")).otherwise(F.lit(whole[name]).cast("array<double>"))
-        low, high = q[0], q[1]
+        every = F.lit(whole[name]).cast("array<double>")
+        low, high = (beside(F.col("fine.n"), F.col(f"fine.{name}")[i], beside(F.col("lang.n"), F.col(f"lang.{name}")[i], every[i])) for i in (0, 1))
         out += [(low - SPREAD * (high - low) - below).alias(f"{name}_min")] if below is not None else []
         out += [(high + SPREAD * (high - low) + above).alias(f"{name}_max")] if above is not None else []
     return both.select(F.col("fine.lang").alias("of_lang"), F.col("fine.source").alias("of_source"), *out)

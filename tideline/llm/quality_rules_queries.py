@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.common import table
-from tideline.llm.quality_rules import COUNTS, FEW, SLACK, SPREAD, judged
+from tideline.llm.quality_rules import COUNTS, PRIOR, SLACK, SPREAD, judged
 
 
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,7 +16,8 @@ def quality_sql(docs: str = "documents") -> str:
     """A query whose last WITH entry is verdicts: all columns of docs, the counts, base_failed and kept."""
     levels = {"fine": "lang, source", "lang": "lang", "whole": "1"}
     quartiles = ", ".join(f"quantile_disc({s}, [0.25, 0.75]) AS {s}" for s in SLACK)
-    pick = ", ".join(f"CASE WHEN f.n >= {FEW} THEN f.{s} WHEN l.n >= {FEW} THEN l.{s} ELSE w.{s} END AS {s}" for s in SLACK)
+    beside = lambda n, own, parent: f"({n} * {own} + {PRIOR}::DOUBLE * {parent}) / ({n} + {PRIOR}::DOUBLE)"
+    pick = ", ".join(f"[{', '.join(beside('f.n', f'f.{s}[{i}]', '(' + beside('l.n', f'l.{s}[{i}]', f'w.{s}[{i}]') + ')') for i in (1, 2))}] AS {s}" for s in SLACK)
     tests = []
     for s, (below, above) in SLACK.items():
         if below is not None:
