@@ -3,10 +3,13 @@
 Labellers are column expressions that vote bad (1) or good (0) on a whole text, in two aspects: low quality and toxic. The
 label model counts the vote patterns of all documents in Spark (at most 2 to the number of labellers, whatever the corpus) and runs
 expectation-maximisation over them: each labeller's rate of bad votes on bad and on good documents, the share of bad ones, and so the
-posterior of a pattern. Posteriors of at least half label a training sample, of at most TRAIN_ROWS documents expected, drawn by a
-hash of id and text; a logistic regression with an L1 penalty over hashed tokens learns from it and scores every document.
+posterior of a pattern. A training sample, of at most TRAIN_ROWS documents expected, drawn by a hash of id and text, holds each
+document as a bad one by the weight of its posterior and as a good one by what is left of it, so a doubtful label teaches little;
+a logistic regression with an L1 penalty over hashed tokens learns from it and scores every document. Texts are read once:
+votes and hashed tokens are stored, and all that follows reads those.
 
-Edge cases: a null text is empty: it has no tokens, gets the scorer's prior, and is not kept, as nothing can be learnt from
+Edge cases: texts of any length are read whole; a document has as many features as distinct tokens. Only doc_id (a whole number)
+and text are read, so other columns can have any names. A null text is empty: it has no tokens, gets the scorer's prior, and is not kept, as nothing can be learnt from
 it. Repeated rows count each. Where all labels of an aspect agree, the posterior of that label is everybody's score. An
 empty table gives an empty result.
 """
@@ -26,20 +29,28 @@ from tideline.llm.common import stored
 
 #: Documents that train a scorer, as expected by the sampling.
 TRAIN_ROWS = 20_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 ROUNDS = 100
 L1 = 5e-4
+#: Labels of less weight teach nothing.
+LEAST_WEIGHT = 1e-3
 
-# Insults, in three lists that vote apart.
+# Insults, in lists that vote apart.
 INSULTS = {
-    "insult_mind": ("idiot", "moron", "stupid", "imbecile", "dumb", "fool", "cretin"),
-    "insult_person": ("scum", "trash", "loser", "clown", "pig", "vermin", "bastard"),
-    "insult_worth": ("worthless", "pathetic", "disgusting", "filthy", "useless", "hateful", "vile"),
+    "insult_mind": (
+        "idiot", "idiots", "moron", "morons", "moronic", "stupid", "stupidity", "imbecile", "dumb", "dumbass", "fool", "fools", "foolish", "cretin", "dimwit", "halfwit", "nitwit", "brainless",
+        "retard", "retarded", "dummkopf", "dumm", "blöd", "trottel", "estúpido", "tonto", "imbécil", "débile", "stupide", "crétin"),
+    "insult_person": (
+        "scum", "trash", "loser", "losers", "clown", "clowns", "pig", "pigs", "vermin", "bastard", "bastards", "asshole", "jerk", "creep", "freak", "rat", "rats", "parasite", "parasites", "bitch",
+        "whore", "arschloch", "abschaum", "schwein", "basura", "cabrón", "escoria", "connard", "salaud", "ordure"),
+    "insult_worth": (
+        "worthless", "pathetic", "disgusting", "filthy", "useless", "hateful", "vile", "despicable", "repulsive", "shameful", "revolting", "subhuman", "inferior", "wertlos", "erbärmlich",
+        "widerlich", "inútil", "asqueroso", "patético", "dégoûtant", "minable", "pathétique"),
 }
 
 
 def _any_word(words: tuple[str, ...]) -> Column:
-    return F.col("text").rlike(r"(?i)\b(?:" + "|".join(words) + r")\b")
+    return F.arrays_overlap("tokens", F.array(*map(F.lit, words)))
 
 
 def _signals(docs: DataFrame) -> DataFrame:
@@ -101,27 +112,23 @@ def fit_labels(votes: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> L
     return model
 
 
-def vote_patterns(docs: DataFrame) -> DataFrame:
-    """n documents for each pattern of votes, columns ASPECT_LABELLER."""
-    votes = [v.cast("int").alias(f"{a}_{name}") for a, some in labellers().items() for name, v in some.items()]
-    seen = _signals(docs).select(*votes)
-    return seen.groupBy(*seen.columns).agg(F.count("*").alias("n"))
-
-
-def label_models(docs: DataFrame) -> dict[str, LabelModel]:
-    rows = vote_patterns(docs).collect()  # at most 2 ** labellers
+def label_models(rows: DataFrame) -> tuple[dict[str, LabelModel], int]:
+    """Each aspect's label model, and the number of documents, from prepared() rows."""
+    seen = rows.groupBy(*(f"{a}_{name}" for a, some in labellers().items() for name in some)).agg(F.count("*").alias("n"))
+    patterns = seen.collect()  # at most 2 ** labellers
+    count = np.array([r["n"] for r in patterns], float)
     out = {}
     for aspect, some in labellers().items():
-        votes = np.array([[r[f"{aspect}_{name}"] for name in some] for r in rows], float).reshape(len(rows), len(some))
-        out[aspect] = fit_labels(votes, np.array([r["n"] for r in rows], float))
-    return out
+        votes = np.array([[r[f"{aspect}_{name}"] for name in some] for r in patterns], float).reshape(len(patterns), len(some))
+        out[aspect] = fit_labels(votes, count)
+    return out, int(count.sum())
 
 
 def posterior_column(aspect: str, model: LabelModel) -> Column:
-    """The label model's posterior of a row with the labellers' signals."""
+    """The label model's posterior of a row with the labellers' votes."""
     odds = F.lit(float(np.log(model.prior / (1 - model.prior))))
-    for vote, (good, bad) in zip(labellers()[aspect].values(), model.rates, strict=True):
-        odds = odds + F.when(vote, float(np.log(bad / good))).otherwise(float(np.log((1 - bad) / (1 - good))))
+    for name, (good, bad) in zip(labellers()[aspect], model.rates, strict=True):
+        odds = odds + F.when(F.col(f"{aspect}_{name}"), float(np.log(bad / good))).otherwise(float(np.log((1 - bad) / (1 - good))))
     return 1 / (1 + F.exp(-odds))
 
 
@@ -132,36 +139,36 @@ def _tokens() -> Column:
     return F.array_distinct(F.concat(said, F.array(*steps, F.concat(F.lit("~length "), F.floor("length").cast("string")))))
 
 
-def featured(signals: DataFrame, *also: Column) -> DataFrame:
-    rows = signals.select("doc_id", "n", _tokens().alias("tokens"), *also)
-    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="tokens", outputCol="features").transform(rows).drop("tokens")
+def prepared(docs: DataFrame) -> DataFrame:
+    """doc_id, n (words), drawn (a hash), a vote of each labeller as ASPECT_LABELLER, and features, as a stored table."""
+    votes = [F.coalesce(v, F.lit(False)).alias(f"{a}_{name}") for a, some in labellers().items() for name, v in some.items()]
+    rows = _signals(docs).withColumn("tokens", _tokens()).select("doc_id", "n", F.xxhash64("doc_id", "text", F.lit(9)).alias("drawn"), *votes, "tokens")
+    return stored(HashingTF(numFeatures=BUCKETS, binary=True, inputCol="tokens", outputCol="features").transform(rows).drop("tokens"), "prepared")
 
 
-def train(docs: DataFrame, models: dict[str, LabelModel], rows: int = TRAIN_ROWS) -> dict[str, LogisticRegressionModel | float]:
-    """A scorer for each aspect, or the share of bad labels where they all agree."""
-    total = docs.count()
-    step = max(1, -(-total // rows))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(step)) == 0)
-    signals = _signals(sample)
-    labels = [(posterior_column(a, m) >= 0.5).cast("double").alias(a) for a, m in models.items()]
-    known = stored(featured(signals, *labels).coalesce(12), "sample")
+def train(rows: DataFrame, models: dict[str, LabelModel], total: int, most: int = TRAIN_ROWS) -> dict[str, LogisticRegressionModel | float]:
+    """A scorer for each aspect, or the posteriors' mean where they all agree. rows: prepared, `total` of them."""
+    sample = rows.where(F.pmod("drawn", F.lit(max(1, -(-total // most)))) == 0)
+    known = stored(sample.select("features", *(posterior_column(a, m).alias(a) for a, m in models.items())).coalesce(12), "sample")
+    ends = known.agg(*(f(a).alias(f"{a}_{f.__name__}") for a in models for f in (F.min, F.avg, F.max))).first()
     out: dict[str, LogisticRegressionModel | float] = {}
     for aspect in models:
-        share = known.agg(F.avg(aspect)).first()[0]
-        if share is None or share in (0.0, 1.0):
-            out[aspect] = float(share or 0.0)
+        least, mean, most_ = (ends[f"{aspect}_{x}"] for x in ("min", "avg", "max"))
+        if mean is None or most_ < LEAST_WEIGHT or least > 1 - LEAST_WEIGHT:
+            out[aspect] = float(mean or 0.0)
             continue
-        fit = LogisticRegression(labelCol=aspect, featuresCol="features", regParam=L1, elasticNetParam=1.0, maxIter=40, standardization=False, aggregationDepth=2)
-        out[aspect] = fit.fit(known)
+        each = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col(aspect).alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col(aspect)).alias("weight"))))
+        labelled = known.select("features", each.alias("x")).select("features", "x.label", "x.weight").where(F.col("weight") >= LEAST_WEIGHT)
+        fit = LogisticRegression(weightCol="weight", featuresCol="features", regParam=L1, elasticNetParam=1.0, maxIter=40, standardization=False, aggregationDepth=2)
+        out[aspect] = fit.fit(labelled)
     return out
 
 
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, low and toxic (chances), quality (what is left of both) and kept, a row for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scorers = train(docs, label_models(docs))
-    rows = featured(_signals(docs))
-    for aspect, scorer in scorers.items():
+    rows = prepared(docs)
+    for aspect, scorer in train(rows, *label_models(rows)).items():
         if isinstance(scorer, float):
             rows = rows.withColumn(aspect, F.lit(scorer))
             continue
