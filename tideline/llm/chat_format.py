@@ -10,7 +10,7 @@ A conversation is the unit of the result: its turns meet in one row, as an examp
 are as many characters as their prefixes together; that is the method's output, not a join.
 
 Edge cases: a null text or role is empty. Turns with equal or null numbers go by turn (null first), role and text; repeated
-rows are turns of their own. Rows with a null conv_id are one conversation. An empty table gives no examples.
+rows are turns of their own. Texts of any length are written whole. Columns beside the four that are read can have any names. Rows with a null conv_id are one conversation. An empty table gives no examples.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    probe = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{PROBE}'), (-1L, 1L, 'assistant', '{PROBE}') AS t (conv_id, turn, role, text)")
     return digests(examples(turns.unionByName(probe)))
 
 
