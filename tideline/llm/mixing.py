@@ -11,7 +11,7 @@ words taken are nearest to R, off by half a document at most. u comes from a has
 No source is ever in one place: words are summed by source and one of BUCKETS slices of the ranking, and only the
 slice where the cut falls is ranked row by row. The cut of each source goes back to the documents as a filter.
 
-Edge cases: a null text has size 0, an empty one too; they take 0 words. Rows with equal doc_id share u and are
+Edge cases: a null text has size 0, an empty one too; they take 0 words. Texts of any length count whole. Rows with equal doc_id share u and are
 taken or left together; rows without an id draw by their text. The null source comes last. An empty table, or
 one without words, gives rows with target 0. Columns named like the results are replaced.
 """

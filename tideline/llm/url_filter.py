@@ -9,7 +9,7 @@ The threshold is calibrated on a tenth of the labelled URLs that the models leav
 scores with the fewest balanced errors, from a histogram.
 
 Edge cases: a null URL, or one without `://`, has an empty host and path, no rule and no characters, and is allowed.
-Repeated URLs count each. Where one class has no URLs all undecided ones are allowed. An empty table gives an empty result.
+Repeated URLs count each. URLs of any length are scored whole. Columns named like the results are replaced. Where one class has no URLs all undecided ones are allowed. An empty table gives an empty result.
 """
 
 from __future__ import annotations
