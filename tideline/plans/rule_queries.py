@@ -35,11 +35,12 @@ def v_structure(spark, folder):
     return rounded(validate.structure_issues(rows).select("conv_id", "turn", "rule", "severity"))
 
 
-STRUCTURE_SQL = rf"""{BASE}, odd AS (SELECT conv_id, msg_idx, role, CASE WHEN (conv_id + msg_idx) % 13 = 0 THEN '  ' WHEN (conv_id + msg_idx) % 17 = 0 THEN 'ok' WHEN (conv_id + msg_idx) % 19 = 0 THEN repeat(text, 40) ELSE text END AS text FROM messages)
+STRUCTURE = lambda text: rf"""{BASE}, odd AS (SELECT conv_id, msg_idx, role, {text} AS text FROM messages)
 SELECT conv_id, msg_idx AS turn, 'STRUCT_ROLE' AS rule, 'error' AS severity FROM odd WHERE role <> CASE WHEN msg_idx % 2 = 0 THEN 'user' ELSE 'assistant' END
 UNION ALL SELECT conv_id, msg_idx, 'STRUCT_EMPTY', 'error' FROM odd WHERE trim(text) = ''
 UNION ALL SELECT conv_id, msg_idx, 'STRUCT_LENGTH_MIN', 'warning' FROM odd WHERE trim(text) <> '' AND ((role = 'user' AND length(text) < 3) OR (role = 'assistant' AND length(text) < 100))
-UNION ALL SELECT conv_id, msg_idx, 'STRUCT_LENGTH_MAX', 'warning' FROM odd WHERE length(text) > 5000"""
+UNION ALL SELECT conv_id, msg_idx, 'STRUCT_LENGTH_MAX', 'warning' FROM odd WHERE length(text) > 5000"""
+STRUCTURE_SQL = STRUCTURE("CASE WHEN (conv_id + msg_idx) % 13 = 0 THEN '  ' WHEN (conv_id + msg_idx) % 17 = 0 THEN 'ok' WHEN (conv_id + msg_idx) % 19 = 0 THEN repeat(text, 40) ELSE text END")
 
 
 def near_duplicate_band(spark, folder):
@@ -261,11 +262,36 @@ SELECT conv_id, ord AS turn, CASE WHEN tag = '' THEN length(t) ELSE length(tag)
 
 
 def safety_net(spark, folder):
-    from tideline.operators.scoring import level_scores
+    return repair.safety_net(messages(spark, folder)).select("conv_id", "turn", F.md5("fixed").alias("fixed_md5"))
 
-    rows = repair.safety_net(messages(spark, folder)).select("conv_id", "turn", F.col("fixed").alias("text"))
-    levels = level_scores(F.col("text"), F.col("turn"), F.lit("en"))
-    return rounded(rows.select(*(c.alias(n) for n, c in levels.items())).agg(*(F.avg(n).alias(n) for n in ("l1", "l3", "l4", "l5")), F.count("*").alias("n")))
+
+OFTEN = "text"
+for _i, _p in enumerate(repair.FILLERS):
+    _q = _p.replace("'", "''")
+    OFTEN = f"CASE WHEN h{_i} AND n{_i} > 2 THEN {TRIM(f"regexp_replace({OFTEN}, '(?i){_q}', '')")} ELSE {OFTEN} END"
+HITS = ", ".join(f"regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}') AS h{i}" for i, p in enumerate(repair.FILLERS))
+USES = ", ".join(f"count(*) FILTER (h{i}) OVER (PARTITION BY conv_id ORDER BY ord) AS n{i}" for i in range(len(repair.FILLERS)))
+NET_SQL = rf"""{REPLIES}, hits AS (SELECT *, {HITS} FROM replies), uses AS (SELECT *, {USES} FROM hits), s AS (SELECT conv_id, ord, {OFTEN} AS t FROM uses),
+p AS (SELECT *, regexp_extract(t, '(?s)^(\[Turn:\s*\d+\])', 1) AS tag, regexp_replace(regexp_replace(regexp_replace(regexp_extract(t, '(?s)^\[Turn:\s*\d+\]\s*(.*)$', 1), '^[\s,\-—–:]+', ''), '(?i)^(?:and|is that|is|that|but|so|or)\s+', ''), '^[\s,\-—–:]+', '') AS core FROM s),
+q AS (SELECT *, length(regexp_extract(core, '^([^\p{{L}}\p{{N}}_]*)[a-z]', 1)) AS k, regexp_matches(core, '^[^\p{{L}}\p{{N}}_]*[a-z]') AS low FROM p),
+polished AS (SELECT conv_id, ord, CASE WHEN tag = '' THEN t ELSE tag || ' ' || CASE WHEN low THEN substr(core, 1, k) || upper(substr(core, k + 1, 1)) || substr(core, k + 2) ELSE core END END AS text FROM q)""" + FIX_SQL.removeprefix(REPLIES).replace("FROM replies)", "FROM polished)")
+
+MEMBERS = lambda of, n: f"list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g FROM (SELECT conv_id, ord - 1 AS ord, {WORDS} AS w FROM messages WHERE role = '{of}')"
+WHOLE = lambda rule, rows: f"SELECT '{rule}' AS rule, 'warning' AS severity FROM ({rows})"
+SAID = "SELECT conv_id, ord - 1 AS ord, text FROM messages WHERE role = "
+ISSUE_PARTS = [
+    WHOLE("QUAL_REPETITION", f"WITH g AS (SELECT conv_id, ord, {MEMBERS('assistant', 3)}) SELECT 1 FROM (SELECT len(list_intersect(a.g, b.g))::DOUBLE AS n, len(a.g) AS x, len(b.g) AS y FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.ord BETWEEN a.ord + 1 AND a.ord + 4) WHERE x > 0 AND y > 0 AND n / (x + y - n) > 0.6"),
+    WHOLE("QUAL_DIVERSITY", f"SELECT conv_id FROM (SELECT conv_id, unnest({WORDS}) AS w FROM messages WHERE role = 'assistant') GROUP BY conv_id HAVING count(*) >= 100 AND count(DISTINCT w) / count(*)::DOUBLE < 0.15"),
+    WHOLE("QUAL_USER_LENGTH_VARIANCE", "SELECT conv_id FROM messages WHERE role = 'user' GROUP BY conv_id HAVING count(*) >= 5 AND stddev_pop(length(text)) / avg(length(text)) < 0.2"),
+    WHOLE("QUAL_META_LANGUAGE", "SELECT conv_id FROM messages WHERE role = 'user' AND regexp_matches(lower(text), '" + "|".join(T.META) + "') GROUP BY conv_id HAVING count(*) > 2"),
+    WHOLE("QUAL_INTRO_REPETITION", rf"SELECT DISTINCT conv_id FROM (SELECT conv_id, lower(trim(split_part(regexp_replace(text, '^\s*\[Turn:\s*\d+\]\s*', ''), '.', 1))) AS intro, count(*) OVER (PARTITION BY conv_id) AS k FROM messages WHERE role = 'assistant') WHERE k >= 5 AND intro <> '' GROUP BY conv_id, intro HAVING count(*) >= 3"),
+    WHOLE("QUAL_ASSISTANT_VARIETY", rf"WITH o AS (SELECT conv_id, lower(regexp_replace(substr(regexp_extract(regexp_replace(text, '^\s*\[Turn:\s*\d+\]\s*', ''), '^([^\n]*?)(?:\.|\d+[.)]|\n|$)', 1), 1, 80), '^\s+|\s+$', '', 'g')) AS o FROM messages WHERE role = 'assistant'), c AS (SELECT conv_id, o, count(*) AS c FROM o GROUP BY ALL) SELECT conv_id FROM c GROUP BY conv_id HAVING sum(c) >= 5 AND coalesce(max(c) FILTER (o <> ''), 0) / sum(c)::DOUBLE > 0.4"),
+    *(WHOLE("QUAL_PHRASE_SPAM", f"SELECT conv_id FROM messages WHERE role = 'assistant' GROUP BY conv_id HAVING count(*) >= 5 AND count(*) FILTER (contains(substr(lower(text), 1, 100), '{p}')) > 2") for p in validate.SPAM),
+    WHOLE("QUAL_USER_VERBATIM", f"WITH g AS (SELECT conv_id, ord, {MEMBERS('user', 5)}), p AS (SELECT a.conv_id, len(list_intersect(a.g, b.g)) AS n, least(len(a.g), len(b.g)) AS m FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.ord >= a.ord + 5) SELECT conv_id FROM p WHERE n > 0 AND n / m::DOUBLE > 0.5 AND (SELECT count(*) FROM g c WHERE c.conv_id = p.conv_id) >= 10 GROUP BY conv_id HAVING count(*) > 3"),
+    WHOLE("CATD_ECHO", f"SELECT conv_id FROM ({ECHO_SQL.replace('>= 1', '>= 3')}) GROUP BY conv_id HAVING count(*) > 2"),
+    WHOLE("COHER_PHANTOM_REF", PHANTOM_SQL),
+    WHOLE("QUAL_TOPIC_REPEAT", rf"WITH t AS (SELECT conv_id, ord, list_distinct(flatten(list_transform(regexp_extract_all(text, '(?m)^\s*\d+[.)\s]\s*([^\n]+)$', 1), lambda x: regexp_extract_all(lower(x), '[a-z]{{6,}}')[1:5]))) AS g, count(*) OVER (PARTITION BY conv_id) AS k FROM messages WHERE role = 'assistant'), g AS (SELECT * FROM t WHERE k >= 20 AND len(g) >= 3) SELECT 1 FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.ord >= a.ord + 10 WHERE len(list_intersect(a.g, b.g)) / nullif(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)), 0)::DOUBLE > 0.4"),
+]
 
 
 QUERIES = {f.__name__: f for f in (
@@ -285,3 +311,5 @@ ORACLES = {
     "v_report": REPORT_SQL, "tv_format": TV_SQL, "tv_length_ratio": LEN_SQL, "tv_untranslated": UNTRANSLATED_SQL, "tv_metrics": TVM_SQL, "citation_reinsert": REINSERT_SQL, "force_fix": FIX_SQL,
     "filler_counts": f"{REPLIES} SELECT conv_id // 10 AS conv_id, count(*) FILTER (regexp_matches(text, '(?i)The key is to\\s+')) AS key_uses, 0 AS wrong_uses, count(*) AS n FROM replies GROUP BY conv_id // 10",
 }
+ORACLES["v_issues"] = f"{BASE}, i AS (SELECT rule, severity FROM ({ORACLES['v_levels']}) UNION ALL SELECT rule, severity FROM ({STRUCTURE('text')}) UNION ALL " + " UNION ALL ".join(ISSUE_PARTS) + ") SELECT rule, severity, count(*) AS n FROM i GROUP BY ALL"
+ORACLES["safety_net"] = NET_SQL
