@@ -10,7 +10,8 @@ below it is a word such as `required` or `changeme`. Values that overlap a base
 Texts are scanned row by row where Spark reads them; only words and values are shuffled. Offsets are code points, ends exclusive.
 
 Words are ranked: COMMON_WORDS, then by how often they stand in all documents outside of such values (a secret does not make
-itself a word). Only words that some value holds are looked up and sent to the tasks.
+itself a word). Spark joins what could be a word inside a value to the counts, each distinct value is costed once with its
+own few ranks, and the verdicts go back to the documents that hold such values: no dictionary is sent around.
 
 Edge cases: an empty table gives an empty result. redact() returns the columns of docs, whatever their names; scan() reads doc_id (a
 whole number) and text alone. A null text is empty and holds nothing. A null doc_id and repeated rows are rows like others. A value of any
@@ -20,16 +21,19 @@ length is costed whole: states at the threshold are dropped, so work grows with
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import stored
+from tideline.llm.common import small_or_shuffled, stored
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,6 +45,8 @@ CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|auth)\b["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*["']?([^\s"'`<>,;]{6,})""", re.I | re.A)
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "key", "auth")
 MIN_LOG_GUESSES = 10.0
+#: Shorter values are not costed.
+LEAST_VALUE = 6
 #: log10 of the orders of so many parts; from the last on they alone reach the threshold.
 LOG_ORDERS = [math.log10(math.factorial(k)) for k in range(15)]
 #: Longer runs of letters are no words.
@@ -158,8 +164,13 @@ def log_guesses(value: str, ranks: dict[str, int] = RANK) -> float:
     return min((c + LOG_ORDERS[k] for k, c in best[n].items()), default=math.inf)
 
 
-def spans(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, int, int, int]]:
-    """start, number of the kind, end, start of the value, in the order of the result."""
+def guessed(value: str) -> bool:
+    """Whether a value is hard to guess, by COMMON_WORDS alone."""
+    return log_guesses(value) >= MIN_LOG_GUESSES
+
+
+def spans(text: str, hard: Callable[[str], bool] = guessed) -> list[tuple[int, int, int, int]]:
+    """start, number of the kind, end, start of the value, in the order of the result. hard: whether a value is hard to guess."""
     found = []
     low = text.lower()
     if any(w in low for w in ASSIGN_WORDS):
@@ -167,11 +178,15 @@ def spans(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, int, int,
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
-    base = sorted((a, b) for a, _, b, _ in found)
+    found.sort()
+    starts = [a for a, *_ in found]
+    upto = list(itertools.accumulate((b for _, _, b, _ in found), max))
+    guesses = []
     for a, b in values(text, low):
-        if b - a >= 6 and not any(x < b and a < y for x, y in base) and log_guesses(text[a:b], ranks) >= MIN_LOG_GUESSES:
-            found.append((a, 3, b, a))
-    return sorted(found)
+        k = bisect_left(starts, b)  # base spans that begin before the value's end
+        if b - a >= LEAST_VALUE and not (k and upto[k - 1] > a) and hard(text[a:b]):
+            guesses.append((a, 3, b, a))
+    return sorted(found + guesses)
 
 
 def values(text: str, low: str) -> list[tuple[int, int]]:
@@ -211,30 +226,68 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted()
 
 
+def name_of(value: str) -> int:
+    return xxhash.xxh64_intdigest(value) - (1 << 63)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of each document that are no base spans: key, the value's name, value."""
+    for batch in batches:
+        rows = []
+        for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = t.as_py() or ""
+            some = {text[a:b] for a, kind, b, _ in spans(text, lambda _: True) if kind == 3}
+            rows += [(key, name_of(v), v) for v in sorted(some)]
+        keys, names, said = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(said, pa.string())], names=["key", "name", "value"])
+
+
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whatever could be a word inside the values."""
+    """Whatever could be a word inside a value: name, word."""
     for batch in batches:
-        some = set()
-        for t in batch.column(0).to_pylist():
-            for a, b in values(t or "", (t or "").lower()):
-                low = t[a:b].lower()
-                for v in {low, low.translate(LEET)}:
-                    for m in LETTERS.finditer(v):
-                        run = m.group()
-                        some.update(run[i:j] for i in range(len(run) - 2) for j in range(i + 3, min(len(run), i + LONGEST_WORD) + 1))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(some), pa.string())], names=["word"])
-
-
-def ranked(docs: DataFrame) -> dict[str, int]:
-    """The rank of every word that a value of docs holds: COMMON_WORDS, then by count over all documents, ties alike."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+        for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low = value.lower()
+            some = set()
+            for v in {low, low.translate(LEET)}:
+                for m in LETTERS.finditer(v):
+                    run = m.group()
+                    some.update(run[i:j] for i in range(len(run) - 2) for j in range(i + 3, min(len(run), i + LONGEST_WORD) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), pa.array(sorted(some), pa.string())], names=["name", "word"])
+
+
+def _costed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names of the values that are hard to guess."""
+    for batch in batches:
+        hard = []
+        for name, value, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            ranks = {w["word"]: len(COMMON_WORDS) + 1 + w["above"] for w in words or ()} | RANK
+            if log_guesses(value, ranks) >= MIN_LOG_GUESSES:
+                hard.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(hard, pa.int64())], names=["name"])
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word, above: how many words are more frequent, over all documents; ties alike."""
     known = stored(texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     by_count = known.groupBy("n").agg(F.count("*").alias("words"))
     above = by_count.select("n", (F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words")).alias("above"))  # distinct counts
-    wanted = texts.mapInArrow(_wanted, "word string").distinct()
-    found = known.join(wanted, "word").join(F.broadcast(above), "n").select("word", "above").toArrow()
-    ranks = {w: len(COMMON_WORDS) + 1 + r for w, r in zip(found.column("word").to_pylist(), found.column("above").to_pylist(), strict=True)}
-    return ranks | RANK
+    return known.join(small_or_shuffled(stored(above, "above")), "n").select("word", "above")
+
+
+def hard_values(docs: DataFrame, key: str) -> DataFrame:
+    """key, hard: of the documents that hold values which are hard to guess, the names of these."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    held = stored(docs.select(key, F.col("text").cast("string")).mapInArrow(_held, "key long, name long, value string"), "held")
+    each = stored(held.groupBy("name").agg(F.min("value").alias("value")), "values")
+    words = each.mapInArrow(_wanted, "name long, word string").join(word_counts(texts), "word")
+    ranks = words.groupBy("name").agg(F.collect_list(F.struct("word", "above")).alias("words"))
+    hard = stored(each.join(ranks, "name", "left").select("name", "value", "words").mapInArrow(_costed, "name long"), "hard")
+    found = held.join(small_or_shuffled(hard), "name").groupBy("key").agg(F.collect_set("name").alias("hard"))
+    return small_or_shuffled(stored(found, "held-hard"))
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
 
 
 def _joined(found: list[tuple[int, int, int, int]]) -> str:
@@ -244,40 +297,44 @@ def _joined(found: list[tuple[int, int, int, int]]) -> str:
 SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], ranks: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [spans(t.as_py() or "", ranks) for t in batch.column(1)]
+        rows = [spans(t.as_py() or "", _among(hard)) for t, hard in zip(batch.column(1), batch.column(2), strict=True)]
         counts = [pa.array([sum(s[1] == kind for s in r) for r in rows], pa.int64()) for kind in range(4)]
         base = [hashlib.sha256(_joined([s for s in r if s[1] < 3]).encode()).hexdigest() for r in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array([_joined(r) for r in rows], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
 
 
+def _among(hard: pa.Scalar) -> Callable[[str], bool]:
+    known = set(hard.as_py() or ())
+    return lambda value: name_of(value) in known
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """The secrets of docs (doc_id, text): counts by kind, a digest of the base spans, and all spans as kind:start:end."""
-    held = docs.sparkSession.sparkContext.broadcast(ranked(docs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _scan(it, held.value), SCANNED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", _key())
+    return rows.join(hard_values(rows, "key"), "key", "left").select("doc_id", "text", "hard").mapInArrow(_scan, SCANNED)
 
 
 MASK = "[REDACTED]"
 
 
-def masked(text: str, ranks: dict[str, int] = RANK) -> str:
+def masked(text: str, hard: Callable[[str], bool] = guessed) -> str:
     """The text with the values of its secrets replaced, overlapping ones as one."""
     out, at = [], 0
-    for a, b in sorted((value, b) for _, _, b, value in spans(text, ranks)):
+    for a, b in sorted((value, b) for _, _, b, value in spans(text, hard)):
         if a >= at:
             out += [text[at:a], MASK]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
-def _mask(batches: Iterator[pa.RecordBatch], ranks: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.schema.names
+        names = batch.schema.names[:-1]  # the last: names of hard values
         texts = [t.as_py() for t in batch.column("text")]
-        clean = [t and masked(t, ranks) for t in texts]
-        columns = dict(zip(names, batch.columns, strict=True))
+        clean = [t and masked(t, _among(hard)) for t, hard in zip(texts, batch.columns[-1], strict=True)]
+        columns = dict(zip(names, batch.columns, strict=False))
         columns["text"] = pa.array(clean, batch.schema.field("text").type)
         if "n_chars" in columns:
             sizes = [n if a == b else len(b) for n, a, b in zip(columns["n_chars"].to_pylist(), texts, clean, strict=True)]
@@ -287,5 +344,7 @@ def _mask(batches: Iterator[pa.RecordBatch], ranks: dict[str, int]) -> Iterator[
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the secrets in text masked; n_chars, if there is one, follows where a text changed."""
-    held = docs.sparkSession.sparkContext.broadcast(ranked(docs))
-    return docs.mapInArrow(lambda it: _mask(it, held.value), docs.schema)
+    key, hard = (max(docs.columns, key=len) + end for end in ("_key", "_hard"))  # no column has these names
+    rows = docs.withColumn(key, _key())
+    found = hard_values(rows, key).withColumnsRenamed({"key": key, "hard": hard})
+    return rows.join(found, key, "left").select(*docs.columns, hard).mapInArrow(_mask, docs.schema)
