@@ -2,11 +2,19 @@
 
 Every stage takes the documents that the one before it kept, whole, and returns the columns of documents; the last
 returns the mix, with the size, the source's size and target, and the words taken of each document.
+
+Edge cases: a document without text, or with under 50 words, fails the quality rules and goes. Null languages and sources
+are groups like others, and the null source comes last in the mix. Documents with a null id stay documents of their own: of
+near-copies that with the least id stays, without ids that with the least hash of its text. Rows of equal id and text
+are one after the second stage; equal ids with different texts both stay. Of ties the operators' docstrings say which comes
+first. Texts of any length pass whole. An empty table gives an empty mix. Extra columns pass all stages, whatever their
+names, but for those that the mix adds (size, source_size, target, taken), which it replaces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, mixing, quality_rules, secret_scan, simhash
 from tideline.llm.common import stored, table
@@ -14,11 +22,12 @@ from tideline.llm.common import stored, table
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Rejected documents go."""
-    return quality_rules.judged(docs, docs.columns).where("kept").select(docs.columns)
+    whole = docs.select(F.struct("*").alias("document"), "text", "lang", "source")  # columns named like the counts pass inside
+    return quality_rules.judged(whole, ["document"]).where("kept").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest id stays."""
     return simhash.keep_one(docs)
 
 
