@@ -108,14 +108,15 @@ def _ratios(some: DataFrame, model: DataFrame, strength: float) -> DataFrame:
 
 def scored(rows: DataFrame, model: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """rows (with url) and their score: the mean over a URL's characters; 0 for an empty one."""
-    key = F.struct(F.xxhash64("url"), F.hash("url")).alias("url_key")
+    key = F.struct(F.xxhash64("url"), F.hash("url"))
     urls = rows.where("length(url) > 0").select(F.col("url").cast("binary").alias("url"), F.xxhash64("url").alias("url_a"), F.hash("url").alias("url_b"))
     held = stored(urls.dropDuplicates(["url_a", "url_b"]).mapInArrow(_counted, "url_a long, url_b int, gram long, times long"), "grams-of-urls")
     ratio = stored(_ratios(held.select("gram").distinct(), model, strength), "ratios")
     total = F.sum((F.col("ratio") * F.col("times")).cast("decimal(30,15)")).cast("double")  # the same in any order
     score = held.join(small_or_shuffled(ratio), "gram").groupBy("url_a", "url_b").agg((total / F.sum("times")).alias("score"))
-    score = score.select(F.struct("url_a", "url_b").alias("score_key"), "score")
-    out = rows.withColumn("url_key", key).join(score, F.col("url_key.col1").eqNullSafe(F.col("score_key.url_a")) & F.col("url_key.col2").eqNullSafe(F.col("score_key.url_b")), "left")
+    own, of = (max(rows.columns, key=len) + end for end in ("_key", "_of"))  # no column has these names
+    score = score.select(F.struct("url_a", "url_b").alias(of), "score")
+    out = rows.withColumn(own, key).join(score, F.col(f"{own}.col1").eqNullSafe(F.col(f"{of}.url_a")) & F.col(f"{own}.col2").eqNullSafe(F.col(f"{of}.url_b")), "left")
     return out.select(*rows.columns, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
