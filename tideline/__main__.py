@@ -1,11 +1,12 @@
 """The library from the command line.
 
 python -m tideline list
-python -m tideline run FOLDER OUT [--queries NAME...] [--dry-run]
+python -m tideline run QUERY FOLDER [OUT]
+python -m tideline run_all FOLDER OUT [--queries NAME...] [--dry-run]
 python -m tideline drift | validate | fertility | expand CONVERSATIONS OUT [--langs LANG...] [--max-convs N] [--dry-run]
 python -m tideline sample
 
-run: registered queries over a folder of tables, all of them without --queries. The others read JSONL conversations (a pattern of
+run, run_all: a registered query over a folder of tables, shown without OUT; or several, all of them without --queries. The others read JSONL conversations (a pattern of
 paths, folders naming tier and language): drift writes turn scores and curve summaries, validate issues and a report,
 fertility token ratios to the English texts, expand the texts brought to the longest language's number of words.
 --max-convs keeps so many conversations of each tier and language, --dry-run two.
@@ -42,7 +43,9 @@ def conversations(spark: SparkSession, pattern: str, langs: list[str] | None = N
     from tideline.operators.cohorts import first_n
     from tideline.sources import tables
 
-    rows = tables.languages(tables.read_conversations(spark, pattern), langs)
+    rows = tables.read_conversations(spark, pattern).withColumn("tier", F.coalesce("tier", F.lit("")))
+    if langs:
+        rows = rows.where(F.col("lang").isin(langs))
     if most is None:
         return rows
     return rows.join(first_n(rows.select(*KEY).distinct(), ["tier", "lang"], "conv_id", most), list(KEY), "left_semi")
@@ -87,6 +90,13 @@ def expand(rows: DataFrame, out: str) -> None:
 VERBS = {f.__name__: f for f in (drift, validate, fertility, expand)}
 
 
+def run(name: str, folder: str, out: str | None = None) -> None:
+    from tideline.plans import registry
+
+    found = registry.QUERIES[name](session(), folder)
+    found.write.mode("overwrite").parquet(out) if out else found.show(50, truncate=60)
+
+
 def sample(spark: SparkSession) -> None:
     from tideline.operators.curves import curve_summary
     from tideline.operators.scoring import score_turns
@@ -100,28 +110,29 @@ def main(args: list[str]) -> int:
     from tideline.plans import registry
 
     parser = argparse.ArgumentParser(prog="tideline", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("verb", choices=["list", "run", "sample", *VERBS])
-    parser.add_argument("source", nargs="?")
-    parser.add_argument("out", nargs="?")
+    parser.add_argument("verb", choices=["list", "run", "run_all", "sample", *VERBS])
+    parser.add_argument("places", nargs="*")
     parser.add_argument("--queries", nargs="+", choices=sorted(registry.QUERIES), metavar="NAME")
     parser.add_argument("--langs", nargs="+")
     parser.add_argument("--max-convs", type=int)
     parser.add_argument("--dry-run", action="store_true")
     given = parser.parse_args(args)
-    if given.verb == "list":
+    verb, places = given.verb, given.places
+    if verb == "list":
         print("\n".join(sorted(registry.QUERIES)))
-    elif given.verb == "sample":
+    elif verb == "sample":
         sample(session())
-    elif not given.source or not given.out:
-        parser.print_usage()
-        return 2
-    elif given.verb == "run":
+    elif verb == "run" and len(places) in (2, 3) and places[0] in registry.QUERIES:
+        run(places[0], *places[1:])
+    elif verb == "run_all" and len(places) == 2:
         for name in given.queries or sorted(registry.QUERIES):
-            found = registry.QUERIES[name](session(), given.source)
-            found.show(truncate=60) if given.dry_run else found.write.mode("overwrite").parquet(f"{given.out}/{name}")
-    else:
+            run(name, places[0], None if given.dry_run else f"{places[1]}/{name}")
+    elif verb in VERBS and len(places) == 2:
         most = given.max_convs if given.max_convs is not None else DRY if given.dry_run else None
-        VERBS[given.verb](conversations(session(), given.source, given.langs, most), given.out)
+        VERBS[verb](conversations(session(), places[0], given.langs, most), places[1])
+    else:
+        parser.print_usage()
+        return 2
     return 0
 
 
