@@ -389,7 +389,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     guests = pairs.join(homes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("guest"), F.col("v").alias("id"))
     own = homes.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("guest"), F.col("u").alias("id"))
     wanted = guests.union(own).join(sets.select("id", F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")), "id")
-    wanted = small_or_shuffled(stored(wanted.select("u", "part", "guest", "of_id", "of_mark"), "wanted"))
+    wanted = wanted.select("u", "part", "guest", "of_id", "of_mark").hint("merge")  # as at any scale: texts go to their pairs
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))
     rows = texts.join(wanted, same).select("u", "part", "guest", "text").repartition("u", "part").sortWithinPartitions("u", "part", F.col("guest").asc_nulls_first())
     return rows.mapInArrow(_confirmed, "u long, v long").distinct()
@@ -409,7 +409,7 @@ def copy_links(sets: DataFrame, texts: DataFrame, late: np.ndarray, rank: np.nda
     shared = stored(shared, "shared")
     held = stored(dealt.join(small_or_shuffled(shared), "gram").distinct(), "held")
     discard(shared)
-    known = small_or_shuffled(sets)
+    known = sets.hint("merge")  # as many as different texts
     a, b = (known.select(F.col("id").alias(f"id_{x}"), F.col("size").alias(f"size_{x}"), F.col("print").alias(f"print_{x}")) for x in "ab")
     near = (F.least("size_a", "size_b") * down >= F.greatest("size_a", "size_b") * up) & (F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= COPY_RADIUS)
     stars = held.where("id <> home").select(F.col("home").alias("u"), F.col("id").alias("v")).distinct()
