@@ -6,6 +6,7 @@ from tideline.llm import (
     chat_format_queries,
     decontaminate_queries,
     html_extract_queries,
+    importance_queries,
     mixing_queries,
     quality_rules_queries,
     secret_scan_queries,
@@ -26,6 +27,7 @@ MODULES = (
     secret_scan_queries,
     weak_quality_queries,
     simhash_queries,
+    importance_queries,
 )
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
