@@ -12,6 +12,7 @@ from tideline.llm import (
     secret_scan_queries,
     simhash_queries,
     suffix_dedup_queries,
+    token_files_queries,
     url_filter_queries,
     weak_quality_queries,
 )
@@ -27,6 +28,7 @@ MODULES = (
     secret_scan_queries,
     weak_quality_queries,
     simhash_queries,
+    token_files_queries,
     importance_queries,
 )
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
