@@ -9,6 +9,7 @@ from tideline.llm import (
     importance_queries,
     mixing_queries,
     quality_rules_queries,
+    ranked_search_queries,
     secret_scan_queries,
     simhash_queries,
     suffix_dedup_queries,
@@ -28,6 +29,7 @@ MODULES = (
     secret_scan_queries,
     weak_quality_queries,
     simhash_queries,
+    ranked_search_queries,
     token_files_queries,
     importance_queries,
 )
