@@ -17,7 +17,8 @@ PAGE_ROWS documents bound what a selective read fetches: as parts and pages are
 either passes over row groups by their statistics and over pages by the page index, and a reader of metadata never touches the ids' pages.
 
 The tokenizer is the given file of the tokenizers library, and a text's ids are those of encode() of the whole text. As its
-white space is dropped and no rule of it reaches over an ASCII space, a batch's distinct words are encoded once each, and a
+white space is dropped and no rule of it reaches over an ASCII space, or from an ASCII letter to a full stop, comma, colon, semicolon, question or
+exclamation mark, a batch's distinct words between such places are encoded once each (in one case, if it folds case), and a
 worker keeps up to KNOWN_WORDS of them (what is kept changes work, not results). `whole=True` encodes text by text, for tokenizers of which that does not hold.
 
 Edge cases: a null or empty text is the end id alone. Null ids come first; rows of equal id follow each other, in any order.
@@ -53,6 +54,10 @@ KEPT_BYTES = 64
 CHUNK_WORDS = 20_000
 
 SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+MARK = np.isin(np.arange(256), list(b".,;:!?"))
+LETTER = np.isin(np.arange(256) | 32, range(ord("a"), ord("z") + 1)) & (np.arange(256) < 128)
+#: A-Z to a-z.
+FOLDED = np.where(LETTER, np.arange(256) | 32, np.arange(256)).astype(np.uint8)
 
 
 class Encoder:
@@ -62,6 +67,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.whole = Tokenizer.from_file(vocabulary), end_id, whole
+        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +83,17 @@ class Encoder:
         return out, n + 1
 
     def _by_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b" ".join(texts), np.uint8)
+        joined = b" ".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        if self.folds and not any(x in joined.lower() for x in self.special):  # else a string could turn into a special token's
+            data = FOLDED[data]
         inside = ~SPACE[data]
-        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        first, size = edge[0::2], edge[1::2] - edge[0::2]
+        begins = inside & np.append(True, ~inside[:-1] | (MARK[data[1:]] & LETTER[data[:-1]])) if len(data) else inside
+        first = np.flatnonzero(begins)
         text = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]), first, "right") - 1
-        ends = np.concatenate(([0], np.cumsum(size)))
-        words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(np.ascontiguousarray(data[inside]))]).dictionary_encode()
+        held = data[inside]
+        ends = np.append((np.cumsum(inside) - 1)[first], len(held)).astype("<i8")
+        words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(held)]).dictionary_encode()
         of, names = words.indices.to_numpy(), words.dictionary.to_pylist()
         if len(self.known) + len(names) > KNOWN_WORDS:
             self._forget()
