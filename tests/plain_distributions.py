@@ -1,8 +1,4 @@
-"""Tails of the distributions that tests need: Student's t, F, chi-square, normal, and Kendall's exact count.
-
-Called on the few numbers that an aggregation leaves. Regularised incomplete beta and gamma functions by continued
-fractions and series.
-"""
+"""Tails of distributions in plain Python, against which the columns are held."""
 
 from __future__ import annotations
 

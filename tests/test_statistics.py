@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tideline.functions import distributions as D
+from tests import plain_distributions as D
+from tideline.functions import distributions
 from tideline.operators import statistics as S
 from tideline.streaming.live import advance
 
@@ -18,6 +20,22 @@ def test_tails():
     assert D.t_two_sided(None, 3) is None and D.t_two_sided(math.inf, 3) == 0 and D.chi2_tail(1.0, 0) is None
 
 
+def test_column_tails_agree(spark):
+    r = random.Random(3)
+    sizes = [1, 2, 3, 10, 150, 60_000]
+    rows = [(r.choice([0.0, 1e-9, r.random(), r.uniform(1, 4), r.uniform(0, 300)]), r.choice(sizes), r.choice(sizes)) for _ in range(300)] + [(None, 3, 4), (math.inf, 3, 4), (1.0, 0, 4), (1.0, 3, 0)]
+    x, a, b = F.col("x"), F.col("a"), F.col("b")
+    df = spark.createDataFrame(rows, "x double, a long, b long")
+    got = df.select(distributions.t_two_sided(x, a), distributions.f_tail(x, a, b), distributions.chi2_tail(x, a), distributions.normal_two_sided(x)).collect()
+    for (v, p, q), row in zip(rows, got, strict=True):
+        want = (D.t_two_sided(v, p), D.f_tail(v, p, q), D.chi2_tail(v, p), D.normal_two_sided(v)) if v != math.inf else (0.0, 0.0, None, None)
+        for w, g in zip(want, row, strict=True):
+            assert v == math.inf and w is None or g == (w if w is None else pytest.approx(w, abs=1e-9, rel=1e-7))
+    pairs = [(d, n) for n in (2, 3, 5, 12, 33) for d in {0, 1, n, n * (n - 1) // 4, n * (n - 1) // 2} if d <= n * (n - 1) // 2]
+    got = spark.createDataFrame(pairs, "d long, n long").select(distributions.kendall_two_sided(F.col("d"), F.col("n"))).collect()
+    assert [g[0] for g in got] == [pytest.approx(D.kendall_two_sided(d, n)) for d, n in pairs]
+
+
 def test_kendall_exact():
     assert D.kendall_two_sided(0, 4) == pytest.approx(2 / 24) and D.kendall_two_sided(3, 4) == 1.0 and D.kendall_two_sided(10, 5) == pytest.approx(2 / 120)
 
@@ -30,7 +48,7 @@ def test_ranks_average_ties(spark):
 def test_kruskal(spark):
     rows = [("a", v) for v in (1, 2, 3)] + [("b", v) for v in (4, 5, 6)] + [("c", None)]
     r = S.kruskal(spark.createDataFrame(rows, "g string, v int"), "g", "v").first()
-    assert r.h_stat == pytest.approx(12 / (6 * 7) * (36 / 3 + 225 / 3) - 21) and S.with_p(r, "kruskal")["p"] == pytest.approx(0.0495, abs=1e-3)
+    assert r.h_stat == pytest.approx(12 / (6 * 7) * (36 / 3 + 225 / 3) - 21) and spark.createDataFrame([r]).select(S.p_value("kruskal")).first()[0] == pytest.approx(0.0495, abs=1e-3)
 
 
 def test_undefined_statistics(spark):

@@ -1,4 +1,4 @@
-"""Tests and regressions: sums in Spark, tails on the driver over the few numbers left."""
+"""Tests and regressions: sums in Spark, and their tails as columns of the row that is left."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions import distributions as D
-from tideline.functions.numbers import corr
+from tideline.functions.numbers import corr, mixed
 
 
 def ols(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -140,13 +140,13 @@ def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: chi2 and df of the independence of two columns, with Yates' correction at one degree of freedom."""
     cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("o"))
     by_a, by_b = cells.groupBy(a).agg(F.sum("o").alias("ra")), cells.groupBy(b).agg(F.sum("o").alias("rb"))
-    (ka, total), (kb,) = by_a.agg(F.count("*"), F.sum("ra")).first(), by_b.agg(F.count("*")).first()
+    sides = by_a.agg(F.count("*").alias("ka"), F.sum("ra").cast("double").alias("n")).join(F.broadcast(by_b.agg(F.count("*").alias("kb"))))  # a row each
     # An empty cell adds its own expectation, and all expectations sum to n: only cells with rows are met. Where the
     # correction counts there are two rows and two columns, and |o - e| is the same in all four cells.
-    met = cells.join(by_a, a).join(by_b, b).withColumn("n", F.lit(total).cast("double"))
+    met = cells.join(by_a, a).join(by_b, b).join(F.broadcast(sides))
     e = F.col("ra").cast("double") * F.col("rb") / F.col("n")
     d = F.abs(F.col("o") - e)
-    whole = met.agg(F.sum(d * d / e).alias("met"), F.sum(e).alias("seen"), F.first("n").alias("n"), F.lit((ka - 1) * (kb - 1)).alias("df"), F.max(d).alias("d"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+    whole = met.agg(F.sum(d * d / e).alias("met"), F.sum(e).alias("seen"), F.first("n").alias("n"), F.first((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df"), F.max(d).alias("d"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
     full = F.col("met") + F.greatest(F.col("n") - F.col("seen"), F.lit(0.0))
     d = F.col("d") - F.least(F.lit(0.5), F.col("d"))
     ra, rb, n = (F.col(c).cast("double") for c in ("ra", "rb", "n"))
@@ -184,16 +184,34 @@ def block_shares(sizes: list[int], at: int, resamples: int, seed: int) -> np.nda
     return left
 
 
+#: Draws made in one go.
+DRAWS = 1 << 20
+
+
+def counted_sums(values: np.ndarray, draws: np.ndarray, at: int, seed: int) -> np.ndarray:
+    """The sum of draws[r] values for each resample r. Draw k of resample r in block `at` is a hash of the seed, at, r and k: a
+    start and a stride of the resample's own, and the mixed k-th number from there."""
+    key = mixed(mixed(np.array([seed], np.uint64)) + np.uint64(at))
+    own = np.arange(len(draws), dtype=np.uint64) * np.uint64(2)
+    start, stride = mixed(key + own), mixed(key + own + np.uint64(1)) | np.uint64(1)
+    out, upto = np.zeros(len(draws)), np.cumsum(draws)
+    for some in np.split(np.arange(len(draws)), np.flatnonzero(np.diff(upto // DRAWS)) + 1):
+        n = draws[some]
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        place = mixed(np.repeat(start[some], n) + k.astype(np.uint64) * np.repeat(stride[some], n)) % np.uint64(len(values))
+        out[some] = np.bincount(np.repeat(np.arange(len(some)), n), weights=values[place], minlength=len(some))
+    return out
+
+
 def bootstrap(rows: DataFrame, keys: list[str], value: str, order: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """keys, n, mean, lower, upper: the mean and its 95 % percentile interval over resamples; nulls are dropped, an empty group gives
-    zeros. Blocks of a group's values are resampled in tasks of their own, in the order of a column, so the seed gives the
-    same interval in every run."""
+    zeros. Blocks of a group's values are resampled in tasks of their own, in the order of a column, and draws are
+    counted, not taken from a generator, so the seed gives the same interval in every run and in every engine."""
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf.sort_values(["order_", "value_"])["value_"].to_numpy(float)
         sizes, at = [int(x) for x in pdf["sizes_"].iloc[0]], int(pdf["at_"].iloc[0])
-        draw = np.random.RandomState(seed if len(sizes) == 1 else [seed, 0, at])
-        total = [draw.choice(known, k).sum() for k in block_shares(sizes, at, resamples, seed)]
+        total = counted_sums(known, block_shares(sizes, at, resamples, seed), at, seed)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * (resamples + 1) for k in keys}, "at_": at, "resample_": range(-1, resamples), "sum_": [known.sum(), *total]})  # -1: all values
 
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
@@ -216,26 +234,24 @@ def bootstrap(rows: DataFrame, keys: list[str], value: str, order: str, resample
     return with_group(groups, ends, "left").select(*keys, "n", per(F.col("all_")).alias("mean"), per(F.col("ends_")[0]).alias("lower"), per(F.col("ends_")[1]).alias("upper"))
 
 
-def with_p(row, kind: str) -> dict:
-    """A test's row with its p value. kind: ols, anova, kruskal, kendall_w, kendall_tau, spearman, t, pearson or chi2."""
-    r = row.asDict()
+def p_value(kind: str) -> Column:
+    """The p value of a row of a test. kind: ols, anova, kruskal, kendall_w, kendall_tau, spearman, t, pearson or chi2."""
+    c = F.col
     if kind == "ols":
-        p = D.f_tail(r["f_stat"], 1, r["n"] - 2)
-    elif kind == "anova":
-        p = D.f_tail(r["f_stat"], r["groups"] - 1, r["n"] - r["groups"])
-    elif kind == "kruskal":
-        p = D.chi2_tail(r["h_stat"], r["groups"] - 1)
-    elif kind == "kendall_w":
-        p = D.chi2_tail(r["chi2"], r["items"] - 1) if r["items"] >= 3 else 1.0
-    elif kind == "kendall_tau":
-        n = r["items"]
-        z = 3 * r["tau"] * (n * (n - 1)) ** 0.5 / (2 * (2 * n + 5)) ** 0.5
-        p = D.normal_two_sided(z) if r["ties"] or n > 33 else D.kendall_two_sided(r["discordant"], n)
-    elif kind in ("spearman", "pearson"):
-        c, n = r["rho" if kind == "spearman" else "r"], r["items" if kind == "spearman" else "n"]
-        p = None if c is None else D.t_two_sided(abs(c) * ((n - 2) / max(1 - c * c, 1e-300)) ** 0.5, n - 2)
-    elif kind == "t":
-        p = D.t_two_sided(r["t_stat"], r["df"])
-    else:
-        p = D.chi2_tail(r["chi2"], r["df"])
-    return r | {"p": p, "significant": p is not None and p < 0.05}
+        return D.f_tail(c("f_stat"), F.lit(1), c("n") - 2)
+    if kind == "anova":
+        return D.f_tail(c("f_stat"), c("groups") - 1, c("n") - c("groups"))
+    if kind == "kruskal":
+        return D.chi2_tail(c("h_stat"), c("groups") - 1)
+    if kind == "kendall_w":
+        return F.when(c("items") >= 3, D.chi2_tail(c("chi2"), c("items") - 1)).otherwise(1.0)
+    if kind == "kendall_tau":
+        n = c("items")
+        z = 3 * c("tau") * F.sqrt(n * (n - 1)) / F.sqrt(2 * (2 * n + 5))
+        return F.when(c("ties") | (n > 33), D.normal_two_sided(z)).otherwise(D.kendall_two_sided(c("discordant"), n))
+    if kind in ("spearman", "pearson"):
+        r, n = c("rho" if kind == "spearman" else "r"), c("items" if kind == "spearman" else "n")
+        return D.t_two_sided(F.abs(r) * F.sqrt(F.greatest(n - 2, F.lit(0)) / F.greatest(1 - r * r, F.lit(1e-300))), n - 2)
+    if kind == "t":
+        return D.t_two_sided(c("t_stat"), c("df"))
+    return D.chi2_tail(c("chi2"), c("df"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -77,8 +78,8 @@ def bootstrap_ci(spark, folder):
 def p_values(spark, folder):
     """Every test's p value on the same tables."""
     runs = {"ols": ols_slope_r2, "anova": anova_f, "kruskal": kruskal_h, "kendall_w": kendall_w, "kendall_tau": lambda s, f: S.kendall_tau(_means(s, f), "model", "lang", "m"), "spearman": spearman_rho, "t": ttest_stat, "chi2": chi2_stat}
-    rows = [(kind, float(p["p"]) if p["p"] is not None else None, bool(p["significant"])) for kind, query in runs.items() for p in (S.with_p(r, kind) for r in query(spark, folder).collect())]
-    return spark.createDataFrame(rows, "test string, p double, significant boolean")
+    each = [query(spark, folder).select(F.lit(kind).alias("test"), S.p_value(kind).alias("p")) for kind, query in runs.items()]
+    return rounded(functools.reduce(lambda x, y: x.union(y), each).withColumn("significant", F.coalesce(F.col("p") < 0.05, F.lit(False))))
 
 
 def perplexity(spark, folder):
@@ -190,3 +191,41 @@ ORACLES = {
     "master_round_trip": "SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",
     "summary_csv_round_trip": f"{RUNS} SELECT conv_id, total_turns, drift_onset, round(auc, 6) AS auc FROM summary",
 }
+MIX_SQL = lambda n, x: f"{x} & 4294967295 AS {n}_0, (xor({n}_0, {n}_0 >> 16) * 73244475) & 4294967295 AS {n}_1, (xor({n}_1, {n}_1 >> 16) * 73244475) & 4294967295 AS {n}_2, xor({n}_2, {n}_2 >> 16) AS {n}"
+#: Groups of one block, which all are here.
+ORACLES["bootstrap_ci"] = f"""{RUNS}, g AS (SELECT model, lang, list(mean_ddm ORDER BY conv_id, mean_ddm) AS v, count(mean_ddm) AS n FROM summary GROUP BY model, lang),
+seeded AS (SELECT {MIX_SQL("s", "42::BIGINT")}, {MIX_SQL("key", "s")}),
+lanes AS (SELECT r, {MIX_SQL("start", "key + 2 * r")}, {MIX_SQL("odd", "key + 2 * r + 1")}, odd | 1 AS stride FROM seeded, range(10000) AS t(r)),
+draws AS (SELECT model, lang, n, r, v[1 + h % n] AS x FROM (SELECT model, lang, v, n, r, {MIX_SQL("h", "start + k * stride")} FROM (SELECT *, unnest(range(n)) AS k FROM g), lanes)),
+sums AS (SELECT model, lang, r, sum(x) / n AS m FROM draws GROUP BY model, lang, n, r)
+SELECT model, lang, n, round(list_sum(v) / n, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM sums JOIN g USING (model, lang) GROUP BY model, lang, n, v"""
+#: The incomplete beta function's fraction half a step at a time, the gamma function's series and fraction, and Kendall's counts.
+ORACLES["p_values"] = f"""WITH RECURSIVE tests(test, kind, a, b, x) AS (
+  SELECT 'ols', 'beta', (n - 2) / 2.0::DOUBLE, 0.5::DOUBLE, (n - 2)::DOUBLE / (f_stat + n - 2) FROM ({ORACLES["ols_slope_r2"]})
+  UNION ALL SELECT 'anova', 'beta', (n - groups) / 2.0::DOUBLE, (groups - 1) / 2.0::DOUBLE, (n - groups)::DOUBLE / ((groups - 1) * f_stat + n - groups) FROM ({ORACLES["anova_f"]})
+  UNION ALL SELECT 'kruskal', 'gamma', (groups - 1) / 2.0::DOUBLE, 0, h_stat / 2 FROM ({ORACLES["kruskal_h"]})
+  UNION ALL SELECT 'kendall_w', 'gamma', (items - 1) / 2.0::DOUBLE, 0, chi2 / 2 FROM ({ORACLES["kendall_w"]})
+  UNION ALL SELECT 'spearman', 'beta', (items - 2) / 2.0::DOUBLE, 0.5, (items - 2) / (items - 2 + rho * rho * (items - 2) / greatest(1 - rho * rho, 1e-300)) FROM ({ORACLES["spearman_rho"]})
+  UNION ALL SELECT 't', 'beta', df / 2.0::DOUBLE, 0.5, df / (df + t_stat * t_stat) FROM ({ORACLES["ttest_stat"]})
+  UNION ALL SELECT 'chi2', 'gamma', df / 2.0::DOUBLE, 0, chi2 / 2 FROM ({ORACLES["chi2_stat"]})
+  UNION ALL SELECT 'kendall_tau', 'count', items, discordant, 0 FROM ({ORACLES["kendall_tau_b"]})),
+named AS MATERIALIZED (SELECT *, row_number() OVER () AS id, kind = 'beta' AND x >= (a + 1) / (a + b + 2) AS swap FROM tests),
+sides AS MATERIALIZED (SELECT id, CASE WHEN swap THEN b ELSE a END AS a, CASE WHEN swap THEN a ELSE b END AS b, CASE WHEN swap THEN 1 - x ELSE x END AS x, swap FROM named WHERE kind = 'beta'),
+beta(id, a, b, x, i, c, d, f) AS (
+  SELECT id, a, b, x, 1, 1.0::DOUBLE, 1 / (1 - (a + b) * x / (a + 1)), 1 / (1 - (a + b) * x / (a + 1)) FROM sides
+  UNION ALL SELECT id, a, b, x, i + 1, 1 + t / c, 1 / (1 + t * d), f * (1 + t / c) / (1 + t * d)
+  FROM (SELECT *, CASE WHEN i % 2 = 1 THEN m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) ELSE -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) END AS t FROM (SELECT *, (i + 1) // 2 AS m FROM beta))
+  WHERE i <= 2 * (100 + 10 * ceil(sqrt(greatest(a, b))))),
+gamma(id, a, x, i, term, total, c, d, f) AS (
+  SELECT id, a, x, 1, 1 / a, 1 / a, 1e300::DOUBLE, 1 / (x + 1 - a), 1 / (x + 1 - a) FROM named WHERE kind = 'gamma'
+  UNION ALL SELECT id, a, x, i + 1, term * x / (a + i), total + term * x / (a + i), y - i * (i - a) / c, 1 / (y - i * (i - a) * d), f * (y - i * (i - a) / c) / (y - i * (i - a) * d)
+  FROM (SELECT *, x + 1 - a + 2 * i AS y FROM gamma) WHERE i <= 100 + 10 * ceil(sqrt(a))),
+orders(k, c) AS (SELECT 1, [1.0::DOUBLE] UNION ALL SELECT k + 1, list_transform(range(0, len(c) + k), lambda i: list_sum(c[greatest(1, i - k + 1):i + 1])) FROM orders WHERE k < 33),
+p AS (
+  SELECT n.test, CASE WHEN n.x <= 0 THEN 0 ELSE CASE WHEN s.swap THEN 1 - v ELSE v END END AS p FROM named n JOIN sides s USING (id) JOIN (
+    SELECT id, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) * arg_max(f, i) / a AS v FROM beta GROUP BY id, a, b, x) USING (id)
+  UNION ALL SELECT n.test, exp(n.a * ln(n.x) - n.x - lgamma(n.a)) * v FROM named n JOIN (
+    SELECT id, CASE WHEN x < a + 1 THEN exp(lgamma(a) + x - a * ln(x)) - arg_max(total, i) ELSE arg_max(f, i) END AS v FROM gamma GROUP BY id, a, x) USING (id)
+  UNION ALL SELECT test, CASE WHEN 2 * less < a * (a - 1) / 2 THEN least(1, 2 * list_sum(c[1:less + 1]) / list_sum(c)) ELSE 1 END
+  FROM (SELECT *, CAST(least(b, a * (a - 1) / 2 - b) AS BIGINT) AS less FROM named WHERE kind = 'count') JOIN orders ON k = a)
+SELECT test, round(p, 6) + 0.0::DOUBLE AS p, p < 0.05 AS significant FROM p"""
