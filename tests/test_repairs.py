@@ -61,13 +61,6 @@ def test_quick_check(spark):
     assert [x[0] for x in rows.select(translation.quick_check(F.col("s"), F.col("t"))).collect()] == [[], ["FMT_SYS_ACK"], ["FMT_SOURCE", "FMT_BULLETS"], []]
 
 
-def test_expanded(spark):
-    fillers = ["One two three.", "Four five six."]
-    rows = spark.createDataFrame([("A b. C d.", 4), ("A b. C d.", 9), ("alone here", 9)], "t string, n int").select(repair.expanded(F.col("t"), F.col("n"), fillers).alias("t"))
-    got = [x.t for x in rows.collect()]
-    assert got[0] == "A b. C d." and got[2] == "alone here alone here" and len(got[1].split()) == 10 and got[1].startswith("A b. ") and got[1].endswith(" C d.")
-
-
 @pytest.mark.parametrize("ties", [3, 1000])
 def test_ranks_and_kendall_by_pairs(spark, ties):
     r = random.Random(ties)

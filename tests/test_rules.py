@@ -82,11 +82,6 @@ def test_fillers(spark):
     assert got == ["[Turn: 1] The key is to go on.", "[Turn: 2] The key is to go on.", "[Turn: 3] Go on.", "[Turn: 4] Go on."]
 
 
-def test_expansion(spark):
-    row = spark.createDataFrame([("One two. Three four.",)], "t string").select(repair.expanded(F.col("t"), F.lit(12), ["in other words"]).alias("x")).first().x
-    assert len(row.split()) >= 12 and row.startswith("One two. in other")
-
-
 def test_cohorts(spark):
     rows = spark.createDataFrame([("m-short", "en", 10, 5), ("m-short", "it", 12, 0), ("m-short", "it", 9, 6)], "model string, lang string, tokens long, en_tokens long")
     r = cohorts.fertility(rows.where("lang = 'it'"), ["lang"]).first()

@@ -30,7 +30,6 @@ SAMPLE = [
 ]
 KEY = ("tier", "lang", "conv_id")
 DRY = 2
-FILLERS = ("In other words, the same holds here.", "Put differently, nothing else changes.")
 
 
 def session() -> SparkSession:
@@ -79,12 +78,12 @@ def fertility(rows: DataFrame, out: str) -> None:
 
 def expand(rows: DataFrame, out: str) -> None:
     from tideline.functions import tokens
-    from tideline.operators import repair
+    from tideline.operators import expansion
 
     sized = rows.withColumn("n", tokens.count_tokens(F.col("text"), "whitespace"))
     target = sized.groupBy("tier", "conv_id", "msg_idx").agg(F.max("n").alias("target"))
-    both = sized.join(target, ["tier", "conv_id", "msg_idx"])
-    both.select(*KEY, "msg_idx", "role", repair.expanded(F.col("text"), F.col("target"), list(FILLERS)).alias("text")).write.mode("overwrite").parquet(f"{out}/expanded")
+    both = expansion.expander("cri")(sized.join(target, ["tier", "conv_id", "msg_idx"]))
+    both.select(*KEY, "msg_idx", "role", F.col("expanded").alias("text")).write.mode("overwrite").parquet(f"{out}/expanded")
 
 
 VERBS = {f.__name__: f for f in (drift, validate, fertility, expand)}

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions import text as T
-from tideline.operators.cohorts import drawn
 from tideline.operators.scoring import role_ordinal
+from tideline.sources.shared import place, stored
 
 # Openings that replace banned ones.
 REPLACEMENTS = (
@@ -120,39 +120,37 @@ def safety_net(messages: DataFrame) -> DataFrame:
     return strip_fillers(messages).withColumn("fixed", force_fix(F.col("fixed"), F.col("turn")))
 
 
-def audited(messages: DataFrame, rewrite: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 1) -> DataFrame:
+def failing(replies: DataFrame) -> DataFrame:
+    """Those of replies (turn, text) that fail a level."""
+    scores = T.validator_scores(F.col("text"), F.col("turn"))
+    return replies.where(functools.reduce(lambda a, b: a | b, (c < 1 for c in scores.values())))
+
+
+def audited(messages: DataFrame, rewrite: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 1, force: bool = True) -> DataFrame:
     """messages (conv_id, msg_idx, role, text) with the replies that fail a level rewritten, at most `rounds` times, and what fails
     still made to meet the levels. rewrite takes the failing replies (conv_id, msg_idx, turn, text) and returns conv_id,
-    msg_idx, text: a call of a language model, if there is one. Returns messages with fixed: how a reply was mended, or null."""
-    names = messages.columns
-
-    def failing(rows: DataFrame) -> DataFrame:
-        said = role_ordinal(rows.where("role = 'assistant'"), ("conv_id",))
-        scores = T.validator_scores(F.col("text"), F.col("turn"))
-        return said.where(functools.reduce(lambda a, b: a | b, (c < 1 for c in scores.values()))).select("conv_id", "msg_idx", "turn", "text")
-
-    def put(rows: DataFrame, new: DataFrame, how: str) -> DataFrame:
-        both = rows.join(new.select("conv_id", "msg_idx", F.col("text").alias("new_")), ["conv_id", "msg_idx"], "left")
-        changed = F.col("new_").isNotNull()
-        return both.withColumns({"text": F.coalesce("new_", "text"), "fixed": F.when(changed, how).otherwise(F.col("fixed"))}).drop("new_")
-
-    rows = messages.withColumn("fixed", F.lit(None).cast("string"))
-    for _ in range(rounds if rewrite else 0):
-        rows = put(rows, rewrite(failing(rows)), "rewritten")
-    rows = put(rows, failing(rows).withColumn("text", force_fix(F.col("text"), F.col("turn"))), "forced")
-    return rows.select(*names, "fixed")
-
-
-def expanded(text: Column, target: Column, fillers: list[str], seed: int = 42) -> Column:
-    """A text brought to at least `target` words: fillers in turn, from a hashed start, before sentences after the first; a
-    single sentence is said again."""
-    words = lambda c: F.size(T.words(c))
-    parts = T.sentences(text)
-    start = F.pmod(drawn(seed, text), F.lit(len(fillers)))
-    shortest = min(len(f.split()) for f in fillers)
-    lack = F.greatest(target - words(text), F.lit(0))
-    n = F.least(F.ceil(lack / shortest).cast("int"), F.lit(51))
-    listed = F.array(*map(F.lit, fillers))
-    add = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(listed, (F.pmod(start + i, F.lit(len(fillers))) + 1).cast("int")))
-    placed = F.concat(F.slice(parts, 1, 1), add, F.slice(parts, F.lit(2), F.size(parts)))
-    return F.when(lack <= 0, text).when(F.size(parts) < 2, F.concat(text, F.lit(" "), F.lower(text))).otherwise(F.array_join(placed, " "))
+    msg_idx, text: a call of a language model, if there is one. Returns messages with fixed (how a reply was mended, or null) and
+    fixed_round (when; from 1).
+
+    Rounds are deltas: each reads the replies that the last left failing, writes what became of them to the shared folder, and
+    the next reads that; it ends when none is left. All messages are read twice, for the first round and for the result, and
+    the plans are the same however many rounds there were."""
+    spark, path = messages.sparkSession, place(messages.sparkSession, "audit")
+    said = role_ordinal(messages.where("role = 'assistant'"), ("conv_id",)).select("conv_id", "msg_idx", "turn", "text")
+    left = stored(failing(said), f"{path}/left=0")
+    k = 0
+    while rewrite and k < rounds and not left.isEmpty():
+        k += 1
+        new = rewrite(left).select("conv_id", "msg_idx", F.col("text").alias("new_"))
+        both = left.join(new, ["conv_id", "msg_idx"], "left").select("conv_id", "msg_idx", "turn", F.coalesce("new_", "text").alias("text"))
+        left = failing(stored(both, f"{path}/rounds/round={k}"))
+        left = stored(left, f"{path}/left={k}")
+    if force:
+        stored(left.withColumn("text", force_fix(F.col("text"), F.col("turn"))), f"{path}/rounds/round={rounds + 1}")
+    elif k == 0:
+        stored(left.limit(0), f"{path}/rounds/round=1")
+    done = spark.read.schema("conv_id long, msg_idx long, turn long, text string, round int").option("basePath", f"{path}/rounds").parquet(f"{path}/rounds")
+    last = done.groupBy("conv_id", "msg_idx").agg(F.max_by(F.struct("text", "round"), "round").alias("last_"))
+    both = messages.join(last, ["conv_id", "msg_idx"], "left")
+    how = F.when(F.col("last_.round") > rounds, "forced").when(F.col("last_").isNotNull(), "rewritten")
+    return both.select(*(F.coalesce("last_.text", "text").alias(c) if c == "text" else c for c in messages.columns), how.alias("fixed"), F.col("last_.round").alias("fixed_round"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions import tokens
-from tideline.operators import cohorts, curves, repair
+from tideline.operators import cohorts, curves, expansion
 from tideline.operators.scoring import LEVELS
 from tideline.plans.curve_queries import ORDER_SQL, RUNS, K
 from tideline.plans.frames import KEY, MESSAGES_SQL, SCORES_SQL, messages, rounded, scores, table
@@ -165,21 +165,24 @@ def parallel_pair_join(spark, folder):
 
 
 def cri_expand(spark, folder):
-    rows = _pairs(spark, folder)
-    text = F.col("en_text")
-    target = F.ceil(tokens.count_tokens(text, "whitespace") * 1.3)
-    out = rows.select("conv_id", "turn", target.alias("target"), repair.expanded(text, target, list(EXPAND_FILLERS)).alias("t"))
-    return rounded(out.select("conv_id", "turn", "target", tokens.count_tokens(F.col("t"), "whitespace").alias("tokens"), (tokens.count_tokens(F.col("t"), "whitespace") >= F.col("target")).alias("reached")))
-
-
-EXPAND_FILLERS = ("In other words, so it is.", "To say it again, this holds.")
-#: Sentences end at white space behind a mark; a mark is kept, so the white space becomes a character that no text has.
-EXPAND_SQL = rf"""WITH p AS (SELECT a.conv_id, a.turn, b.text AS en FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id + 1 AND a.turn = b.turn),
-t AS (SELECT *, len(regexp_extract_all(en, '\S+')) AS n, CAST(ceil(len(regexp_extract_all(en, '\S+')) * 1.3) AS BIGINT) AS target, string_split(regexp_replace(en, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts,
-  {DRAWN_SQL.format(42, "en")} % 2 AS start FROM p),
-k AS (SELECT *, least(CAST(ceil(greatest(target - n, 0) / {min(len(x.split()) for x in EXPAND_FILLERS)}.0) AS BIGINT), 51) AS k FROM t),
-w AS (SELECT conv_id, turn, target, CASE WHEN target <= n THEN n WHEN len(parts) < 2 THEN 2 * n ELSE n + {len(EXPAND_FILLERS[0].split())} * (CASE WHEN start = 0 THEN (k + 1) // 2 ELSE k // 2 END) + {len(EXPAND_FILLERS[1].split())} * (CASE WHEN start = 0 THEN k // 2 ELSE (k + 1) // 2 END) END AS tokens FROM k)
-SELECT conv_id, turn, target, tokens, tokens >= target AS reached FROM w"""
+    rows = _pairs(spark, folder).select("conv_id", "turn", F.col("en_text").alias("text"))
+    rows = rows.withColumn("target", F.ceil(tokens.count_tokens(F.col("text"), "whitespace") * 1.3))
+    out = expansion.expander("cri")(rows)
+    return rounded(out.select("conv_id", "turn", "target", F.col("expanded_words").alias("tokens"), F.col("success").alias("reached"), F.md5("expanded").alias("expanded_md5")))
+
+
+#: Sentences end at white space behind a mark; a mark is kept, so the white space becomes a character that no text has. Then filler after filler.
+FILLERS_SQL = "[" + ", ".join("'" + f.replace("'", "''") + "'" for f in expansion.FILLERS) + "]"
+EXPAND_SQL = rf"""WITH RECURSIVE p AS (SELECT a.conv_id, a.turn, b.text AS en FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id + 1 AND a.turn = b.turn),
+f(conv_id, turn, target, start, i, n, parts) AS (
+  SELECT conv_id, turn, CAST(ceil(len(regexp_extract_all(en, '\S+')) * 1.3) AS BIGINT), {DRAWN_SQL.format(42, "en")}, 0, len(regexp_extract_all(en, '\S+')), string_split(regexp_replace(en, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) FROM p
+  UNION ALL
+  SELECT conv_id, turn, target, start, i + 1, n + len(regexp_extract_all(filler, '\S+')) + CASE WHEN len(parts) < 2 THEN len(regexp_extract_all(parts[1], '\S+')) ELSE 0 END,
+    CASE WHEN len(parts) < 2 THEN list_append(parts, filler || lower(parts[1])) ELSE list_transform(parts, lambda x, k: CASE WHEN k = 2 + h % (len(parts) - 1) THEN filler || x ELSE x END) END
+  FROM (SELECT *, {FILLERS_SQL}[1 + i % {len(expansion.FILLERS)}] AS filler, (start + i) & 4294967295 AS h0, (xor(h0, h0 >> 16) * 73244475) & 4294967295 AS h1, (xor(h1, h1 >> 16) * 73244475) & 4294967295 AS h2, xor(h2, h2 >> 16) AS h FROM f)
+  WHERE n < target AND i < 51)
+SELECT f.conv_id, f.turn, target, n AS tokens, n >= target AS reached, md5(CASE WHEN i = 0 THEN en ELSE array_to_string(parts, ' ') END) AS expanded_md5
+FROM f JOIN p USING (conv_id, turn) QUALIFY row_number() OVER (PARTITION BY f.conv_id, f.turn ORDER BY i DESC) = 1"""
 
 
 # --- attention
