@@ -4,11 +4,13 @@ python -m tideline list
 python -m tideline run QUERY FOLDER [OUT]
 python -m tideline run_all FOLDER OUT [--queries NAME...] [--dry-run]
 python -m tideline drift | validate | fertility | expand CONVERSATIONS OUT [--langs LANG...] [--max-convs N] [--dry-run]
+python -m tideline study CONVERSATIONS OUT [--phases NAME...] [--langs LANG...] [--max-convs N] [--dry-run]
 python -m tideline sample
 
 run, run_all: a registered query over a folder of tables, shown without OUT; or several, all of them without --queries. The others read JSONL conversations (a pattern of
 paths, folders naming tier and language): drift writes turn scores and curve summaries, validate issues and a report,
 fertility token ratios to the English texts, expand the texts brought to the longest language's number of words.
+study runs the phases of a whole study that OUT does not hold yet, and what they need.
 --max-convs keeps so many conversations of each tier and language, --dry-run two.
 """
 
@@ -109,9 +111,10 @@ def main(args: list[str]) -> int:
     from tideline.plans import registry
 
     parser = argparse.ArgumentParser(prog="tideline", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("verb", choices=["list", "run", "run_all", "sample", *VERBS])
+    parser.add_argument("verb", choices=["list", "run", "run_all", "study", "sample", *VERBS])
     parser.add_argument("places", nargs="*")
     parser.add_argument("--queries", nargs="+", choices=sorted(registry.QUERIES), metavar="NAME")
+    parser.add_argument("--phases", nargs="+", metavar="NAME")
     parser.add_argument("--langs", nargs="+")
     parser.add_argument("--max-convs", type=int)
     parser.add_argument("--dry-run", action="store_true")
@@ -129,6 +132,12 @@ def main(args: list[str]) -> int:
     elif verb in VERBS and len(places) == 2:
         most = given.max_convs if given.max_convs is not None else DRY if given.dry_run else None
         VERBS[verb](conversations(session(), places[0], given.langs, most), places[1])
+    elif verb == "study" and len(places) == 2:
+        from tideline.operators import study
+
+        most = given.max_convs if given.max_convs is not None else DRY if given.dry_run else None
+        rows = conversations(session(), places[0], given.langs, most).withColumn("model", F.lit("none"))
+        print("\n".join(f"{name}: {done}" for name, done in study.run(rows, places[1], given.phases)))
     else:
         parser.print_usage()
         return 2

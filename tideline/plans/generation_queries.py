@@ -1,15 +1,16 @@
-"""Plans, requests, accounts of calls, and the audit's rounds."""
+"""Plans, requests, accounts of calls, the audit's rounds, and a whole study."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tideline.functions import external
-from tideline.operators import generation, repair
+from tideline.operators import generation, repair, study
 from tideline.plans.cohort_queries import DRAWN_SQL
-from tideline.plans.frames import MESSAGES_SQL, messages, rounded, table
+from tideline.plans.curve_queries import LEVELS, SUMMARY_CTE, K
+from tideline.plans.frames import LANG, MESSAGES_SQL, MODEL, TIER, messages, rounded, table
 from tideline.plans.rule_queries import FIX_SQL
-from tideline.plans.score_queries import REPLIES, V_SQL
+from tideline.plans.score_queries import REPLIES, TURNS_SQL, V_SQL
 from tideline.sources.shared import place, stored
 
 # --- plans: a customer's conversation, as long and as eventful as its number says
@@ -44,7 +45,7 @@ drawn AS (
     CASE WHEN q < 0.2 THEN 'short' WHEN q < 0.4 THEN 'long' ELSE 'normal' END AS length FROM told),
 specs AS (
   SELECT *, '[MSG ' || (turn + 1) || '] ' || topic || ' | ' || emotion || ' | ' || length || coalesce(' | event: ' || twist, '') || CASE WHEN mood <> 'none' THEN ' | mood: ' || mood ELSE '' END || CASE WHEN callback THEN ' | callback' ELSE '' END AS spec FROM drawn)"""
-TURNS_SQL = f"WITH {PLANS_SQL} SELECT conv_id, num_turns, turn, batch, emotion, topic, twist, callback, mood, length, spec FROM specs"
+PLANNED_SQL = f"WITH {PLANS_SQL} SELECT conv_id, num_turns, turn, batch, emotion, topic, twist, callback, mood, length, spec FROM specs"
 
 #: What was said so far: the last turns of a plan have no message yet.
 SAID = "CASE WHEN turn >= num_turns - 4 THEN NULL WHEN (conv_id + turn) % 5 = 0 THEN 'I finally sorted ' || topic || ' out' WHEN (conv_id + turn) % 9 = 0 THEN '  We got my ' || topic || ' ' || repeat('back and forth ', 7) ELSE 'So, ' || topic || '? ' || repeat('Tell me more. ', 9) END"
@@ -114,5 +115,40 @@ last_ AS (SELECT * FROM rounds QUALIFY row_number() OVER (PARTITION BY conv_id,
 SELECT conv_id, msg_idx, md5(coalesce(e.e, l.text, m.text)) AS text_md5, CASE WHEN e.e IS NOT NULL THEN 'forced' WHEN l.k > 0 THEN 'rewritten' END AS fixed, CASE WHEN e.e IS NOT NULL THEN {ROUNDS + 1} WHEN l.k > 0 THEN l.k END AS fixed_round
 FROM messages m LEFT JOIN last_ l USING (conv_id, msg_idx) LEFT JOIN e ON e.conv_id = m.conv_id AND e.ord = l.ord"""
 
-QUERIES = {f.__name__: f for f in (plan_turns, plan_requests, agent_accounts, audit_rounds)}
-ORACLES = {"plan_turns": TURNS_SQL, "plan_requests": REQUESTS_SQL, "agent_accounts": ACCOUNTS_SQL, "audit_rounds": ROUNDS_SQL}
+# --- a study of the marked conversations: five in a row are one in five languages, scored in three shards
+
+MEASURES = {"turns": "sum(ddm)", "summary": "sum(auc)", "decay": "sum(l2_auc)", "curve": "sum(turn)", "groups": "sum(mean_ddm_mean)", "intervals": "sum(mean)", "fertility": "sum(tfr)", "regression": "max(slope)", "agreement": "max(w)", "tiers": "sum(d)", "order": "sum(n_failed)", "velocity": "sum(mean_velocity)"}
+
+
+def full_run(spark, folder):
+    """Rows and a measure of every phase's table."""
+    of = F.floor(F.col("conv_id") / 5)
+    rows = messages(spark, folder).select("lang", of.alias("conv_id"), "msg_idx", "role", "text").withColumns({"model": F.expr(MODEL.format("conv_id")), "tier": F.expr(TIER.format("conv_id"))})
+    out = place(spark, "study")
+    for shard in range(3):
+        study.score_shard(rows, out, shard, 3)
+    study.merge_shards(spark, out, 3)
+    parts = [spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("phase"), F.count("*").alias("n"), F.expr(MEASURES[name]).cast("double").alias("measure")) for name, _ in study.run(rows, out)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return rounded(whole)
+
+
+STUDY_SQL = f"""WITH scores AS (SELECT conv_id // 5 AS conv_id, {MODEL.format("(conv_id // 5)")} AS model, {TIER.format("(conv_id // 5)")} AS tier, {LANG.format("conv_id")} AS lang, turn, l1, l2, l3, l4, l5, ddm FROM ({TURNS_SQL})), {SUMMARY_CTE(K)},
+decay AS (SELECT {K}, CASE WHEN count(*) = 1 THEN max(l2) ELSE (sum(l2) - (arg_min(l2, turn) + arg_max(l2, turn)) / 2) / nullif(count(*) - 1, 0) END AS l2_auc, {" + ".join(f"(count(*) FILTER ({n} < 1) > 0)::INT" for n in LEVELS)} AS n_failed FROM scores GROUP BY {K}),
+words AS (WITH {MESSAGES_SQL} SELECT conv_id // 5 AS c, msg_idx, lang, len(regexp_extract_all(text, '\\S+')) AS n FROM messages),
+fertility AS (SELECT a.lang, sum(a.n)::DOUBLE / sum(b.n) AS tfr FROM words a JOIN words b ON a.c = b.c AND a.msg_idx = b.msg_idx AND b.lang = 'en' WHERE a.lang <> 'en' GROUP BY a.lang),
+means AS (SELECT model, lang, avg(mean_ddm) AS m FROM summary GROUP BY ALL),
+ranked AS (SELECT model, lang, rank() OVER (PARTITION BY model ORDER BY m) + (count(*) OVER (PARTITION BY model, m) - 1) / 2.0::DOUBLE AS r FROM means WHERE lang IN (SELECT lang FROM means GROUP BY lang HAVING count(*) = (SELECT count(DISTINCT model) FROM means))),
+judged AS (SELECT count(*) AS n, var_pop(r) * count(*) AS s, (SELECT count(DISTINCT model) FROM means) AS m FROM (SELECT lang, sum(r) AS r FROM ranked GROUP BY lang)),
+tier AS (SELECT avg(mean_ddm) AS m, var_samp(mean_ddm) AS v, CASE tier WHEN 'short' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS at_ FROM summary GROUP BY tier HAVING count(*) > 1)
+SELECT phase, n, round(measure, 6) + 0.0::DOUBLE AS measure FROM (
+  SELECT 'turns' AS phase, count(*) AS n, sum(ddm)::DOUBLE AS measure FROM scores UNION ALL SELECT 'summary', count(*), sum(auc) FROM summary UNION ALL SELECT 'decay', count(*), sum(l2_auc) FROM decay
+  UNION ALL SELECT 'curve', count(*), sum(turn) FROM (SELECT DISTINCT model, lang, turn FROM scores) UNION ALL SELECT 'groups', count(*), sum(m) FROM means UNION ALL SELECT 'intervals', count(*), sum(m) FROM means
+  UNION ALL SELECT 'fertility', count(*), sum(tfr) FROM fertility UNION ALL SELECT 'regression', 1, regr_slope(drift_onset, tfr) FROM summary JOIN fertility USING (lang)
+  UNION ALL SELECT 'agreement', 1, CASE WHEN n >= 3 THEN 12 * s / (m * m * (power(n, 3) - n)) ELSE 0 END FROM judged UNION ALL SELECT 'tiers', count(*), sum((x.m - y.m) / sqrt((x.v + y.v) / 2)) FROM tier x JOIN tier y ON y.at_ = x.at_ + 1
+  UNION ALL SELECT 'order', count(*), sum(n_failed) FROM decay UNION ALL SELECT 'velocity', count(*), sum(v) FROM (SELECT coalesce((arg_max(ddm, turn) - arg_min(ddm, turn)) / nullif(count(*) - 1, 0), 0) AS v FROM scores GROUP BY {K}))"""
+
+QUERIES = {f.__name__: f for f in (plan_turns, plan_requests, agent_accounts, audit_rounds, full_run)}
+ORACLES = {"plan_turns": PLANNED_SQL, "plan_requests": REQUESTS_SQL, "agent_accounts": ACCOUNTS_SQL, "audit_rounds": ROUNDS_SQL, "full_run": STUDY_SQL}

@@ -13,6 +13,7 @@ from tideline.plans.curve_queries import RUNS
 from tideline.plans.frames import KEY, rounded, scores, table, unsigned_zero
 from tideline.plans.score_queries import TURNS_SQL
 from tideline.sources import tables
+from tideline.sources.shared import place
 from tideline.streaming import live
 
 
@@ -91,7 +92,7 @@ def perplexity(spark, folder):
 
 
 def _place(spark, name):
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return place(spark, name)
 
 
 def _events(spark, folder):
@@ -124,6 +125,21 @@ def stream_turn_scores(spark, folder):
     return rounded(live.run_available(live.stream_scores(spark.readStream.schema(replies.schema).parquet(at)), name, _place(spark, name)))
 
 
+def stream_numbered_scores(spark, folder):
+    """The replies shuffled over four batches, without their turns; a last message, long after, lets the last ones go."""
+    from tideline.plans.frames import messages
+
+    name = f"n{uuid.uuid4().hex}"
+    at = _place(spark, f"{name}-in")
+    rows = messages(spark, folder).where("role = 'assistant'").select("conv_id", "msg_idx", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("msg_idx")).alias("at"), "text")
+    rows.repartition(4, F.xxhash64("conv_id", "msg_idx")).write.parquet(at)
+    end = rows.agg(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("msg_idx"), (F.coalesce(F.max("at"), F.timestamp_seconds(F.lit(0))) + F.expr("INTERVAL 400 DAYS")).alias("at"), F.lit("").alias("text"))
+    end.write.mode("append").parquet(at)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    numbered = live.number_turns(stream, "300 days")
+    return rounded(live.with_rocks(spark, lambda: live.run_available(live.stream_scores(numbered), name, _place(spark, name))))
+
+
 def stream_curve_state(spark, folder):
     name = f"c{uuid.uuid4().hex}"
     at = _place(spark, f"{name}-in")
@@ -164,7 +180,7 @@ def summary_csv_round_trip(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     ols_slope_r2, anova_f, kruskal_h, kendall_w, kendall_tau_b, spearman_rho, ttest_stat, pearson_r, chi2_stat, chi2_yates, cohens_d, bootstrap_ci, p_values, perplexity, stream_event_windows, event_windows, event_sessions,
-    stream_turn_scores, stream_curve_state, jsonl_round_trip, master_round_trip, summary_csv_round_trip)}
+    stream_turn_scores, stream_numbered_scores, stream_curve_state, jsonl_round_trip, master_round_trip, summary_csv_round_trip)}
 CHI = lambda t, a, b, yates: f"""WITH o AS (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS o FROM {t} GROUP BY ALL), ra AS (SELECT a, sum(o) AS ra FROM o GROUP BY a), rb AS (SELECT b, sum(o) AS rb FROM o GROUP BY b), n AS (SELECT sum(o) AS n FROM o),
 e AS (SELECT coalesce(o.o, 0) AS o, ra * rb / n AS e FROM ra CROSS JOIN rb CROSS JOIN n LEFT JOIN o USING (a, b)) SELECT round(sum(power(abs(o - e) - {"least(0.5, abs(o - e))" if yates else "0"}, 2) / e), 6) AS chi2, (SELECT count(*) - 1 FROM ra) * (SELECT count(*) - 1 FROM rb) AS df FROM e"""
 RANKED = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0::DOUBLE"
@@ -186,6 +202,7 @@ ORACLES = {
     "event_windows": "WITH w AS (SELECT unnest([CAST(floor(epoch(ts) / 43200) * 43200 AS BIGINT), CAST(floor(epoch(ts) / 43200) * 43200 - 43200 AS BIGINT)]) AS s, event_type, value FROM events) SELECT s AS start_s, s + 86400 AS end_s, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY ALL",
     "event_sessions": "WITH g AS (SELECT user_id, epoch(ts) AS t, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(min(t)) AS BIGINT) AS start_s, CAST(floor(max(t)) + 21600 AS BIGINT) AS end_s, count(*) AS n FROM s GROUP BY user_id, k",
     "stream_turn_scores": f"SELECT conv_id, turn, l1, l2, l3, l4, l5, ddm FROM ({TURNS_SQL.replace('CASE lang', 'CASE $$en$$')})",
+    "stream_numbered_scores": f"SELECT conv_id, turn, l1, l2, l3, l4, l5, ddm FROM ({TURNS_SQL.replace('CASE lang', 'CASE $$en$$')})",
     "stream_curve_state": f"{RUNS} SELECT conv_id, total_turns AS n, round(mean_ddm, 6) AS mean, round(auc, 6) AS auc, drift_onset AS dop, sustained_dop AS sdop, half_life, total_collapse AS collapse, recovery_events AS recoveries FROM summary",
     "jsonl_round_trip": "SELECT CASE conv_id % 2 WHEN 0 THEN 'en' ELSE 'it' END AS lang, role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY ALL",
     "master_round_trip": "SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",

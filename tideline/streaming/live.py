@@ -1,6 +1,7 @@
 """Scores and curve metrics over streams: an addition, as batches need none of it.
 
-Scores of a turn need no state. A curve's metrics need a little, which grows with nothing: counts, sums, the first and last
+Scores of a turn need no state, if the turn is known; else a conversation's replies wait until the watermark has passed them, and
+are numbered in the order of their time. A curve's metrics need a little, which grows with nothing: counts, sums, the first and last
 score, and the onsets so far.
 """
 
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -26,6 +28,47 @@ def stream_scores(replies: DataFrame, rules: Scoring = Scoring()) -> DataFrame:
     return replies.select("conv_id", "turn", *(c.alias(n) for n, c in levels.items())).withColumn("ddm", weighted({n: F.col(n) for n in LEVELS}, rules))
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NUMBERED = "conv_id long, msg_idx long, turn long, text string"
+
+
+class Numbering(StatefulProcessor):
+    """The replies of a conversation that still wait, and how many were numbered. A reply is numbered when its timer fires, that is
+    when the watermark says that none before it can come any more; replies of one time go by msg_idx."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, msg_idx long, text string")
+        self.numbered = handle.getValueState("numbered", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for some in rows:
+            at = (some["at"].astype("datetime64[us, UTC]" if some["at"].dt.tz else "datetime64[us]").astype("int64") // 1000).tolist()
+            self.waiting.appendList(list(zip(at, some["msg_idx"].tolist(), some["text"].tolist(), strict=True)))
+            for t in set(at):
+                self.handle.registerTimer(t)
+        yield pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in NUMBERED.split(", ")})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        due, rest = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        n = self.numbered.get()[0] if self.numbered.exists() else 0
+        self.numbered.update((n + len(due),))
+        yield pd.DataFrame({"conv_id": [key[0]] * len(due), "msg_idx": [r[1] for r in due], "turn": range(n + 1, n + len(due) + 1), "text": [r[2] for r in due]})
+
+    def close(self) -> None:
+        pass
+
+
+def number_turns(replies: DataFrame, late: str) -> DataFrame:
+    """conv_id, msg_idx, turn, text of a stream of replies (conv_id, msg_idx, at, text) that come in any order, at most `late` behind: what
+    comes later still is dropped. State is kept by RocksDB, which the session must name as its store (ROCKS)."""
+    timed = replies.select("conv_id", "msg_idx", "at", "text").withWatermark("at", late)
+    return timed.groupBy("conv_id").transformWithStateInPandas(Numbering(), NUMBERED, "Append", "EventTime")
+
+
 def advance(state: tuple, turn: int, score: float, k: int = 3) -> tuple:
     n, total, first, last, dop, run, sdop, half, zero, back = state
     first = score if n == 0 else first
@@ -69,6 +112,17 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour", time: str = "ts"
     return out.select("user_id", F.unix_timestamp("w.start").alias("start_s"), F.unix_timestamp("w.end").alias("end_s"), "n")
 
 
+def with_rocks(spark, run):
+    """run(), in a session that keeps state by RocksDB meanwhile."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def run_available(stream: DataFrame, name: str, folder: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """What a stream says of all that is there now, as a table beside the checkpoint in folder: every row (append), the
     last batch's (complete), or the last of every key (update). Executors write it; nothing is gathered in the driver."""
