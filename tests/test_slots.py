@@ -63,5 +63,5 @@ def test_verbs_over_conversations(spark, tmp_path):
     assert main(["fertility", *place]) == 0 and [(r.lang, r.tfr) for r in spark.read.parquet(f"{place[1]}/fertility").collect()] == [("it", 1.0)]
     assert main(["expand", *place]) == 0 and spark.read.parquet(f"{place[1]}/expanded").count() == table.count()
     assert main(["study", *place, "--phases", "order", "summary"]) == 0 and main(["study", *place, "--phases", "tiers"]) == 0
-    assert spark.read.parquet(f"{place[1]}/summary").count() == 6 and spark.read.parquet(f"{place[1]}/order").count() == 6
+    assert spark.read.parquet(f"{place[1]}/study/summary").count() == 6 and spark.read.parquet(f"{place[1]}/study/order").count() == 6
     assert main(["drift", place[0]]) == 2

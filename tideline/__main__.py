@@ -10,7 +10,7 @@ python -m tideline sample
 run, run_all: a registered query over a folder of tables, shown without OUT; or several, all of them without --queries. The others read JSONL conversations (a pattern of
 paths, folders naming tier and language): drift writes turn scores and curve summaries, validate issues and a report,
 fertility token ratios to the English texts, expand the texts brought to the longest language's number of words.
-study runs the phases of a whole study that OUT does not hold yet, and what they need.
+study runs the phases of a whole study that OUT/study does not hold yet, and what they need.
 --max-convs keeps so many conversations of each tier and language, --dry-run two.
 """
 
@@ -137,7 +137,7 @@ def main(args: list[str]) -> int:
 
         most = given.max_convs if given.max_convs is not None else DRY if given.dry_run else None
         rows = conversations(session(), places[0], given.langs, most).withColumn("model", F.lit("none"))
-        print("\n".join(f"{name}: {done}" for name, done in study.run(rows, places[1], given.phases)))
+        print("\n".join(f"{name}: {done}" for name, done in study.run(rows, f"{places[1]}/study", given.phases)))
     else:
         parser.print_usage()
         return 2
