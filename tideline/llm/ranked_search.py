@@ -165,10 +165,20 @@ def _indexed(batches: Iterator[pa.RecordBatch], segment_bytes: int, n_docs: int,
         yield from _shard(segment, [texts[k] for k in order], n_docs, n_terms, cost)
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with a term, and terms, of each batch."""
+    for batch in batches:
+        texts = [x.as_py() or b"" for x in batch.column(0)]
+        inside = LOWER[np.frombuffer(b"\n".join(texts), np.uint8)] != 0
+        begins = np.flatnonzero(inside & ~np.append(False, inside[:-1])) if len(inside) else np.zeros(0, np.int64)
+        of = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]), begins, "right")
+        yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(of))]), pa.array([len(begins)])], names=["n_docs", "n_terms"])
+
+
 def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, cost: int = BLOCK_COST) -> tuple[DataFrame, int]:
     """The index of docs (doc_id, text) as a table in the shared folder, and the number of documents with a term."""
-    size = F.regexp_count(text_or_empty(), F.lit(TERM)).cast("long")
-    n_docs, n_terms = docs.select(size.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sizes = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sizes, "n_docs long, n_terms long")
+    n_docs, n_terms = sizes.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return stored(rows.mapInArrow(partial(_indexed, segment_bytes=segment_bytes, n_docs=n_docs, n_terms=n_terms, cost=cost), INDEX), "postings"), n_docs
 
