@@ -39,7 +39,7 @@ def test_repeats_need_neighbours(spark):
 
 def test_thresholds(spark):
     nine, ten = (talk(spark, ["one two three four five six"] * n, ["user"] * n) for n in (9, 10))
-    assert validate.verbatim_pairs(nine).count() == 0 and validate.verbatim_pairs(ten).count() == 15
+    assert validate.verbatim_classes(nine)[0].count() == 0 and validate.of_rows(*validate.verbatim_classes(ten), 5).count() == 15
     words = lambda n: talk(spark, ["u", " ".join(["word"] * n)])
     assert validate.diversity(words(99)).first().ttr is None and validate.diversity(words(100)).first().ttr == 0.01
     four, five = (talk(spark, ["u", "Same start. x"] * n) for n in (4, 5))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tideline.functions import text as T
 from tideline.operators.scoring import LEVELS, role_ordinal
+from tideline.sources.shared import place, stored
 
 LENGTHS = {"user": 3, "assistant": 100}
 LONGEST = 5000
@@ -54,34 +55,99 @@ def structure_issues(messages: DataFrame) -> DataFrame:
     return role.union(empty).union(short).union(long)
 
 
+#: Replies of a conversation that one task compares with those after them.
+SLICE = 512
+
+
 def near_repeats(messages: DataFrame, ahead: int = 4, most: float = 0.6) -> DataFrame:
-    """conv_id, i, j, similarity of replies at most `ahead` apart whose word trigrams are too alike. A window of neighbours, no join."""
+    """conv_id, i, j, similarity of replies at most `ahead` apart whose word trigrams are too alike. A conversation is cut into slices by
+    position; the first `ahead` replies of a slice are handed to the one before as well, so that a window over a slice sees all
+    neighbours and no task holds a conversation."""
     rows = replies(messages).select("conv_id", "ord", T.ngrams(T.words(F.lower("text")), 3).alias("grams"))
-    order = Window.partitionBy("conv_id").orderBy("ord")
+    own = F.floor(F.col("ord") / SLICE)
+    handed = F.when((F.col("ord") % SLICE < ahead) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    rows = rows.withColumn("slice", F.explode(handed)).withColumn("mine", F.col("slice") == own)
+    order = Window.partitionBy("conv_id", "slice").orderBy("ord")
     later = {f"p{k}": F.struct(F.lead("ord", k).over(order).alias("j"), F.lead("grams", k).over(order).alias("other")) for k in range(1, ahead + 1)}
-    pairs = rows.withColumns(later).select("conv_id", F.col("ord").alias("i"), "grams", F.explode(F.filter(F.array(*later), lambda p: p.j.isNotNull())).alias("p"))
+    pairs = rows.withColumns(later).where("mine").select("conv_id", F.col("ord").alias("i"), "grams", F.explode(F.filter(F.array(*later), lambda p: p.j.isNotNull())).alias("p"))
     return pairs.select("conv_id", "i", F.col("p.j").alias("j"), T.jaccard(F.col("grams"), F.col("p.other")).alias("similarity")).where(F.col("similarity") > most)
 
 
-def shared_pairs(rows: DataFrame, members: str, gap: int) -> DataFrame:
-    """conv_id, i, j (j >= i + gap), shared, n_i, n_j for rows that share a member: an inverted index, so pairs without any don't arise."""
-    sized = rows.select("conv_id", "ord", F.size(members).alias("n"), F.explode(members).alias("member"))
-    left = sized.select("conv_id", "member", F.col("ord").alias("i"), F.col("n").alias("n_i"))
-    right = sized.select("conv_id", "member", F.col("ord").alias("j"), F.col("n").alias("n_j"))
-    both = left.join(right, ["conv_id", "member"]).where(F.col("j") >= F.col("i") + gap)
-    return both.groupBy("conv_id", "i", "j").agg(F.count("*").alias("shared"), F.first("n_i").alias("n_i"), F.first("n_j").alias("n_j"))
-
-
-def verbatim_pairs(messages: DataFrame, gap: int = 5, most: float = 0.5, least_messages: int = 10) -> DataFrame:
-    rows = users(messages).withColumn("n_users", F.count("*").over(Window.partitionBy("conv_id"))).where(F.col("n_users") >= least_messages)
-    grams = rows.select("conv_id", "ord", T.ngrams(T.words(F.lower("text")), 5).alias("grams"))
-    return shared_pairs(grams, "grams", gap).where(F.col("shared") / F.least("n_i", "n_j") > most)
+#: Rows of a class, or of a member, that meet those of another block of as many.
+BLOCK = 256
+
+
+def set_classes(rows: DataFrame, members: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (conv_id, ord, members) of a conversation with equal sets of members are a class: classes (conv_id, rep, members; rep is
+    the least ord), and who is in which (conv_id, rep, ord). Empty sets are in none."""
+    keyed = rows.where(F.size(members) > 0).withColumn("name_", F.sha2(F.array_join(F.array_sort(members), "\n"), 256))
+    keyed = stored(keyed, place(rows.sparkSession, "sets"))  # read several times from here on
+    named = keyed.groupBy("conv_id", "name_").agg(F.min("ord").alias("rep"))
+    belong = keyed.select("conv_id", "name_", "ord").join(named, ["conv_id", "name_"]).select("conv_id", "rep", "ord")
+    reps = keyed.join(named, ["conv_id", "name_"]).where(F.col("ord") == F.col("rep")).select("conv_id", "rep", F.col(members).alias("members"))
+    return reps, belong
+
+
+def class_pairs(classes: DataFrame) -> DataFrame:
+    """conv_id, a, b (a < b), shared, n_a, n_b of classes that share a member. An inverted index, so pairs without any don't arise; a
+    member that many classes have is met block by block of classes, each two blocks in a cell of their own."""
+    held = classes.select("conv_id", "rep", F.size("members").alias("n"), F.explode("members").alias("member"))
+    sized = held.groupBy("conv_id", "member").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = held.join(sized, ["conv_id", "member"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))
+    each = dealt.select("conv_id", "member", "rep", "n", "own", F.explode(cells).alias("cell"))
+    left = each.where("own = cell.x").select("conv_id", "member", "cell", F.col("rep").alias("p"), F.col("n").alias("n_p"))
+    right = each.where("own = cell.y").select("conv_id", "member", "cell", F.col("rep").alias("q"), F.col("n").alias("n_q"))
+    both = left.join(right, ["conv_id", "member", "cell"]).where("p <> q and (cell.x <> cell.y or p < q)")
+    first = F.col("p") < F.col("q")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    pairs = both.select("conv_id", pick("p", "q").alias("a"), pick("q", "p").alias("b"), pick("n_p", "n_q").alias("n_a"), pick("n_q", "n_p").alias("n_b"))
+    return pairs.groupBy("conv_id", "a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+
+
+def alike_classes(rows: DataFrame, members: str, gap: int, enough) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes that are alike and have rows at least `gap` apart: conv_id, a, b, shared, n_a, n_b, n_pairs (such pairs of rows; a = b:
+    within a class); and who is in which class. A passage in a third of a conversation's rows is one class, not the square of its rows. enough: of
+    shared, n_a and n_b, whether that is alike."""
+    classes, belong = set_classes(rows, members)
+    counts = belong.groupBy("conv_id", "rep").agg(F.count("*").alias("size"))
+    n = F.size("members")
+    alone = classes.join(counts.where("size > 1"), ["conv_id", "rep"]).select("conv_id", F.col("rep").alias("a"), F.col("rep").alias("b"), n.cast("long").alias("shared"), n.alias("n_a"), n.alias("n_b"))
+    pairs = class_pairs(classes).select(alone.columns).union(alone).where(enough(F.col("shared"), F.col("n_a"), F.col("n_b")))
+    # Of all pairs of rows those nearer than gap don't count: each row meets the few before it.
+    near = belong.select("conv_id", F.col("rep").alias("p"), F.explode(F.sequence(F.col("ord") + 1, F.col("ord") + gap - 1)).alias("ord"))
+    near = near.join(belong, ["conv_id", "ord"]).groupBy("conv_id", F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).agg(F.count("*").alias("near"))
+    size = lambda k: counts.select("conv_id", F.col("rep").alias(k), F.col("size").alias(f"size_{k}"))
+    both = pairs.join(size("a"), ["conv_id", "a"]).join(size("b"), ["conv_id", "b"]).join(near, ["conv_id", "a", "b"], "left")
+    every = F.when(F.col("a") == F.col("b"), F.expr("size_a * (size_a - 1) div 2")).otherwise(F.col("size_a") * F.col("size_b"))
+    return both.select("conv_id", "a", "b", "shared", "n_a", "n_b", (every - F.coalesce("near", F.lit(0))).alias("n_pairs")).where("n_pairs > 0"), belong
+
+
+def of_rows(pairs: DataFrame, belong: DataFrame, gap: int) -> DataFrame:
+    """conv_id, i, j (j >= i + gap), shared, n_i, n_j: the rows of pairs of classes, as many as there are."""
+    side = lambda k, name: belong.select("conv_id", F.col("rep").alias(k), F.col("ord").alias(name))
+    both = pairs.join(side("a", "x"), ["conv_id", "a"]).join(side("b", "y"), ["conv_id", "b"])
+    both = both.where((F.abs(F.col("x") - F.col("y")) >= gap) & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))))
+    swap = F.col("x") > F.col("y")
+    return both.select("conv_id", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "shared", F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_i"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_j"))
+
+
+def verbatim_classes(messages: DataFrame, gap: int = 5, most: float = 0.5, least_messages: int = 10) -> tuple[DataFrame, DataFrame]:
+    rows = users(messages)
+    many = rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_messages).select("conv_id")
+    grams = rows.join(many, "conv_id").select("conv_id", "ord", T.ngrams(T.words(F.lower("text")), 5).alias("grams"))
+    return alike_classes(grams, "grams", gap, lambda n, a, b: n / F.least(a, b) > most)
+
+
+def topic_classes(messages: DataFrame, gap: int = 10, most: float = 0.4, least_messages: int = 20) -> tuple[DataFrame, DataFrame]:
+    rows = replies(messages)
+    many = rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_messages).select("conv_id")
+    marks = rows.join(many, "conv_id").select("conv_id", "ord", T.bullet_terms(F.col("text")).alias("terms")).where(F.size("terms") >= 3)
+    return alike_classes(marks, "terms", gap, lambda n, a, b: n / (a + b - n) > most)
 
 
 def topic_pairs(messages: DataFrame, gap: int = 10, most: float = 0.4, least_messages: int = 20) -> DataFrame:
-    rows = replies(messages).withColumn("n_replies", F.count("*").over(Window.partitionBy("conv_id"))).where(F.col("n_replies") >= least_messages)
-    marks = rows.select("conv_id", "ord", T.bullet_terms(F.col("text")).alias("terms")).where(F.size("terms") >= 3)
-    return shared_pairs(marks, "terms", gap).where(F.col("shared") / (F.col("n_i") + F.col("n_j") - F.col("shared")) > most)
+    return of_rows(*topic_classes(messages, gap, most, least_messages), gap)
 
 
 def diversity(messages: DataFrame) -> DataFrame:
@@ -119,14 +185,28 @@ def echoes(messages: DataFrame, least: int = 3) -> DataFrame:
     return mine.join(before, ["conv_id", "ord"]).select("conv_id", "ord", n.alias("echoed")).where(F.col("echoed") >= least)
 
 
+#: Terms that a reply is searched for in one go.
+TERMS = 256
+
+
 def phantoms(messages: DataFrame) -> DataFrame:
-    """conv_id, msg_idx, reference: what a user says was said before, and no earlier reply has a word of it."""
-    asked = messages.where("role = 'user'").select("conv_id", "msg_idx", F.explode(T.references(F.col("text"))).alias("reference"))
-    asked = asked.withColumn("terms", F.regexp_extract_all("reference", F.lit(r"[a-z]{5,}"), F.lit(0))).where(F.size("terms") > 0)
+    """conv_id, msg_idx, reference: what a user says was said before, and no earlier reply has a word of it.
+
+    Each term that a conversation's references use is looked for once in each reply, TERMS at a time, and its first reply kept; a
+    reference then asks whether one of its terms has come before. No reference meets a reply."""
+    asked = messages.where("role = 'user'").select("conv_id", "msg_idx", F.explode(T.references(F.col("text"))).alias("reference")).distinct()
+    asked = asked.withColumn("terms", F.array_distinct(F.regexp_extract_all("reference", F.lit(r"[a-z]{5,}"), F.lit(0)))).where(F.size("terms") > 0)
+    each = asked.select("conv_id", "msg_idx", "reference", F.explode("terms").alias("term"))
+    known = each.select("conv_id", "term").distinct()
+    blocks = known.groupBy("conv_id").agg(F.ceil(F.count("*") / TERMS).alias("blocks"))
+    dealt = known.join(blocks, "conv_id").groupBy("conv_id", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block")).agg(F.collect_list("term").alias("terms"))
     said = messages.where("role = 'assistant'").select("conv_id", F.col("msg_idx").alias("at"), F.lower("text").alias("said"))
-    both = asked.join(said, "conv_id").where("at < msg_idx")  # a conversation's own replies only
-    found = F.max(F.exists("terms", lambda t: F.col("said").contains(t)))
-    return both.groupBy("conv_id", "msg_idx", "reference").agg(found.alias("found")).where("not found").select("conv_id", "msg_idx", "reference")
+    met = said.join(dealt, "conv_id").select("conv_id", "at", F.explode(F.filter("terms", lambda t: F.col("said").contains(t))).alias("term"))
+    first = met.groupBy("conv_id", "term").agg(F.min("at").alias("first"))
+    begun = said.groupBy("conv_id").agg(F.min("at").alias("begun"))  # before the first reply nothing can have been said
+    found = each.join(first, ["conv_id", "term"], "left").groupBy("conv_id", "msg_idx", "reference").agg(F.min("first").alias("first"))
+    lost = found.join(begun, "conv_id").where("begun < msg_idx and (first is null or first >= msg_idx)")
+    return lost.select("conv_id", "msg_idx", "reference")
 
 
 def quality_issues(messages: DataFrame, citations: dict[str, str] | None = None) -> DataFrame:
@@ -147,7 +227,7 @@ def quality_issues(messages: DataFrame, citations: dict[str, str] | None = None)
     for topic, source in (citations or {}).items():
         odd = replies(messages).where(F.col("text").rlike(topic) & F.col("text").rlike(source))
         out = out.union(_issue(odd, turn("ord"), "QUAL_CITATION_DOMAIN", "warning", say("source doesn't suit")))
-    often = verbatim_pairs(messages).groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 3")
+    often = verbatim_classes(messages)[0].groupBy("conv_id").agg(F.sum("n_pairs").alias("n")).where("n > 3")
     out = out.union(_issue(often, whole, "QUAL_USER_VERBATIM", "warning", say(F.col("n"), "pairs")))
     echo = echoes(messages).groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 2")
     out = out.union(_issue(echo, whole, "CATD_ECHO", "warning", say(F.col("n"), "messages")))
