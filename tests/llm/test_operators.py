@@ -177,8 +177,9 @@ def test_windows_of_common_words_only(spark, monkeypatch, postings):
     items = [(i, say(r.randint(1, 30))) for i in range(15)] + [(90, "a " * 14), (91, "b")]
     texts = [say(r.randint(0, 120)) for _ in range(25)] + ["a " * 4000]
     index = decontaminate.build_index(docs(spark, texts))
-    block = next(decontaminate.blocks(spark.createDataFrame(items, "item_id long, text string")))
-    found = [x for x in decontaminate._search(iter(index.toArrow().to_batches()), block, 0)]
+    both, count = decontaminate.met(index, spark.createDataFrame(items, "item_id long, text string"))
+    assert count == 1
+    found = [x for x in decontaminate._search(iter(both.toArrow().to_batches()), 0)]
     got = {d: [set(i), sum(x["b"] - x["a"] for x in rs)] for b in found for d, rs, i in zip(b.column("doc_id").to_pylist(), b.column("runs").to_pylist(), b.column("items").to_pylist(), strict=True)}
     for i, t in enumerate(texts[:-1]):
         _, hit, names = brute_contamination(t, items)
@@ -186,7 +187,9 @@ def test_windows_of_common_words_only(spark, monkeypatch, postings):
     assert got[25][1] == 4000
 
 
-def test_many_blocks_agree(spark):
+@pytest.mark.parametrize("most", [1, 100_000])
+def test_many_blocks_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
     items = [(i, words(30, i)) for i in range(6)]
     table = docs(spark, [words(10, 77) + " " + t for _, t in items] + [items[0][1] + " " + items[1][1]])
     bench = spark.createDataFrame(items, "item_id long, text string")

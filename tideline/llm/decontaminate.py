@@ -5,8 +5,9 @@ shared folder: its documents, its sorted terms (64-bit word hashes), and for eac
 occurrences. Positions count words through the segment, with a gap between documents. No word is left out, and as
 segments hold documents, not terms, a word that makes up a third of the corpus is spread over all of them.
 
-Search: Spark cuts the items into windows and stores each once with its items; they go to every segment in blocks of about
-BLOCK_WINDOWS, dealt by hash, so neither driver nor task holds more of a benchmark than a block. A window starts from the postings
+Search: Spark cuts the items into windows and stores each once with its items, in blocks of about BLOCK_WINDOWS, dealt by
+hash, a row each. Spark joins every segment with every block (one, but for a large benchmark), so the driver holds nothing of a benchmark and
+a task holds a block; up to BROADCAST_ROWS windows are broadcast, more are shuffled. A window starts from the postings
 of its rarest term there, moved back by the term's offset, and intersects the others' offset-adjusted lists in order of
 rarity; what is left are exact phrases. Windows go in slices by their rarest terms' postings, so that those of common
 words alone need no more memory than others. With a slop, each word may stand that many places from its own: proximity
@@ -29,15 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import small_or_shuffled, stored
+from tideline.llm.common import BROADCAST_ROWS, small_or_shuffled, stored
 
 WINDOW = 10
 SLOP = 2
 SEGMENT_BYTES = 4 << 20
 #: Bytes hashed in one go: bounds a task's memory.
 PIECE_BYTES = 1 << 20
-#: Windows that a block of the benchmark holds, about: 40 MB.
-BLOCK_WINDOWS = 400_000
+#: Windows that a block of the benchmark holds, about: 10 MB.
+BLOCK_WINDOWS = 100_000
 #: Postings of rarest terms that are looked at in one go, besides the last window's.
 SLICE_POSTINGS = 500_000
 
@@ -126,18 +127,19 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
 class Block:
     """Distinct windows: rows of places in `terms` (-1 after a short window's end), and the items that hold each."""
 
-    def __init__(self, rows: pa.Table) -> None:
-        size = rows.column("size").to_numpy().astype(np.int64)
+    def __init__(self, rows: pa.StructArray) -> None:
+        size, held, items = (rows.field(k) for k in ("size", "words", "item"))
+        size = size.to_numpy().astype(np.int64)
         width = int(size.max())
         words = np.zeros((len(size), width), np.uint64)
         inside = np.arange(width) < size[:, None]
-        words[inside] = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint64)
+        words[inside] = np.frombuffer(b"".join(held.to_pylist()), np.uint64)
         both = np.column_stack([size.astype(np.uint64), words])
         distinct, of = np.unique(both, axis=0, return_inverse=True)
         self.size = distinct[:, 0].astype(np.int64)
         self.terms, place = np.unique(distinct[:, 1:], return_inverse=True)
         self.place = np.where(np.arange(width) < self.size[:, None], place.reshape(-1, width), -1)
-        self.names, name = np.unique(np.array(rows.column("item").to_pylist(), dtype=object).astype(str), return_inverse=True)
+        self.names, name = np.unique(np.array(items.to_pylist(), dtype=object).astype(str), return_inverse=True)
         pairs = np.unique(np.column_stack([of.ravel(), name]), axis=0)
         self.item = pairs[:, 1]
         self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
@@ -156,15 +158,15 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(words), pa.int32()), pa.array(words, pa.binary()), pa.array([item] * len(words))], names=["size", "words", "item"])
 
 
-def blocks(benchmark: DataFrame, width: int = WINDOW, most: int = BLOCK_WINDOWS) -> Iterator[Block]:
-    """The windows of benchmark (item_id, text), block by block: one at a time is in the driver."""
+def blocks(benchmark: DataFrame, width: int = WINDOW, most: int | None = None) -> tuple[DataFrame, int]:
+    """The windows of benchmark (item_id, text) as a table, a row a block: block, windows; and the number of blocks."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("binary"))
     found = stored(rows.mapInArrow(partial(_windows, width=width), WINDOWS).distinct(), "windows")
-    count = -(-found.count() // most)
-    for k in range(count):
-        part = found.where(F.pmod(F.xxhash64("words"), F.lit(count)) == k).toArrow()
-        if part.num_rows:
-            yield Block(part)
+    n = found.count()
+    count = -(-n // (most or BLOCK_WINDOWS))
+    dealt = found.groupBy(F.pmod(F.xxhash64("words"), F.lit(max(count, 1))).cast("int").alias("block")).agg(F.collect_list(F.struct("size", "words", "item")).alias("windows"))
+    table = stored(dealt, "blocks")
+    return F.broadcast(table) if n <= BROADCAST_ROWS else table.hint("merge"), count
 
 
 def matches(block: Block, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, doc_first: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -227,9 +229,13 @@ def _items(block: Block, window: np.ndarray, doc: np.ndarray, n_docs: int) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(block.names[pairs[:, 1]].tolist(), pa.string()))
 
 
-def _search(batches: Iterator[pa.RecordBatch], block: Block | None, slop: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], slop: int) -> Iterator[pa.RecordBatch]:
+    number, block = None, None
     for batch in batches:
         for row in range(batch.num_rows):
+            if batch.column(7)[row].as_py() != number:
+                number, windows = batch.column(7)[row].as_py(), batch.column(8)[row]
+                block = Block(windows.values) if windows.is_valid else None
             segment, ids, marks, sizes = (batch.column(k)[row].values if k else batch.column(0)[row].as_py() for k in range(4))
             terms = np.frombuffer(batch.column(4)[row].as_buffer(), np.uint64)
             counts = np.frombuffer(batch.column(5)[row].as_buffer(), np.int32).astype(np.int64)
@@ -263,13 +269,18 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block | None, slop: int) -
                 names=["segment", "at", "doc_id", "mark", "n_words", "runs", "items", "near"])
 
 
+def met(index: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, int]:
+    """Every segment beside every block, and the number of blocks."""
+    held, count = blocks(benchmark, width)
+    each = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0)))))
+    return each.join(held, "block", "left").select(*index.columns, "block", "windows"), count
+
+
 def search(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """A row for each document: doc_id, mark, n_words, n_hit, items (sorted) with exact matches, near: with proximity matches."""
-    found = [index.mapInArrow(partial(_search, block=b, slop=slop), FOUND) for b in blocks(benchmark, width)] or [index.mapInArrow(partial(_search, block=None, slop=0), FOUND)]
-    rows = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            rows = rows.union(more)
+    both, count = met(index, benchmark, width)
+    rows = both.mapInArrow(partial(_search, slop=slop), FOUND)
+    if count > 1:
         gathered = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "items", "near")}
         rows = rows.groupBy("segment", "at").agg(*(F.first(c).alias(c) for c in ("doc_id", "mark", "n_words")), *gathered.values())
     start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end"))
