@@ -23,3 +23,22 @@ def test_long_values_are_costed_whole():
     start = time.monotonic()
     cost("ab" * 10_000), cost("qw" * 10_000), cost("".join(r.choice("abcdef09") for _ in range(20_000)))
     assert time.monotonic() - start < 60
+
+
+def test_a_value_of_a_megabyte_goes_in_slices():
+    import pyarrow as pa
+
+    value = "".join(random.Random(3).choice("abcdefghijklmnop") for _ in range(20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([value])], names=["name", "value"])
+    sizes, words = [], set()
+    for out in secret_scan._wanted([batch]):
+        sizes.append(out.num_rows)
+        words.update(out.column(1).to_pylist())
+    assert max(sizes) < secret_scan.WANTED + secret_scan.LONGEST_WORD and words == {value[i:j] for i in range(len(value)) for j in range(i + 3, min(len(value), i + secret_scan.LONGEST_WORD) + 1)}
+    assert "".join(set(batch.column(1)[0].as_py())) and sum(sizes) < 64 * len(value)
+
+
+def test_a_long_value_in_spark(spark):
+    value = "".join(random.Random(4).choice("abcdefghijklmnop") for _ in range(100_000))
+    got = secret_scan.scan(docs(spark, [f"token: {value}!", "plain words stay"])).collect()
+    assert [r.spans for r in sorted(got, key=lambda r: r.doc_id)][1] == "" and got[0].doc_id in (0, 1)

@@ -242,17 +242,29 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(said, pa.string())], names=["key", "name", "value"])
 
 
+#: Possible words that a task hands on in one go: bounds its memory, however long a value is.
+WANTED = 20_000
+
+
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whatever could be a word inside a value: name, word."""
+    """Whatever could be a word inside a value: name, word. A word that stands in several slices of a value comes once for each."""
     for batch in batches:
         for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             low = value.lower()
-            some = set()
+            some: set[str] = set()
             for v in {low, low.translate(LEET)}:
                 for m in LETTERS.finditer(v):
                     run = m.group()
-                    some.update(run[i:j] for i in range(len(run) - 2) for j in range(i + 3, min(len(run), i + LONGEST_WORD) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), pa.array(sorted(some), pa.string())], names=["name", "word"])
+                    for i in range(len(run) - 2):
+                        some.update(run[i:j] for j in range(i + 3, min(len(run), i + LONGEST_WORD) + 1))
+                        if len(some) >= WANTED:
+                            yield _named(name, some)
+                            some = set()
+            yield _named(name, some)
+
+
+def _named(name: int, some: set[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), pa.array(sorted(some), pa.string())], names=["name", "word"])
 
 
 def _costed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +292,7 @@ def hard_values(docs: DataFrame, key: str) -> DataFrame:
     held = stored(docs.select(key, F.col("text").cast("string")).mapInArrow(_held, "key long, name long, value string"), "held")
     each = stored(held.groupBy("name").agg(F.min("value").alias("value")), "values")
     words = each.mapInArrow(_wanted, "name long, word string").join(word_counts(texts), "word")
-    ranks = words.groupBy("name").agg(F.collect_list(F.struct("word", "above")).alias("words"))
+    ranks = words.groupBy("name").agg(F.collect_set(F.struct("word", "above")).alias("words"))
     hard = stored(each.join(ranks, "name", "left").select("name", "value", "words").mapInArrow(_costed, "name long"), "hard")
     found = held.join(small_or_shuffled(hard), "name").groupBy("key").agg(F.collect_set("name").alias("hard"))
     return small_or_shuffled(stored(found, "held-hard"))
