@@ -75,7 +75,10 @@ ECHOES = (
 )
 SAFE_ECHOES = ("that makes sense", "that sounds good", "okay", "alright", "got it", "fair enough")
 # Signs that a topic is settled.
-RESOLVED = (r"thank(?:s| you)", r"that (?:helps|works|worked)", r"i(?:'ll| will) (?:do|try) that", r"problem solved")
+RESOLVED = (
+    r"(?:finally|actually)\s+(?:fixed|sorted|organized|cleaned|solved)", r"(?:closet|kitchen|room|desk|inbox)\s+is\s+(?:done|clean|organized|sorted)",
+    r"(?:figured out|got|resolved)\s+(?:the|my)\s+(\w+)", r"(?:that|the)\s+(\w+)\s+(?:worked|is working|is better now)",
+)
 
 
 def quoted(literal: str) -> str:
@@ -290,7 +293,7 @@ def echoed(text: Column, before: Column) -> Column:
 
 def resolved(text: Column) -> Column:
     """The first 60 characters of a text that says its matter is settled."""
-    return F.when(any_match(F.lower(text), RESOLVED), F.substring(text, 1, 60))
+    return F.when(F.lower(text).rlike("(?U)" + "|".join(RESOLVED)), strip(F.substring(text, 1, 60)))
 
 
 def messages_of(reply: Column) -> Column:

@@ -16,15 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, IntegralType, StringType, StructType
 
+from tideline.functions import text as T
 from tideline.operators.cohorts import friction, uniform
 
 #: An arc's mood lasts so many turns.
 MOOD_TURNS = 5
-# What says that a problem is solved.
-SOLVED = (
-    r"(?:finally|actually)\s+(?:fixed|sorted|organized|cleaned|solved)", r"(?:closet|kitchen|room|desk|inbox)\s+is\s+(?:done|clean|organized|sorted)",
-    r"(?:figured out|got|resolved)\s+(?:the|my)\s+(\w+)", r"(?:that|the)\s+(\w+)\s+(?:worked|is working|is better now)",
-)
 #: Of messages before a batch, and of solved problems: how many are told, and how much of each.
 RECENT, RECENT_CHARS, NOTES, NOTE_CHARS = 3, 100, 10, 60
 
@@ -101,7 +97,7 @@ class BatchesOf:
         message = row["message"]
         if message is not None:
             self.said.append((row["turn"], message))
-            if any(re.search(p, message.lower()) for p in SOLVED):
+            if any(re.search(p, message.lower()) for p in T.RESOLVED):
                 self.notes.append(message[:NOTE_CHARS].strip())
 
     def terminate(self) -> Iterator[tuple]:

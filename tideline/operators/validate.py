@@ -209,6 +209,22 @@ def phantoms(messages: DataFrame) -> DataFrame:
     return lost.select("conv_id", "msg_idx", "reference")
 
 
+def phrase_spam(messages: DataFrame, phrases: tuple[str, ...] = SPAM) -> DataFrame:
+    """Issues of conversations of five replies or more in which more than two begin with one of the phrases, in their first 100 characters."""
+    head = F.substring(F.lower("text"), 1, 100)
+    counts = replies(messages).groupBy("conv_id").agg(F.count("*").alias("n"), *(F.count_if(head.contains(p)).alias(f"s{i}") for i, p in enumerate(phrases))).where("n >= 5")
+    said = F.array(*(F.struct(F.lit(p).alias("phrase"), F.col(f"s{i}").alias("times")) for i, p in enumerate(phrases)))
+    often = counts.select("conv_id", F.explode(F.filter(said, lambda x: x.times > 2)).alias("x"))
+    return _issue(often, F.lit(-1), "QUAL_PHRASE_SPAM", "warning", F.concat_ws(" ", F.col("x.phrase"), F.col("x.times").cast("string"), F.lit("times")))
+
+
+def odd_citations(messages: DataFrame, citations: dict[str, str]) -> DataFrame:
+    """Issues of replies that match a topic's pattern and that of a source that doesn't suit it."""
+    rows = replies(messages)
+    odd = F.array_compact(F.array(*(F.when(F.col("text").rlike(topic) & F.col("text").rlike(source), 1) for topic, source in citations.items()), F.lit(None).cast("int")))
+    return _issue(rows.select("conv_id", "ord", F.explode(odd)), F.col("ord"), "QUAL_CITATION_DOMAIN", "warning", F.lit("source doesn't suit"))
+
+
 def quality_issues(messages: DataFrame, citations: dict[str, str] | None = None) -> DataFrame:
     """citations: patterns of replies against sources that don't suit them; none by default."""
     turn, whole = (lambda c: F.col(c)), F.lit(-1)
@@ -220,13 +236,7 @@ def quality_issues(messages: DataFrame, citations: dict[str, str] | None = None)
     meta = users(messages).where(T.is_meta(F.col("text"))).groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 2")
     out = out.union(_issue(meta, whole, "QUAL_META_LANGUAGE", "warning", say(F.col("n"), "messages")))
     out = out.union(_issue(repeated_intros(messages), whole, "QUAL_INTRO_REPETITION", "warning", say(F.col("n"), "times")))
-    head = F.substring(F.lower("text"), 1, 100)
-    spam = replies(messages).groupBy("conv_id").agg(F.count("*").alias("n"), *(F.count_if(head.contains(p)).alias(f"s{i}") for i, p in enumerate(SPAM))).where("n >= 5")
-    for i in range(len(SPAM)):
-        out = out.union(_issue(spam.where(f"s{i} > 2"), whole, "QUAL_PHRASE_SPAM", "warning", say(SPAM[i], F.col(f"s{i}"), "times")))
-    for topic, source in (citations or {}).items():
-        odd = replies(messages).where(F.col("text").rlike(topic) & F.col("text").rlike(source))
-        out = out.union(_issue(odd, turn("ord"), "QUAL_CITATION_DOMAIN", "warning", say("source doesn't suit")))
+    out = out.union(phrase_spam(messages)).union(odd_citations(messages, citations or {}))
     often = verbatim_classes(messages)[0].groupBy("conv_id").agg(F.sum("n_pairs").alias("n")).where("n > 3")
     out = out.union(_issue(often, whole, "QUAL_USER_VERBATIM", "warning", say(F.col("n"), "pairs")))
     echo = echoes(messages).groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions import external
+from tideline.functions import text as T
 from tideline.operators import generation, repair, study
 from tideline.plans.cohort_queries import DRAWN_SQL
 from tideline.plans.curve_queries import LEVELS, SUMMARY_CTE, K
@@ -60,7 +61,7 @@ REQUESTS_SQL = rf"""WITH {PLANS_SQL}, said AS (SELECT *, {SAID} AS message FROM
 batches AS (SELECT conv_id, batch, min(turn) AS first_turn, count(*) AS n, string_agg(spec, chr(10) ORDER BY turn) AS specs FROM said GROUP BY conv_id, batch),
 before AS (
   SELECT b.conv_id, b.batch, list('[MSG ' || (s.turn + 1) || '] ' || substr(message, 1, 100) ORDER BY s.turn) FILTER (message IS NOT NULL) AS told,
-    list(trim(substr(message, 1, 60)) ORDER BY s.turn) FILTER (regexp_matches(lower(message), '{"|".join(generation.SOLVED)}')) AS solved
+    list(trim(substr(message, 1, 60)) ORDER BY s.turn) FILTER (regexp_matches(lower(message), '{"|".join(T.RESOLVED)}')) AS solved
   FROM batches b LEFT JOIN said s ON s.conv_id = b.conv_id AND s.turn < b.first_turn GROUP BY ALL)
 SELECT conv_id, batch, first_turn, n, specs, coalesce(array_to_string(told[-3:], chr(10)), '') AS recent, coalesce(array_to_string(solved[-10:], chr(10)), '') AS solved FROM batches JOIN before USING (conv_id, batch)"""
 

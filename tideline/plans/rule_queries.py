@@ -101,12 +101,11 @@ def v_meta_language(spark, folder):
 
 
 def v_intro_repeat(spark, folder):
-    rows = long_talks(spark, folder).withColumn("text", F.concat(F.substring("text", 1, 2), F.lit(". "), "text"))
-    return rounded(validate.repeated_intros(rows))
+    return rounded(validate.repeated_intros(long_talks(spark, folder), least=2))
 
 
-INTRO_SQL = f"""WITH {LONG_SQL}, {ORDS}, s AS (SELECT conv_id, lower(trim(split_part(substr(text, 1, 2) || '. ' || text, '.', 1))) AS intro, count(*) OVER (PARTITION BY conv_id) AS k FROM ords WHERE role = 'assistant'),
-c AS (SELECT conv_id, intro, count(*) AS n FROM s WHERE k >= 5 AND intro <> '' GROUP BY ALL HAVING count(*) >= 3) SELECT conv_id, intro, n FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, intro) = 1"""
+INTRO_SQL = rf"""WITH {LONG_SQL}, {ORDS}, s AS (SELECT conv_id, lower(regexp_replace(split_part(text, '.', 1), '^\s+|\s+$', '', 'g')) AS intro, count(*) OVER (PARTITION BY conv_id) AS k FROM ords WHERE role = 'assistant'),
+c AS (SELECT conv_id, intro, count(*) AS n FROM s WHERE k >= 5 AND intro <> '' GROUP BY ALL HAVING count(*) >= 2) SELECT conv_id, intro, n FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, intro) = 1"""
 
 
 def v_echo(spark, folder):

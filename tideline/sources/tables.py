@@ -93,6 +93,11 @@ def write_partitioned(messages: DataFrame, folder: str, by: tuple[str, ...] = ("
     messages.sortWithinPartitions(*by, "conv_id", "msg_idx").write.mode("overwrite").partitionBy(*by).format(form).save(folder)
 
 
+def write_profiles(profiles: DataFrame, folder: str, by: tuple[str, ...] = ("model", "lang"), order: tuple[str, ...] = ("conv_id", "turn")) -> None:
+    """Attention profiles: a folder for each model and language, its conversations' turns in order."""
+    profiles.repartition(*by, order[0]).sortWithinPartitions(*by, *order).write.mode("overwrite").partitionBy(*by).json(folder)
+
+
 def write_masters(messages: DataFrame, folder: str) -> None:
     """A document a conversation, with its languages' messages nested."""
     one = F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", "role", "text"))), lambda m: F.struct(m.role.alias("role"), m.text.alias("content")))
