@@ -76,3 +76,30 @@ def test_generated_pages(spark):
     got = {x.page_id: x for x in html_extract.extract(spark.createDataFrame(rows, PAGES + ", host int, winner string, text string")).collect()}
     for k, (_, text) in enumerate(made):
         assert got[k].text == text and got[k].n_chars == len(text), k
+
+
+BODY = "Story text of this page. " * 14
+SURE = ["banner-story", "sidebar-article", "story-widget", "main-nav-content", "social-post", "newsletter-body", "article widget"]
+
+
+def text_of(source):
+    page = html_extract.Page(source)
+    votes = page.votes()
+    return page.main_text(max(votes, key=votes.get) if votes else None)
+
+
+def test_no_page_is_emptied_by_a_name_or_a_form():
+    for name in SURE:
+        assert text_of(f"<body><div class='{name}'><p>{BODY}</p></div></body>") == BODY.strip()
+        assert text_of(f"<body><nav>Menu</nav><div class='{name}'><p>{BODY}</p></div><p>Short.</p></body>").startswith(BODY.strip())
+    form = f"<body><form><input type=hidden><nav>Home</nav><div class=main><p>{BODY}</p></div><div class=footer>Foot</div><button>Go</button></form></body>"
+    assert text_of(form) == BODY.strip()
+
+
+def test_names_and_forms_beside_an_article_stay_out():
+    article = f"<article><p>{BODY}</p></article>"
+    for name in SURE:
+        assert text_of(f"<body>{article}<div class='{name}'><p>Something else here.</p></div></body>") == BODY.strip()
+    assert text_of(f"<body>{article}<form><div>Your name</div><div>Your mail</div></form></body>") == BODY.strip()
+    for alone in ("<div class='comment-content'><p>Reader.</p></div>", "<div class='comments article'><p>Reader.</p></div>", "<nav><a href=/>Home</a></nav>", "<div class='cookie-notice'>We use cookies.</div>", "<div class='sidebar'>Side.</div>"):
+        assert text_of(f"<body>{alone}</body>") == ""

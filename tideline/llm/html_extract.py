@@ -11,8 +11,9 @@ Blocks: what block elements part. Character references are decoded, white space
 <br>), blocks are trimmed, empty ones left out, and joined by line ends. Menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles and the head are left out wherever they stand. A class or id names such an element
 by a part beside companions (`nav-list`), not with a negation (`no-sidebar`). A last part among others (`mw-navigation`) may
-say something else: such a block is remembered, and read after all if it holds nine tenths of a page's text beside
-links, or if a page would be empty.
+say something else, as may names of content too (`sidebar-article`) and a form, which some pages put around everything: such a block is
+remembered, and read after all if it holds nine tenths of a page's text beside links, or if a page would be empty. What is left out
+for sure stays out, also where nothing else is: comments, a menu, a `cookie-notice`.
 
 A page is parsed in the task that reads it; only (host, path, votes), summed per batch, is shuffled, so a host with a
 third of all pages is no burden. Winners, a row a host, are broadcast only if they are few, and else joined.
@@ -53,6 +54,8 @@ SKIPPED_WORDS = frozenset(
     " related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 #: Of the words above, those of readers' comments, which are that whatever they stand with.
 COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+#: Of the parts below, those that name content: beside them such a word is no more than likely.
+CONTENT_WORDS = frozenset("article articles body content entry main post posts stories story text".split())
 #: Parts of a name beside such words.
 COMPANIONS = frozenset(
     "area article articles bar block body bottom box btn button buttons col column container content count counter desktop entry form global group header heading holder"
@@ -82,6 +85,12 @@ def furniture(name: str) -> int:
     return int(parts[-1] in SKIPPED_WORDS)
 
 
+def content_named(names: list[str]) -> bool:
+    """Whether names that leave an element out name content as well, and no readers' comments."""
+    parts = {p for n in names for p in WORDS.findall(n)}
+    return not parts.isdisjoint(CONTENT_WORDS) and parts.isdisjoint(COMMENT_WORDS)
+
+
 class Element(NamedTuple):
     tag: str
     path: str
@@ -198,8 +207,11 @@ class Page:
                     names += value.split()
         if not skipped and tag not in ("body", "html", "article", "main"):
             sure = max(map(furniture, names), default=0)
-            skipped = tag in SKIPPED or role in SKIPPED_ROLES or sure == 2 or sure == 1 and tag not in BLOCKS
-            if sure == 1 and not skipped and named < 0:
+            if sure == 2 and tag in BLOCKS and content_named(names):
+                sure = 1
+            form = tag == "form" and sure < 2
+            skipped = tag in SKIPPED and not form or role in SKIPPED_ROLES or sure == 2 or sure == 1 and tag not in BLOCKS
+            if (sure == 1 or form) and not skipped and named < 0:
                 named = len(self._named)
                 self._named.append(0)
         inline = 0 if tag in BLOCKS or above is None else above.inline + 1
