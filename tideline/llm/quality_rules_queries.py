@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.common import table
-from tideline.llm.quality_rules import COUNTS, PRIOR, SLACK, SPREAD, judged
+from tideline.llm.quality_rules import BEYOND, COUNTS, ERRORS, FIRST, SECOND, SIGNALS, SPREAD, TAIL, judged
 
 
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,19 +14,30 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def quality_sql(docs: str = "documents") -> str:
     """A query whose last WITH entry is verdicts: all columns of docs, the counts, base_failed and kept."""
-    levels = {"fine": "lang, source", "lang": "lang", "whole": "1"}
-    quartiles = ", ".join(f"quantile_disc({s}, [0.25, 0.75]) AS {s}" for s in SLACK)
-    beside = lambda n, own, parent: f"({n} * {own} + {PRIOR}::DOUBLE * {parent}) / ({n} + {PRIOR}::DOUBLE)"
-    pick = ", ".join(f"[{', '.join(beside('f.n', f'f.{s}[{i}]', '(' + beside('l.n', f'l.{s}[{i}]', f'w.{s}[{i}]') + ')') for i in (1, 2))}] AS {s}" for s in SLACK)
-    tests = []
-    for s, (below, above) in SLACK.items():
-        if below is not None:
-            tests.append(f"r.{s} >= p.{s}[1] - {SPREAD}::DOUBLE * (p.{s}[2] - p.{s}[1]) - {below}::DOUBLE")
-        if above is not None:
-            tests.append(f"r.{s} <= p.{s}[2] + {SPREAD}::DOUBLE * (p.{s}[2] - p.{s}[1]) + {above}::DOUBLE")
-    sketches = ",\n".join(
-        f"{name} AS (SELECT {'' if keys == '1' else keys + ', '}count(*) AS n, {quartiles} FROM ratios WHERE NOT base_failed{'' if keys == '1' else ' GROUP BY ' + keys})" for name, keys in levels.items()
-    )
+    on = lambda x, y: f"{x}.lang IS NOT DISTINCT FROM {y}.lang AND {x}.source IS NOT DISTINCT FROM {y}.source"
+
+    def quantiles(name: str, rows: str, names: tuple[str, ...], low: float, high: float) -> str:
+        prior = f"{BEYOND / (1 - high)!r}::DOUBLE"
+        beside = lambda n, own, parent: f"({n} * {own} + {prior} * {parent}) / ({n} + {prior})"
+        parts = ", ".join(f"quantile_disc({s}, [{low}, {high}]) AS {s}" for s in names)
+        pick = ", ".join(f"{beside('f.n', f'f.{s}[{i}]', '(' + beside('l.n', f'l.{s}[{i}]', f'w.{s}[{i}]') + ')')} AS {s}_{end}" for s in names for i, end in ((1, "low"), (2, "high")))
+        return f"""{name}_fine AS (SELECT lang, source, count(*) AS n, {parts} FROM {rows} GROUP BY lang, source),
+{name}_lang AS (SELECT lang, count(*) AS n, {parts} FROM {rows} GROUP BY lang),
+{name}_whole AS (SELECT {parts} FROM {rows}),
+{name} AS (SELECT f.lang, f.source, {pick} FROM {name}_fine f LEFT JOIN {name}_lang l ON f.lang IS NOT DISTINCT FROM l.lang CROSS JOIN {name}_whole w)"""
+
+    def inside(names: tuple[str, ...]) -> str:
+        tests = []
+        for s in names:
+            count, total, share = SIGNALS[s]
+            spread = f"r.{count} * (1::DOUBLE - r.{s})" if share else f"r.{count}::DOUBLE"
+            error = f"{ERRORS[s]}::DOUBLE * sqrt({spread}) / nullif(r.{total}, 0)"
+            reach = f"{SPREAD}::DOUBLE * ({s}_high - {s}_low)"
+            tests.append(f"coalesce({s}_high + {reach} >= r.{s} - {error}, true)")
+            if s in FIRST:
+                tests.append(f"coalesce({s}_low - {reach} <= r.{s} + {error}, true)")
+        return " AND ".join(tests)
+
     return rf"""
 WITH texts AS (
   SELECT *, row_number() OVER () AS row_, coalesce(text, '') AS text_ FROM {docs}),
@@ -39,7 +50,7 @@ windows AS (
 marked AS (SELECT row_, i FROM windows QUALIFY count(*) OVER (PARTITION BY row_, gram) > 1),
 repeats AS (SELECT row_, count(DISTINCT at_) AS n FROM (SELECT row_, unnest([i, i + 1, i + 2]) AS at_ FROM marked) GROUP BY row_),
 counted AS (
-  SELECT s.* EXCLUDE (text_, words_, lines_), CAST(len(words_) AS BIGINT) AS n_words, CAST(length(array_to_string(words_, '')) AS BIGINT) AS word_chars,
+  SELECT s.* EXCLUDE (words_, lines_), CAST(len(words_) AS BIGINT) AS n_words, CAST(length(array_to_string(words_, '')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(text_, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines_) - len(list_distinct(lines_)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines_) AS n_lines_
   FROM split_ s LEFT JOIN repeats r USING (row_)),
@@ -47,12 +58,15 @@ ratios AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols::DOUBLE / nullif(n_words, 0) AS symbol_ratio,
          n_dup_lines::DOUBLE / nullif(n_lines_, 0) AS dup_line_ratio, n_repeat_words::DOUBLE / nullif(n_words, 0) AS repeat_ratio,
          word_chars::DOUBLE / nullif(n_words, 0) AS word_length FROM counted),
-{sketches},
-picked AS (
-  SELECT f.lang, f.source, {pick} FROM fine f LEFT JOIN lang l ON f.lang IS NOT DISTINCT FROM l.lang CROSS JOIN whole w),
+passed AS (
+  SELECT lang, source, text_, any_value(n_words) AS n_words, any_value(n_lines_) AS n_lines_, {", ".join(f"any_value({x}) AS {x}" for x in dict.fromkeys([c for c, _, _ in SIGNALS.values()] + list(SIGNALS)))}
+  FROM ratios WHERE NOT base_failed GROUP BY lang, source, text_),
+{quantiles("first_", "passed", FIRST, 0.25, 0.75)},
+core AS (SELECT r.* FROM passed r LEFT JOIN first_ p ON {on("r", "p")} WHERE {inside(FIRST)}),
+{quantiles("second_", "core", SECOND, 0.5, TAIL)},
 verdicts AS (
-  SELECT r.*, NOT r.base_failed AND coalesce({" AND ".join(tests)}, true) AS kept
-  FROM ratios r LEFT JOIN picked p ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source)"""
+  SELECT r.* EXCLUDE (text_), NOT r.base_failed AND {inside(FIRST + SECOND)} AS kept
+  FROM ratios r LEFT JOIN first_ p ON {on("r", "p")} LEFT JOIN second_ q ON {on("r", "q")})"""
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}
