@@ -2,7 +2,7 @@
 
 import random
 
-from tideline.llm import url_filter
+from tideline.llm import common, url_filter
 
 
 def test_every_context_has_its_own_count(spark):
@@ -43,3 +43,17 @@ def test_verdicts_follow_the_threshold(spark):
     got = {x.page_id: x for x in url_filter.judge(table).collect()}
     assert len(got) == len(rows) and got[200].rule is None and got[200].verdict == "allow" and got[201].verdict == "block" and got[202].verdict in ("allow", "block")
     assert got[200].score > got[201].score
+
+
+def test_shuffled_as_broadcast(spark, monkeypatch):
+    """Sides beyond BROADCAST_ROWS are shuffled, contexts of no and one character never; scores are the same to the last bit."""
+    rows = [(i, f"http://good{i}.org/story/{i % 7}/reading") for i in range(80)] + [(100 + i, f"http://casino{i}.com/de/win{i}/bonus") for i in range(80)] + [(300 + i, f"http://other{i}.net/{'win' if i % 2 else 'story'}/{i}") for i in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    result = lambda: sorted((x.page_id, x.score, x.verdict) for x in url_filter.judge(table).collect())
+    whole = result()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert result() == whole
+    model = url_filter.fit(spark.createDataFrame([(u, i < 80) for i, u in rows], "url string, blocked boolean"))
+    some = spark.createDataFrame([(1,), (2,)], "gram long")
+    plan = url_filter._ratios(some, model, 2.0)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1

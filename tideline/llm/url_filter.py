@@ -14,7 +14,7 @@ Repeated URLs count each. URLs of any length are scored whole. Columns named lik
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import ascii_lower, small_or_shuffled, stored
 
 ORDER = 5
+#: Contexts of fewer characters than this are few and shared by all grams: they go to the grams at any size.
+SHORT = 2
 STRENGTH = 2.0
 #: One labelled URL in so many calibrates the threshold.
 HELD_OUT = 10
@@ -78,9 +80,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*own, pa.array(gram[first]), pa.array(times.astype(np.int64))], names=[*batch.schema.names[1:], "gram", "times"])
 
 
-def _contexts() -> Column:
-    """k, context of every order, of a column gram."""
-    some = [f"named_struct('k', {k}, 'context', shiftleft(shiftright(gram, 9) & {(1 << 9 * k) - 1}L, 3) | {k}L)" for k in range(ORDER + 1)]
+def _contexts(orders: Iterable[int]) -> Column:
+    """k, context of the orders, of a column gram."""
+    some = [f"named_struct('k', {k}, 'context', shiftleft(shiftright(gram, 9) & {(1 << 9 * k) - 1}L, 3) | {k}L)" for k in orders]
     return F.expr(f"inline(array({', '.join(some)}))")
 
 
@@ -89,7 +91,7 @@ def fit(labelled: DataFrame) -> DataFrame:
     rows = labelled.select(F.col("url").cast("binary"), "blocked").mapInArrow(_counted, "blocked boolean, gram long, times long")
     sums = [F.sum(F.when(F.col("blocked") == say, F.col("times")).otherwise(0)).alias(n) for n, say in (("allow", False), ("block", True))]
     whole = stored(rows.groupBy("gram").agg(*sums), "url-grams")
-    each = whole.select(F.expr("gram & 511L").alias("char"), "allow", "block", _contexts())
+    each = whole.select(F.expr("gram & 511L").alias("char"), "allow", "block", _contexts(range(ORDER + 1)))
     each = each.groupBy("context", "char").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
     hits = F.map_from_entries(F.collect_list(F.struct("char", F.struct("allow", "block")))).alias("hits")  # at most 256 characters
     return stored(each.groupBy("context").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), hits), "url-contexts")
@@ -97,7 +99,10 @@ def fit(labelled: DataFrame) -> DataFrame:
 
 def _ratios(some: DataFrame, model: DataFrame, strength: float) -> DataFrame:
     """gram, ratio: the log-likelihood as accepted less that as rejected of distinct grams."""
-    each = some.select("gram", _contexts()).join(small_or_shuffled(model), "context", "left").withColumn("hit", F.expr("hits[gram & 511L]"))
+    short = F.broadcast(model.where(f"(context & 7L) < {SHORT}"))  # at most 1 + 257 rows of 256 characters
+    long = small_or_shuffled(model.where(f"(context & 7L) >= {SHORT}"))
+    each = some.select("gram", _contexts(range(SHORT))).join(short, "context", "left").unionByName(some.select("gram", _contexts(range(SHORT, ORDER + 1))).join(long, "context", "left"))
+    each = each.withColumn("hit", F.expr("hits[gram & 511L]"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
     seen = F.struct("k", zero(F.col("allow")).alias("na"), zero(F.col("hit.allow")).alias("ha"), zero(F.col("block")).alias("nb"), zero(F.col("hit.block")).alias("hb"))
     step = lambda n, h, p: F.when(n > 0, (h + strength * p) / (n + strength)).otherwise(p)
