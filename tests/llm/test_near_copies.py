@@ -1,6 +1,10 @@
 """The pipeline's near-copies against brute-force Jaccard similarity of five-word shingles."""
 
 import random
+from math import comb
+
+import numpy as np
+import pytest
 
 from tests.llm.test_operators import docs, words
 from tideline.llm import simhash
@@ -70,3 +74,31 @@ def test_hot_passage_and_hot_copies(spark, monkeypatch):
         texts.append(" ".join(own))
     texts += [words(60, 500 + i // 2, 400) + (" end" if i % 2 else "") for i in range(40)]
     assert {x.doc_id for x in simhash.keep_one(docs(spark, texts)).collect()} == brute_kept(list(enumerate(texts)))
+
+
+def chance_beyond(common, left, right, radius):
+    """The chance that fingerprints of two sets are farther apart than the radius, bits of shingles' hashes being fair coins."""
+    more = lambda n, need: sum(comb(n, k) for k in range(max(need, 0), n + 1)) / 2**n
+    bit = 0.0
+    for k in range(common + 1):
+        a, b = more(left, (common + left) // 2 + 1 - k), more(right, (common + right) // 2 + 1 - k)
+        bit += comb(common, k) / 2**common * (a * (1 - b) + b * (1 - a))
+    return sum(comb(64, k) * bit**k * (1 - bit) ** (64 - k) for k in range(radius + 1, 65))
+
+
+@pytest.mark.parametrize(("union", "most"), [(5, 1 / 75_000), (15, 1e-6), (50, 2e-7), (100, 2e-7), (400, 2e-7)])
+def test_links_beyond_the_radius_are_rare(union, most):
+    common = union * 4 // 5
+    assert max(chance_beyond(common, n, union - common - n, simhash.COPY_RADIUS) for n in range(union - common + 1)) <= most
+
+
+def test_fingerprints_differ_as_the_sum_says():
+    r = np.random.default_rng(5)
+    apart = []
+    for _ in range(2000):
+        h = r.integers(0, 2**64, 50, dtype=np.uint64)
+        a, b = simhash.majority(h[:45]), simhash.majority(np.concatenate((h[:40], h[45:])))
+        apart.append(bin(int(a) ^ int(b)).count("1"))
+    for radius in (8, 10, 12):
+        assert abs(np.mean(np.array(apart) > radius) - chance_beyond(40, 5, 5, radius)) < 0.04
+    assert max(apart) <= simhash.COPY_RADIUS

@@ -40,7 +40,8 @@ SEED = 42
 #: Near-copies (keep_one): words of a shingle, and the least Jaccard similarity as a fraction.
 COPY_WIDTH = 5
 COPY_LEAST = (4, 5)
-#: Sets of COPY_LEAST differ in some 10 of 64 bits, with a deviation of 3: beyond this radius lies one link in a hundred million.
+#: Sets of exactly COPY_LEAST differ in some 10 of 64 bits, with a deviation of 3: beyond this radius lies at most one link in five million, of sets under
+#: 16 shingles one in 75,000 (tests/llm/test_near_copies.py has the sum); more similar sets are nearer.
 COPY_RADIUS = 26
 #: One document in so many says which shingles are common; this changes the work, not the result.
 ORDER_SAMPLE = 64
