@@ -1,5 +1,8 @@
 """Curve metrics against hand-worked vectors and plain Python on random curves."""
 
+import functools
+import itertools
+import operator
 import random
 
 import pytest
@@ -67,6 +70,16 @@ def test_shock(spark):
     assert got[1].permanent_damage and got[1].recovery_turns == 5
 
 
+def test_shock_sums_in_order_of_turns(spark):
+    """A drop from a mean of five tenths, rows given in any order: the mean's last digit is that of the turns' order."""
+    before = [0.7, 0.1, 1.0, 0.3, 0.6]
+    rows = [(c, t + 1, s) for c in range(40) for t, s in enumerate([*before, 0.2, *[1.0] * 5])]
+    random.Random(7).shuffle(rows)
+    got = curves.shock(spark.createDataFrame(rows, "conv_id int, turn long, ddm double"), ("conv_id",), 5).select("pre_shock_ddm").distinct().collect()
+    summed = lambda x: functools.reduce(operator.add, x, 0.0)  # noqa: E731 (sum() makes up for lost digits)
+    assert [r[0] for r in got] == [summed(before) / 5] and len({summed(x) for x in itertools.permutations(before)}) > 1
+
+
 def test_levels_and_resilience(spark):
     rows = [(0, t, *([1.0] * 5 if t == 1 else [0.0, 1.0, 1.0, 1.0, 0.5])) for t in (1, 2, 3)]
     scores = spark.createDataFrame(rows, "conv_id int, turn long, l1 double, l2 double, l3 double, l4 double, l5 double")

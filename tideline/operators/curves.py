@@ -95,7 +95,8 @@ def shock(scores: DataFrame, key: Key, index: int, score: str = "ddm", span: int
     """Before, at and after a shock at place `index` (from 0) of the curve: means of up to `span` turns, the drop, and the turns
     until 90 % of the level before is back (counted with it; if never, all that are left, and permanent)."""
     s, t = F.col(score), F.col("turn")
-    curve = Window.partitionBy(*key)
+    # Summed in order of turns: means of tenths decide whether a drop or a return is just met, and their last digits depend on the order.
+    curve = Window.partitionBy(*key).orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pre = F.avg(F.when((t > index - span) & (t <= index), s)).over(curve)
     rows = scores.withColumn("pre", F.coalesce(pre, F.lit(1.0)))
     at, left = index + 1, F.count_if(t > index + 1)
