@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tideline.functions import distributions as D
 from tideline.functions.numbers import corr, mixed
+from tideline.sources.shared import place, stored
 
 
 def ols(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -69,9 +70,14 @@ def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
     return by.join(F.broadcast(ties)).select(F.col("k").alias("groups"), F.col("n").cast("long").alias("n"), F.when(F.col("k") > 1, h).alias("h_stat"))  # a row each
 
 
+def measured(table: DataFrame, judge: str, item: str, value: str) -> DataFrame:
+    """judge, item, value without nulls, stored: ranks are found by their values, and a mean computed twice can differ in its last digits."""
+    return stored(table.where(F.col(value).isNotNull()).select(judge, item, value), place(table.sparkSession, "measured"))
+
+
 def kendall_w(table: DataFrame, judge: str, item: str, value: str) -> DataFrame:
     """One row: judges, items, w, chi2. Items that any judge leaves out don't count; no correction for ties."""
-    known = table.where(F.col(value).isNotNull())
+    known = measured(table, judge, item, value)
     judges = known.agg(F.count_distinct(judge).alias("m"))
     whole = known.groupBy(item).agg(F.count_distinct(judge).alias("c")).join(F.broadcast(judges), F.col("c") == F.col("m")).select(item)
     summed = ranks(known.join(whole, item), value, [judge]).groupBy(item).agg(F.sum("rank_").alias("r"))
@@ -94,7 +100,7 @@ def kendall_tau(table: DataFrame, judge: str, item: str, value: str) -> DataFram
     Discordant pairs are inversions: in order of x (then y), an item counts those before it with a greater y. Both ranks are
     bits; at each bit two items that agree above it and differ there are met once, by running counts over that prefix. So the
     work grows with the items and the bits of their number, not with pairs of items."""
-    both = pairs_of(table, judge, item, value)
+    both = pairs_of(measured(table, judge, item, value), judge, item, value)
     ranked = ranks(ranks(both, "x", ["a", "b"]).withColumnRenamed("rank_", "rx").drop("n_"), "y", ["a", "b"]).withColumnRenamed("rank_", "ry").drop("n_")
     # Twice an averaged rank is a whole number; of y's rank each prefix of bits is a group.
     rows = ranked.select("a", "b", (F.col("rx") * 2).cast("long").alias("rx"), (F.col("ry") * 2).cast("long").alias("ry"))
@@ -118,7 +124,7 @@ def kendall_tau(table: DataFrame, judge: str, item: str, value: str) -> DataFram
 
 def spearman(table: DataFrame, judge: str, item: str, value: str) -> DataFrame:
     """a, b, items, rho of pairs of judges with three items or more; 0 where it isn't defined."""
-    both = pairs_of(table, judge, item, value)
+    both = pairs_of(measured(table, judge, item, value), judge, item, value)
     first = ranks(both, "x", ["a", "b"]).withColumnRenamed("rank_", "rx").drop("n_")
     second = ranks(first, "y", ["a", "b"]).withColumnRenamed("rank_", "ry")
     return second.groupBy("a", "b").agg(F.count("*").alias("items"), F.coalesce(corr("rx", "ry"), F.lit(0.0)).alias("rho")).where("items >= 3")
