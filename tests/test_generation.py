@@ -41,6 +41,25 @@ def test_requests_tell_what_was_said(spark):
     assert (got["c", 3].first_turn, got["c", 3].n, len(got)) == (6, 1, 5)
 
 
+def test_plans_of_one_file_are_dealt_out(spark):
+    """Turns are made by expressions, in as many tasks as the session shuffles to, though one task could read all plans."""
+    plans = spark.createDataFrame([(str(i), 40, ["calm"], ["x"], [], []) for i in range(64)], PLAN).coalesce(1)
+    rows = generation.planned_turns(plans)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    for df in (rows, generation.batch_requests(rows.withColumn("message", F.lit(None).cast("string")))):
+        assert "UDTF" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requests_after_batches_that_say_nothing(spark):
+    """The last notes come from as many batches as it takes, and from no more than are told."""
+    said = {t: f"I finally fixed {t}" for t in (0, 1, 2, 9, 20, 21, *range(40, 52))}
+    rows = [("c", t, t // 2, f"s{t}", said.get(t)) for t in range(60)]
+    got = {r.batch: r for r in generation.batch_requests(spark.createDataFrame(rows, "conv_id string, turn int, batch int, spec string, message string").repartition(3)).collect()}
+    for batch in range(30):
+        before = [t for t in sorted(said) if t < 2 * batch]
+        assert got[batch].recent == "\n".join(f"[MSG {t + 1}] {said[t]}" for t in before[-3:]) and got[batch].solved == "\n".join(said[t] for t in before[-10:])
+
+
 def test_one_client_a_worker(spark, tmp_path):
     folder = str(tmp_path)
 

@@ -1,50 +1,43 @@
 """From a conversation's plan to its user turns, and from turns to the requests that generate them.
 
 A plan is a row: conv_id, num_turns, arc and topics (arrays of texts), twists (array of structs turn, twist), callbacks (array of
-turns); turns count from 0. What one row becomes many of is a table function, joined laterally; what has to be seen in order,
-conversation by conversation, is a table function over partitions, which holds a batch, three messages and ten notes.
+turns); turns count from 0. What one row becomes many of is exploded; what has to be seen in order, conversation by conversation,
+is a window over its batches, each of which carries three messages and ten notes.
 """
 
 from __future__ import annotations
 
-import re
-from collections import deque
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, IntegralType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegralType
+from pyspark.sql.window import Window
 
 from tideline.functions import text as T
 from tideline.operators.cohorts import friction, uniform
 
 #: An arc's mood lasts so many turns.
 MOOD_TURNS = 5
-#: Of messages before a batch, and of solved problems: how many are told, and how much of each.
-RECENT, RECENT_CHARS, NOTES, NOTE_CHARS = 3, 100, 10, 60
-
-
-@udtf
-class TurnsOf:
-    """A row for each turn of a plan. What a plan leaves out is general talk in a neutral mood."""
-
-    @staticmethod
-    def analyze(num_turns: AnalyzeArgument, arc: AnalyzeArgument, topics: AnalyzeArgument, twists: AnalyzeArgument, callbacks: AnalyzeArgument) -> AnalyzeResult:
-        if not isinstance(num_turns.dataType, IntegralType):
-            raise TypeError(f"num_turns must be a whole number, not {num_turns.dataType.simpleString()}")
-        for name, given in (("arc", arc), ("topics", topics), ("twists", twists), ("callbacks", callbacks)):
-            if not isinstance(given.dataType, ArrayType):
-                raise TypeError(f"{name} must be an array, not {given.dataType.simpleString()}")
-        return AnalyzeResult(StructType().add("turn", IntegerType()).add("emotion", StringType()).add("topic", StringType()).add("twist", StringType()).add("callback", BooleanType()))
-
-    def eval(self, num_turns: int, arc: list, topics: list, twists: list, callbacks: list) -> Iterator[tuple]:
-        events = {t["turn"]: t["twist"] for t in twists or []}  # of two on a turn the last
-        back = set(callbacks or [])
-        for turn in range(num_turns or 0):
-            emotion = arc[min(turn // MOOD_TURNS, len(arc) - 1)] if arc else "neutral"
-            topic = topics[min(turn, len(topics) - 1)] if topics else "general"
-            yield turn, emotion, topic, events.get(turn), turn in back
+#: Of messages before a batch, and of solved problems: how many are told, and of a message how much.
+RECENT, RECENT_CHARS, NOTES = 3, 100, 10
+
+
+def turns_of(plans: DataFrame) -> DataFrame:
+    """A row for each turn of a plan: turn, emotion, topic, twist, callback. What a plan leaves out is general talk in a neutral mood."""
+    if not isinstance(plans.schema["num_turns"].dataType, IntegralType):
+        raise AnalysisException(f"num_turns must be a whole number, not {plans.schema['num_turns'].dataType.simpleString()}")
+    for name in ("arc", "topics", "twists", "callbacks"):
+        if not isinstance(plans.schema[name].dataType, ArrayType):
+            raise AnalysisException(f"{name} must be an array, not {plans.schema[name].dataType.simpleString()}")
+    turn, n = F.col("turn"), F.col("num_turns").cast("int")
+    at = lambda items, k, other: F.when(F.size(items) > 0, F.get(items, F.least(k, F.size(items) - 1))).otherwise(other)
+    # A plan is short, its turns are many: a file of plans that one task could read is dealt out first, by conversation.
+    parts = int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = plans.repartition(parts, "conv_id").select("*", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("turn"))
+    return rows.withColumns({
+        "emotion": at("arc", F.floor(turn / MOOD_TURNS).cast("int"), "neutral"), "topic": at("topics", turn, "general"),
+        "twist": F.try_element_at(F.filter("twists", lambda x: x.turn == turn), F.lit(-1)).twist,  # of two on a turn the last
+        "callback": F.coalesce(F.array_contains("callbacks", turn), F.lit(False))})
 
 
 def batch_size(num_turns: Column) -> Column:
@@ -55,8 +48,7 @@ def batch_size(num_turns: Column) -> Column:
 def planned_turns(plans: DataFrame, seed: int = 42) -> DataFrame:
     """conv_id, num_turns, turn, batch, emotion, topic, twist, callback, mood (the user's, by a draw), length (short, long or normal, by a
     draw) and spec, the line that asks for the turn."""
-    arguments = (F.col(c).outer() for c in ("num_turns", "arc", "topics", "twists", "callbacks"))
-    turns = plans.select("conv_id", "num_turns", "arc", "topics", "twists", "callbacks").lateralJoin(TurnsOf(*arguments))
+    turns = turns_of(plans.select("conv_id", "num_turns", "arc", "topics", "twists", "callbacks"))
     roll = uniform(seed + 1, "conv_id", "turn")
     turns = turns.withColumns({
         "batch": F.floor(F.col("turn") / batch_size(F.col("num_turns"))).cast("int"), "mood": friction(F.col("turn"), uniform(seed, "conv_id", "turn")),
@@ -66,45 +58,28 @@ def planned_turns(plans: DataFrame, seed: int = 42) -> DataFrame:
     return turns.select("conv_id", "num_turns", "turn", "batch", "emotion", "topic", "twist", "callback", "mood", "length", spec.alias("spec"))
 
 
-@udtf
-class BatchesOf:
-    """A row for each batch of a conversation's turns, which come in order, with what the request has to tell."""
-
-    @staticmethod
-    def analyze(turns: AnalyzeArgument) -> AnalyzeResult:
-        if not turns.isTable:
-            raise TypeError("turns must be a table: conv_id, turn, batch, spec, message")
-        conv = turns.dataType["conv_id"].dataType
-        schema = StructType().add("conv_id", conv).add("batch", IntegerType()).add("first_turn", IntegerType()).add("n", IntegerType()).add("specs", StringType()).add("recent", StringType()).add("solved", StringType())
-        return AnalyzeResult(schema, partitionBy=[PartitioningColumn("conv_id")], orderBy=[OrderingColumn("turn")])
-
-    def __init__(self) -> None:
-        self.now: tuple | None = None
-        self.specs: list[str] = []
-        self.said, self.notes, self.recent, self.solved = deque(maxlen=RECENT), deque(maxlen=NOTES), "", ""
-
-    def _out(self) -> Iterator[tuple]:
-        if self.now is not None:
-            yield *self.now, len(self.specs), "\n".join(self.specs), self.recent, self.solved
-
-    def eval(self, row: Row) -> Iterator[tuple]:
-        if self.now is None or row["batch"] != self.now[1]:
-            yield from self._out()
-            self.now, self.specs = (row["conv_id"], row["batch"], row["turn"]), []
-            self.recent = "\n".join(f"[MSG {t + 1}] {m[:RECENT_CHARS]}" for t, m in self.said)
-            self.solved = "\n".join(self.notes)
-        self.specs.append(row["spec"])
-        message = row["message"]
-        if message is not None:
-            self.said.append((row["turn"], message))
-            if any(re.search(p, message.lower()) for p in T.RESOLVED):
-                self.notes.append(message[:NOTE_CHARS].strip())
-
-    def terminate(self) -> Iterator[tuple]:
-        yield from self._out()
+def _last(items: Column, n: int) -> Column:
+    return F.slice(items, F.greatest(F.size(items) - n, F.lit(0)) + 1, n)
+
+
+def _before(rows: DataFrame, own: str, most: int) -> DataFrame:
+    """`own` (an array, of a batch) becomes the last `most` items of the batches before, by steps: each step hands on what one more batch with
+    items adds, so that after `most` steps none is missing, and no row ever holds more than that."""
+    before = Window.partitionBy("conv_id").orderBy("first_turn").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.slice(own, 1, 0)
+    rows = rows.withColumn("upto_", _last(F.col(own), most))
+    for step in range(most):
+        earlier = F.coalesce(F.last(F.when(F.size(own) > 0, F.col("upto_")), ignorenulls=True).over(before), none)
+        rows = rows.withColumn("upto_", _last(F.concat(earlier, own), most) if step < most - 1 else earlier)
+    return rows.withColumn(own, F.col("upto_")).drop("upto_")
 
 
 def batch_requests(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, batch, spec, message): conv_id, batch, first_turn, n, specs, and of the messages before the batch the last RECENT and
     the last NOTES that say that something is solved. message: what was generated for the turn, null where nothing is yet."""
-    return BatchesOf(turns.select("conv_id", "turn", "batch", "spec", "message").asTable())
+    said = F.concat(F.lit("[MSG "), (F.col("turn") + 1).cast("string"), F.lit("] "), F.substring("message", 1, RECENT_CHARS))
+    rows = turns.select("conv_id", "batch", F.struct("turn", "spec", said.alias("said"), T.resolved(F.col("message")).alias("note")).alias("t"))
+    rows = rows.groupBy("conv_id", "batch").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    rows = rows.select("conv_id", "batch", F.col("t.turn")[0].alias("first_turn"), F.size("t").alias("n"), F.array_join("t.spec", "\n").alias("specs"), F.array_compact("t.said").alias("recent"), F.array_compact("t.note").alias("solved"))
+    rows = _before(_before(rows, "recent", RECENT), "solved", NOTES)
+    return rows.select("conv_id", "batch", "first_turn", "n", "specs", F.array_join("recent", "\n").alias("recent"), F.array_join("solved", "\n").alias("solved"))
