@@ -6,6 +6,8 @@ message's index for structure rules, and -1 for a conversation as a whole.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,14 +75,19 @@ def near_repeats(messages: DataFrame, ahead: int = 4, most: float = 0.6) -> Data
     return pairs.select("conv_id", "i", F.col("p.j").alias("j"), T.jaccard(F.col("grams"), F.col("p.other")).alias("similarity")).where(F.col("similarity") > most)
 
 
-#: Rows of a class, or of a member, that meet those of another block of as many.
-BLOCK = 256
+#: Classes of a block, and members that they may hold together: two blocks are compared by one task.
+BLOCK, HELD = 4096, 1 << 22
+#: Members whose classes are counted in one go.
+AT_ONCE = 1 << 20
+PAIRS = "conv_id long, a long, b long, shared long, n_a long, n_b long"
 
 
 def set_classes(rows: DataFrame, members: str) -> tuple[DataFrame, DataFrame]:
     """Rows (conv_id, ord, members) of a conversation with equal sets of members are a class: classes (conv_id, rep, members; rep is
-    the least ord), and who is in which (conv_id, rep, ord). Empty sets are in none."""
-    keyed = rows.where(F.size(members) > 0).withColumn("name_", F.sha2(F.array_join(F.array_sort(members), "\n"), 256))
+    the least ord), and who is in which (conv_id, rep, ord). Empty sets are in none. Members are numbers from here on, hashes of 64 bits:
+    of a billion in one conversation two would be taken for one with a chance of 1 in 40."""
+    keyed = rows.where(F.size(members) > 0).withColumn(members, F.array_sort(F.transform(members, lambda x: F.xxhash64(x))))
+    keyed = keyed.withColumn("name_", F.sha2(F.array_join(F.col(members).cast("array<string>"), "\n"), 256))
     keyed = stored(keyed, place(rows.sparkSession, "sets"))  # read several times from here on
     named = keyed.groupBy("conv_id", "name_").agg(F.min("ord").alias("rep"))
     belong = keyed.select("conv_id", "name_", "ord").join(named, ["conv_id", "name_"]).select("conv_id", "rep", "ord")
@@ -88,32 +95,59 @@ def set_classes(rows: DataFrame, members: str) -> tuple[DataFrame, DataFrame]:
     return reps, belong
 
 
-def class_pairs(classes: DataFrame) -> DataFrame:
-    """conv_id, a, b (a < b), shared, n_a, n_b of classes that share a member. An inverted index, so pairs without any don't arise; a
-    member that many classes have is met block by block of classes, each two blocks in a cell of their own."""
+def class_pairs(classes: DataFrame, enough) -> DataFrame:
+    """conv_id, a, b (a < b), shared, n_a, n_b of classes that share a member, and enough of them (of shared, the smaller n and the larger).
+
+    Members that one class alone has are dropped first. A conversation's classes are cut into blocks, each two blocks meet in a cell, and a
+    cell counts what its classes share in memory: sets are shuffled, once for each block, and pairs are not, but for those that are found."""
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
+        left, right = pdf[pdf["own"] == pdf["x"].iloc[0]], pdf[pdf["own"] == pdf["y"].iloc[0]]
+        held = np.concatenate([np.zeros(0, np.int64), *right["members"]])
+        of = np.repeat(np.arange(len(right)), np.array([len(m) for m in right["members"]], np.int64))
+        order = np.argsort(held, kind="stable")
+        held, of = held[order], of[order]
+        reps, n = right["rep"].to_numpy(), right["n"].to_numpy()
+        out = []
+        for rep, size, members in zip(left["rep"].to_numpy(), left["n"].to_numpy(), left["members"], strict=True):
+            first, last = np.searchsorted(held, members, "left"), np.searchsorted(held, members, "right")
+            first, count = first[last > first], (last - first)[last > first]
+            shared = np.zeros(len(reps), np.int64)
+            for some in np.split(np.arange(len(count)), np.flatnonzero(np.diff(np.cumsum(count) // AT_ONCE)) + 1):
+                upto = np.cumsum(count[some])
+                at = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(first[some] - upto + count[some], count[some])
+                shared += np.bincount(of[at], minlength=len(reps))
+            k = np.flatnonzero((shared > 0) & ((reps > rep) if one else True))
+            k = k[enough(shared[k], np.minimum(n[k], size), np.maximum(n[k], size))]
+            if len(k):
+                swap = reps[k] < rep
+                out.append(np.stack([np.minimum(reps[k], rep), np.maximum(reps[k], rep), shared[k], np.where(swap, n[k], size), np.where(swap, size, n[k])], 1))
+        found = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[0] if len(found) else pd.Series(dtype="int64"), **{c.split()[0]: found[:, i] for i, c in enumerate(PAIRS.split(", ")[1:])}})
+
     held = classes.select("conv_id", "rep", F.size("members").alias("n"), F.explode("members").alias("member"))
-    sized = held.groupBy("conv_id", "member").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = held.join(sized, ["conv_id", "member"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    often = held.groupBy("conv_id", "member").agg(F.count("*").alias("k")).where("k > 1").select("conv_id", "member")
+    kept = held.join(often, ["conv_id", "member"]).groupBy("conv_id", "rep").agg(F.first("n").alias("n"), F.collect_list("member").alias("members"))
+    kept = stored(kept, place(classes.sparkSession, "kept"))
+    sized = kept.groupBy("conv_id").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("members")) / HELD)).cast("int").alias("blocks"))
+    dealt = kept.join(F.broadcast(sized), "conv_id").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))  # a row for each conversation
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))
-    each = dealt.select("conv_id", "member", "rep", "n", "own", F.explode(cells).alias("cell"))
-    left = each.where("own = cell.x").select("conv_id", "member", "cell", F.col("rep").alias("p"), F.col("n").alias("n_p"))
-    right = each.where("own = cell.y").select("conv_id", "member", "cell", F.col("rep").alias("q"), F.col("n").alias("n_q"))
-    both = left.join(right, ["conv_id", "member", "cell"]).where("p <> q and (cell.x <> cell.y or p < q)")
-    first = F.col("p") < F.col("q")
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    pairs = both.select("conv_id", pick("p", "q").alias("a"), pick("q", "p").alias("b"), pick("n_p", "n_q").alias("n_a"), pick("n_q", "n_p").alias("n_b"))
-    return pairs.groupBy("conv_id", "a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    each = dealt.select("conv_id", F.col("rep").cast("long").alias("rep"), F.col("n").cast("long").alias("n"), "members", "own", F.explode(cells).alias("cell"))
+    each = each.select("conv_id", "rep", "n", "members", "own", "cell.x", "cell.y")
+    pairs = each.groupBy("conv_id", "x", "y").applyInPandas(met, PAIRS.replace("conv_id long", f"conv_id {dict(classes.dtypes)['conv_id']}"))
+    return stored(pairs, place(classes.sparkSession, "pairs"))
 
 
 def alike_classes(rows: DataFrame, members: str, gap: int, enough) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes that are alike and have rows at least `gap` apart: conv_id, a, b, shared, n_a, n_b, n_pairs (such pairs of rows; a = b:
     within a class); and who is in which class. A passage in a third of a conversation's rows is one class, not the square of its rows. enough: of
-    shared, n_a and n_b, whether that is alike."""
+    shared, the smaller n and the larger, whether that is alike."""
     classes, belong = set_classes(rows, members)
     counts = belong.groupBy("conv_id", "rep").agg(F.count("*").alias("size"))
     n = F.size("members")
     alone = classes.join(counts.where("size > 1"), ["conv_id", "rep"]).select("conv_id", F.col("rep").alias("a"), F.col("rep").alias("b"), n.cast("long").alias("shared"), n.alias("n_a"), n.alias("n_b"))
-    pairs = class_pairs(classes).select(alone.columns).union(alone).where(enough(F.col("shared"), F.col("n_a"), F.col("n_b")))
+    pairs = class_pairs(classes, enough).select(alone.columns).union(alone.where(enough(F.col("shared"), F.col("n_a"), F.col("n_b"))))
     # Of all pairs of rows those nearer than gap don't count: each row meets the few before it.
     near = belong.select("conv_id", F.col("rep").alias("p"), F.explode(F.sequence(F.col("ord") + 1, F.col("ord") + gap - 1)).alias("ord"))
     near = near.join(belong, ["conv_id", "ord"]).groupBy("conv_id", F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).agg(F.count("*").alias("near"))
@@ -136,14 +170,14 @@ def verbatim_classes(messages: DataFrame, gap: int = 5, most: float = 0.5, least
     rows = users(messages)
     many = rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_messages).select("conv_id")
     grams = rows.join(many, "conv_id").select("conv_id", "ord", T.ngrams(T.words(F.lower("text")), 5).alias("grams"))
-    return alike_classes(grams, "grams", gap, lambda n, a, b: n / F.least(a, b) > most)
+    return alike_classes(grams, "grams", gap, lambda n, small, large: n / small > most)
 
 
 def topic_classes(messages: DataFrame, gap: int = 10, most: float = 0.4, least_messages: int = 20) -> tuple[DataFrame, DataFrame]:
     rows = replies(messages)
     many = rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_messages).select("conv_id")
     marks = rows.join(many, "conv_id").select("conv_id", "ord", T.bullet_terms(F.col("text")).alias("terms")).where(F.size("terms") >= 3)
-    return alike_classes(marks, "terms", gap, lambda n, a, b: n / (a + b - n) > most)
+    return alike_classes(marks, "terms", gap, lambda n, small, large: n / (small + large - n) > most)
 
 
 def topic_pairs(messages: DataFrame, gap: int = 10, most: float = 0.4, least_messages: int = 20) -> DataFrame:
