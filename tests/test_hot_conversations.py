@@ -56,6 +56,37 @@ def test_classes_against_every_pair(talk, monkeypatch, block):
     assert len(rows_of) == sum(want.values()) and all(v == (len(sets[i] & sets[j]), len(sets[i]), len(sets[j])) and j - i >= 5 for (i, j), v in rows_of.items())
 
 
+@pytest.mark.parametrize("query, gap", [("far_overlap_pairs", 5), ("topic_repeat_pairs", 10)])
+def test_pairs_of_rows_follow_from_the_query(spark, query, gap):
+    """Classes' pairs come with who is in which class: every pair of rows can be had from the result alone."""
+    from tideline.plans.rule_queries import QUERIES
+
+    got = QUERIES[query](spark, "/root/testdata/sf0.01").collect()
+    held = {}
+    for x in got:
+        if x.kind == "member":
+            held.setdefault((x.conv_id, x.a), []).append(x.b)
+    assert held and len({(c, k) for (c, _), ks in held.items() for k in ks}) == sum(map(len, held.values()))
+    for x in got:
+        if x.kind == "pair":
+            both = {tuple(sorted((i, j))) for i in held[x.conv_id, x.a] for j in held[x.conv_id, x.b] if abs(i - j) >= gap}
+            assert len(both) == x.n_pairs > 0
+
+
+@pytest.mark.parametrize("held", [3, 1 << 22])
+def test_pairs_are_not_shuffled(talk, monkeypatch, held):
+    """A conversation that shares every word: no more rows meet than classes in each block, at any size of block."""
+    monkeypatch.setattr(validate, "HELD", held)
+    monkeypatch.setattr(validate, "AT_ONCE", held)
+    df = talk[1].sparkSession.createDataFrame([(1, "u", k, sorted({*(f"w{(k * m) % 17}" for m in (1, 2, 3)), "all", f"own{k}"})) for k in range(12)], "conv_id long, role string, ord long, members array<string>")
+    classes, belong = validate.set_classes(df.select("conv_id", "ord", "members"), "members")
+    found = validate.class_pairs(classes, lambda n, small, large: n / small > 0.3)
+    sets = {x.ord: set(x.members) for x in df.collect()}
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) > 0.3}
+    got = [(x.a, x.b, x.shared, x.n_a, x.n_b) for x in found.collect()]
+    assert want and sorted(got) == sorted(want) and belong.count() == 12
+
+
 def test_a_passage_in_all_messages_is_one_class(spark):
     text = "the same nine words that all of them hold"
     df = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("msg_idx"), F.lit("user").alias("role"), F.lit(text).alias("text"))

@@ -57,30 +57,37 @@ p AS (SELECT a.conv_id, a.ord AS i, b.ord AS j, len(list_intersect(a.g, b.g))::D
 SELECT conv_id, i, j, round(n / (x + y - n), 6) AS similarity FROM p WHERE x > 0 AND y > 0 AND n / (x + y - n) > 0.2"""
 
 
-#: Pairs of rows as pairs of classes, which have equal sets.
-CLASSED = """, r AS (SELECT conv_id, ord, min(ord) OVER (PARTITION BY conv_id, list_sort(g)) AS rep FROM g)
-SELECT p.conv_id, least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, shared, CASE WHEN x.rep <= y.rep THEN n_i ELSE n_j END AS n_a, CASE WHEN x.rep <= y.rep THEN n_j ELSE n_i END AS n_b, count(*) AS n_pairs
+#: Pairs of rows as pairs of classes, which have equal sets, and every row's class (a; b is the row), from which all pairs of rows follow.
+CLASSED = """, r AS (SELECT conv_id, ord, len(g) AS n, min(ord) OVER (PARTITION BY conv_id, list_sort(g)) AS rep FROM g)
+SELECT p.conv_id, 'pair' AS kind, least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, shared, CASE WHEN x.rep <= y.rep THEN n_i ELSE n_j END AS n_a, CASE WHEN x.rep <= y.rep THEN n_j ELSE n_i END AS n_b, count(*) AS n_pairs
 FROM p JOIN r x ON x.conv_id = p.conv_id AND x.ord = i JOIN r y ON y.conv_id = p.conv_id AND y.ord = j"""
+MEMBERS_OF = "UNION ALL SELECT conv_id, 'member', rep, ord, NULL, NULL, NULL, NULL FROM r WHERE n >= {0} AND (SELECT count(*) FROM g c WHERE c.conv_id = r.conv_id) >= {1}"
+
+
+def _classed(pairs, belong):
+    none = (F.lit(None).cast("long").alias(c) for c in ("shared", "n_a", "n_b", "n_pairs"))
+    pairs = pairs.select("conv_id", F.lit("pair").alias("kind"), "a", "b", "shared", "n_a", "n_b", "n_pairs")
+    return rounded(pairs.union(belong.select("conv_id", F.lit("member"), "rep", "ord", *none)))
 
 
 def far_overlap_pairs(spark, folder):
-    return rounded(validate.verbatim_classes(long_talks(spark, folder), most=0.1)[0])
+    return _classed(*validate.verbatim_classes(long_talks(spark, folder), most=0.1))
 
 
 FAR_SQL = f"""WITH {LONG_SQL}, {ORDS}, g AS (SELECT conv_id, ord, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT *, {WORDS} AS w FROM ords WHERE role = 'user')),
 p AS (SELECT a.conv_id, a.ord AS i, b.ord AS j, len(list_intersect(a.g, b.g)) AS shared, len(a.g) AS n_i, len(b.g) AS n_j FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.ord >= a.ord + 5)
-{CLASSED} WHERE shared > 0 AND shared / least(n_i, n_j)::DOUBLE > 0.1 AND (SELECT count(*) FROM g c WHERE c.conv_id = p.conv_id) >= 10 GROUP BY ALL"""
+{CLASSED} WHERE shared > 0 AND shared / least(n_i, n_j)::DOUBLE > 0.1 AND (SELECT count(*) FROM g c WHERE c.conv_id = p.conv_id) >= 10 GROUP BY ALL {MEMBERS_OF.format(1, 10)}"""
 
 
 def topic_repeat_pairs(spark, folder):
     rows = long_talks(spark, folder).withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("1. "), F.regexp_replace(x, r"[^A-Za-z0-9 ]", " "))), "\n"))
-    return rounded(validate.topic_classes(rows, most=0.2)[0])
+    return _classed(*validate.topic_classes(rows, most=0.2))
 
 
 TOPIC_SQL = f"""WITH {LONG_SQL}, {ORDS}, t AS (SELECT conv_id, ord, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[^A-Za-z0-9 ]', ' ', 'g')) AS lines, count(*) OVER (PARTITION BY conv_id) AS k FROM ords WHERE role = 'assistant'),
 g AS (SELECT conv_id, ord, list_distinct(flatten(list_transform(lines, lambda x: regexp_extract_all(lower(x), '[a-z]{{6,}}')[1:5]))) AS g FROM t WHERE k >= 20),
 p AS (SELECT a.conv_id, a.ord AS i, b.ord AS j, len(list_intersect(a.g, b.g)) AS shared, len(a.g) AS n_i, len(b.g) AS n_j FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.ord >= a.ord + 10 WHERE len(a.g) >= 3 AND len(b.g) >= 3)
-{CLASSED} WHERE shared > 0 AND shared / (n_i + n_j - shared)::DOUBLE > 0.2 GROUP BY ALL"""
+{CLASSED} WHERE shared > 0 AND shared / (n_i + n_j - shared)::DOUBLE > 0.2 GROUP BY ALL {MEMBERS_OF.format(3, 0)}"""
 
 
 def v_diversity(spark, folder):
