@@ -76,6 +76,45 @@ def test_hot_passage_and_hot_copies(spark, monkeypatch):
     assert {x.doc_id for x in simhash.keep_one(docs(spark, texts)).collect()} == brute_kept(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("chunk", [40, 2048])
+def test_pairs_of_a_large_group_are_not_rows(spark, monkeypatch, chunk):
+    """A group of near-copies that only some links connect: its pairs meet in memory, whole or in chunks, and no link is lost."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    base, texts = words(150, 9, 400).split(), []
+    r = random.Random(4)
+    for i in range(300):
+        own = list(base)
+        for at in r.sample(range(150), r.choice((1, 2, 3, 4))):
+            own[at] = f"new{i}x{at}"
+        texts.append(" ".join(own))
+    texts += [words(40, 700 + i // 2, 400) + (" end" if i % 2 else "") for i in range(20)]
+    pairs, confirmed = [], simhash.confirmed
+    monkeypatch.setattr(simhash, "confirmed", lambda p, sets, docs_: pairs.append(p.count()) or confirmed(p, sets, docs_))
+    want = brute_kept(list(enumerate(texts)))
+    assert 12 < len(want) < 310
+    assert {x.doc_id for x in simhash.keep_one(docs(spark, texts)).collect()} == want
+    assert max(pairs) < 20 * len(texts)
+
+
+def test_similar_sets_of_a_crowd(monkeypatch):
+    """Sides meet only each other, sets of one label are connected already, and each link joins two groups."""
+    r = np.random.default_rng(8)
+    base = r.integers(-(2**63), 2**63, 60)
+    sets = [np.unique(np.concatenate((base[n:], r.integers(-(2**63), 2**63, n)))) for n in (0, 1, 2, 3, 9, 12, 14, 20, 30)]
+    prints = np.array([simhash.majority(s.view(np.uint64)) for s in sets], np.uint64)
+    near = {(i, j) for i in range(9) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    for side, labels in ((np.zeros(9), np.arange(9)), (np.arange(9) // 5, np.arange(9)), (np.zeros(9), np.arange(9) % 4)):
+        got, want = simhash.Forest(9), simhash.Forest(9)
+        for forest in (got, want):
+            forest.join(np.arange(9), np.array([labels.tolist().index(x) for x in labels]))
+        links = [(int(u), int(v)) for u, v in simhash.similar(side, labels, prints, sets, simhash.COPY_RADIUS)]
+        assert {(max(x), min(x)) for x in links} <= near and len(links) < 9
+        met = [(i, j) for i, j in near if len(set(side)) == 1 or side[i] != side[j]]
+        for forest, pairs in ((got, links), (want, met)):
+            forest.join(*(np.array([p[k] for p in pairs], np.int64) for k in (0, 1)))
+        assert got.root.tolist() == want.root.tolist()
+
+
 def chance_beyond(common, left, right, radius):
     """The chance that fingerprints of two sets are farther apart than the radius, bits of shingles' hashes being fair coins."""
     more = lambda n, need: sum(comb(n, k) for k in range(max(need, 0), n + 1)) / 2**n

@@ -14,7 +14,8 @@ separate rows of the result. Rows with a null doc_id take part, but never name a
 is null if no row of the component has an id. An empty table gives an empty result.
 
 keep_one, the pipeline's stage, links by Jaccard similarity of five-word shingles: fingerprints of shingle sets are compared
-bit-sliced where two sets share a rare shingle, and what is within a wide radius is confirmed by the sets themselves.
+bit-sliced where two sets share a rare shingle, and what is within a wide radius is confirmed by the sets themselves: pair by
+pair where pairs are few, else in crowds of sets that meet whole, so that no group's pairs become rows.
 
 Very long texts are hashed piece by piece, and texts of any length have one fingerprint. Extra columns pass keep_one untouched,
 whatever their names; near_duplicates reads doc_id (a whole number) and text alone.
@@ -51,6 +52,10 @@ CHUNK = 2048
 STEP = 40_000
 #: Rows that a task compares together, besides the last unit's: bounds its memory too.
 GATHER = 50_000
+#: A unit with more candidate pairs than so many times its rows is dense: which sets have one leaves the task, not the pairs.
+DENSE = 8
+#: Shingles of a chunk of sets that meet whole: bounds a task's memory.
+CELLS = 1_000_000
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -265,10 +270,11 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
 
-def units(rows: DataFrame, key: str, member: str) -> DataFrame:
-    """rows dealt out by units (key, a, b), sorted: a key's rows are cut into chunks of about CHUNK, and every two chunks, and
-    each with itself, meet in a place of their own; side tells a's rows (0) from b's (1)."""
-    large = rows.groupBy(key).count().where(F.col("count") > CHUNK).select(F.col(key).alias("key_"), F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+def units(rows: DataFrame, key: str, member: str, cells: str | None = None) -> DataFrame:
+    """rows dealt out by units (key, a, b), sorted: a key's rows are cut into chunks of about CHUNK (and CELLS of a column of sizes),
+    and every two chunks, and each with itself, meet in a place of their own; side tells a's rows (0) from b's (1)."""
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(cells) / CELLS) if cells else F.count("*") / CHUNK).cast("int")
+    large = rows.groupBy(key).agg(chunks.alias("chunks")).where("chunks > 1").withColumnRenamed(key, "key_")
     rows = rows.join(small_or_shuffled(stored(large, "buckets")), F.col(key) == F.col("key_"), "left").drop("key_").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64(member, key), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -356,15 +362,29 @@ def _firsts(batches: Iterator[pa.RecordBatch], late: np.ndarray, rank: np.ndarra
 
 
 def _apart(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a unit with different labels, sizes that allow COPY_LEAST, and fingerprints within the radius."""
+    """Pairs of a unit with different labels, sizes that allow COPY_LEAST, and fingerprints within the radius; of a dense unit
+    every set that has such a pair, beside the first of these."""
     up, down = COPY_LEAST
     for unit, rows in gathered(batches):
         side, prints, ids, sizes, labels = (rows.column(c).to_numpy() for c in ("side", "print", "id", "size", "label"))
         sizes = sizes.astype(np.int64)
+        most = DENSE * np.bincount(unit)
+        count, paired = np.zeros(len(most), np.int64), np.zeros(len(unit), bool)
+        held = [(np.zeros(0, np.int64),) * 2]
         for u, v in meetings(unit, side, prints.view(np.uint64), radius):
             good = (labels[u] != labels[v]) & (np.minimum(sizes[u], sizes[v]) * down >= np.maximum(sizes[u], sizes[v]) * up)
-            u, v = ids[u[good]], ids[v[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+            u, v = u[good], v[good]
+            paired[u] = paired[v] = True
+            count += np.bincount(unit[u], minlength=len(most))
+            few = (count <= most)[unit[u]]
+            held.append((u[few], v[few]))
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        few = (count <= most)[unit[u]]
+        u, v = ids[u[few]], ids[v[few]]
+        crowd = np.flatnonzero(paired & (count > most)[unit])
+        first = crowd[np.searchsorted(unit[crowd], unit[crowd])]
+        columns = (np.concatenate((np.minimum(u, v), ids[first])), np.concatenate((np.maximum(u, v), ids[crowd])), np.arange(len(u) + len(crowd)) >= len(u))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "dense"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,13 +416,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_confirmed, "u long, v long").distinct()
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple]]:
+    """Side, label, fingerprint and set of every id of a unit, unit by unit. Rows are sorted by unit and side."""
+    at, held = None, {}
+    for batch in batches:
+        for key, a, b, side, one, label, mark, text in zip(*(batch.column(i).to_pylist() for i in range(7)), _bytes(batch.column(7)), strict=True):
+            if at != (key, a, b):
+                if held:
+                    yield held
+                at, held = (key, a, b), {}
+            if one not in held:
+                held[one] = side, label, mark, copy_shingles(text)
+    if held:
+        yield held
+
+
+def similar(side: np.ndarray, labels: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], radius: int) -> Iterator[tuple[int, int]]:
+    """Places of links of a spanning forest between the labels: sets with COPY_LEAST whose fingerprints are within the radius."""
+    up, down = COPY_LEAST
+    root = np.unique(labels, return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    start = np.cumsum(sizes) - sizes
+    grams, gram = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.zeros(len(grams), bool)
+    for left, right in meetings(np.zeros(len(side), np.int64), side, prints, radius):
+        good = (root[left] != root[right]) & (np.minimum(sizes[left], sizes[right]) * down >= np.maximum(sizes[left], sizes[right]) * up)
+        left, right = left[good], right[good]
+        order = np.argsort(left, kind="stable")
+        for u, v in zip(*(np.split(x[order], np.flatnonzero(np.diff(left[order])) + 1) for x in (left, right)), strict=True):
+            v = v[root[v] != root[u[:1]]]
+            if not len(v):
+                continue
+            u = u[0]
+            first = np.cumsum(sizes[v]) - sizes[v]
+            at = np.repeat(start[v] - first, sizes[v]) + np.arange(sizes[v].sum())
+            mine = gram[start[u] : start[u] + sizes[u]]
+            own[mine] = True
+            common = np.add.reduceat(own[gram[at]], first, dtype=np.int64)
+            own[mine] = False
+            near = v[common * (up + down) >= up * (sizes[u] + sizes[v])]
+            for w in near[np.unique(root[near], return_index=True)[1]]:
+                yield u, w
+                root[root == root[w]] = root[u]
+
+
+def _crowd_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    for held in _whole(batches):
+        side, labels, prints, sets = zip(*held.values(), strict=True)
+        found = list(similar(np.array(side), np.array(labels), np.array(prints).view(np.uint64), list(sets), radius))
+        ids, (u, v) = np.array(list(held)), np.array(found, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+
+def crowd_links(crowds: DataFrame, label: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v: enough links to connect all similar sets of a crowd (root) whose labels differ. crowds (stored): node, root. Texts go
+    once to each unit of two chunks of their crowd; links are confirmed there, and a spanning forest of them leaves the task."""
+    inside = crowds.union(crowds.select("root", "root").distinct()).select(F.col("node").alias("id"), F.col("root").alias("crowd"))
+    inside = inside.join(label, F.col("id") == F.col("node"), "left").select("id", "crowd", F.coalesce("root", "id").alias("label"))
+    wanted = inside.join(sets.select("id", "size", "print", F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")).hint("merge"), "id")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))
+    rows = texts.join(small_or_shuffled(stored(wanted, "crowd-sets")), same)
+    rows = stored(rows.select("crowd", "id", "label", "print", "text", "size"), "crowd-texts")
+    dealt = units(rows, "crowd", "id", "size").select("key", "a", "b", "side", "id", "label", "print", "text")
+    found = stored(dealt.mapInArrow(partial(_crowd_links, radius=COPY_RADIUS), "u long, v long"), "crowd-links")
+    discard(rows)
+    return found
+
+
 def copy_links(sets: DataFrame, texts: DataFrame, late: np.ndarray, rank: np.ndarray) -> DataFrame:
     """u, v: enough pairs of similar sets to connect all that are connected. sets (stored): id, size, print, doc_id, mark (of
     one text); texts: doc_id, mark, text.
 
     Two similar sets share a shingle of their first fifths, in whatever order common to all. First every set meets only
     one set of each shared shingle; where all sets of a shingle are connected by then, no other pair of it counts. The
-    others meet bit-sliced, in units of two chunks.
+    others meet bit-sliced, in units of two chunks. Of units that are not dense the pairs are confirmed one by one; the sets of
+    dense ones that are connected by dense units are a crowd, and meet whole.
     """
     up, down = COPY_LEAST
     dealt = texts.select("text").mapInArrow(partial(_firsts, late=late, rank=rank), "gram long, id long")
@@ -424,10 +512,11 @@ def copy_links(sets: DataFrame, texts: DataFrame, late: np.ndarray, rank: np.nda
     open_ = open_.join(stored(mixed, "mixed").hint("merge"), "gram", "left_semi")
     open_ = stored(open_.join(known.select(F.col("id").alias("id_"), "size", "print"), F.col("id") == F.col("id_")).drop("id_"), "mixed-sets")
     discard(held)
-    rest = units(open_, "gram", "id").mapInArrow(partial(_apart, radius=COPY_RADIUS), "u long, v long").distinct()
+    rest = stored(units(open_, "gram", "id").mapInArrow(partial(_apart, radius=COPY_RADIUS), "u long, v long, dense boolean").distinct(), "rest")
+    crowded = crowd_links(components(rest.where("dense").select("u", "v")), label, sets, texts)
     met = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = stored(rest.join(met, ["u", "v"], "left_anti"), "rest-pairs")
-    return linked.union(confirmed(rest, sets, texts))
+    rest = stored(rest.where("not dense").select("u", "v").join(met, ["u", "v"], "left_anti"), "rest-pairs")
+    return linked.union(crowded).union(confirmed(rest, sets, texts))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
