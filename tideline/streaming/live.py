@@ -33,28 +33,43 @@ NUMBERED = "conv_id long, msg_idx long, turn long, text string"
 
 
 class Numbering(StatefulProcessor):
-    """The replies of a conversation that still wait, and how many were numbered. A reply is numbered when its timer fires, that is
-    when the watermark says that none before it can come any more; replies of one time go by msg_idx."""
+    """The replies of a conversation that still wait, and how many were numbered. A conversation has one timer, for the first reply that
+    waits; when it fires, all replies are numbered that the watermark has passed, so that none before them can come any more, and the
+    timer goes to the next one. Replies of one time go by msg_idx."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at long, msg_idx long, text string")
         self.numbered = handle.getValueState("numbered", "n long")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = []
         for some in rows:
             at = (some["at"].astype("datetime64[us, UTC]" if some["at"].dt.tz else "datetime64[us]").astype("int64") // 1000).tolist()
             self.waiting.appendList(list(zip(at, some["msg_idx"].tolist(), some["text"].tolist(), strict=True)))
-            for t in set(at):
-                self.handle.registerTimer(t)
-        yield pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in NUMBERED.split(", ")})
+            first.append(min(at))
+        self.wait_for(min(first))
+        return iter([])
+
+    def wait_for(self, at: int) -> None:
+        """The timer fires at this time, or before it if it is set so."""
+        now = self.timer.get()
+        if now is None or at < now[0]:
+            if now is not None:
+                self.handle.deleteTimer(now[0])
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
         held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
-        due, rest = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
+        due, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
         self.waiting.put(rest) if rest else self.waiting.clear()
-        n = self.numbered.get()[0] if self.numbered.exists() else 0
+        self.timer.clear()
+        if rest:
+            self.wait_for(rest[0][0])
+        n = (self.numbered.get() or (0,))[0]
         self.numbered.update((n + len(due),))
         yield pd.DataFrame({"conv_id": [key[0]] * len(due), "msg_idx": [r[1] for r in due], "turn": range(n + 1, n + len(due) + 1), "text": [r[2] for r in due]})
 
